@@ -166,3 +166,241 @@ where not exists (select 1 from kg_facts f where f.p = 'nation' and f.s = t.enti
 def d7(spark, sf):
     t, ty = _graph(spark, sf)
     return cat.candidates(t, ty, kg.relation("nation"))
+
+
+# --- E: markup cleaning (on the raw web pages and the derived articles) ------
+
+from ..functions import markup as mk  # noqa: E402
+from ..functions import tags as tg  # noqa: E402
+from ..functions import values as vals  # noqa: E402
+from ..operators import text as tx  # noqa: E402
+
+
+def _pages(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+
+
+def _docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+
+def _duck_re(x: str, pattern: str, repl: str = "") -> str:
+    pattern = pattern.replace("'", "''")
+    return f"regexp_replace({x}, '{pattern}', '{repl}', 'g')"
+
+
+def _duck_replace(x: str, a: str, b: str) -> str:
+    a, b = a.replace("'", "''"), b.replace("'", "''")
+    return f"replace({x}, '{a}', '{b}')"
+
+
+def _duck_chain(x: str, fns) -> str:
+    for f in fns:
+        x = f(x)
+    return x
+
+
+_E2 = [lambda x, a=a, b=b: _duck_replace(x, a, b)
+       for a, b in [("&lt;", "<"), ("&gt;", ">"), ("<<", "«"), (">>", "»")]]
+
+
+@register("e2_e3_angles_comments",
+          f"select page_id, {_duck_chain('html', _E2 + [lambda x: _duck_re(x, '(?s)<!--.*?-->')])} "
+          "as text from pages")
+def e2_e3(spark, sf):
+    p = _pages(spark, sf)
+    return p.select("page_id", mk.drop_comments(mk.unescape_angle(F.col("html"))).alias("text"))
+
+
+@register("e4_garbage_tags", "select page_id, " + _duck_chain(
+    "html", [lambda x, t=t: _duck_re(x, mk.garbage_tag_pattern(t)) for t in mk.GARBAGE_TAGS])
+    + " as text from pages")
+def e4(spark, sf):
+    return _pages(spark, sf).select("page_id", mk.drop_garbage_tags(F.col("html")).alias("text"))
+
+
+@register("e5_wrapper_tags", "select page_id, " + _duck_chain(
+    "html", [lambda x, p=p: _duck_re(x, p) for t in mk.WRAPPER_TAGS for p in mk.wrapper_tag_patterns(t)])
+    + " as text from pages")
+def e5(spark, sf):
+    return _pages(spark, sf).select("page_id", mk.drop_wrapper_tags(F.col("html")).alias("text"))
+
+
+@register("e6_single_tags", "select page_id, " + _duck_chain(
+    "html", [lambda x, p=p: _duck_re(x, p) for t in mk.SINGLE_TAGS for p in mk.single_tag_patterns(t)])
+    + " as text from pages")
+def e6(spark, sf):
+    return _pages(spark, sf).select("page_id", mk.drop_single_tags(F.col("html")).alias("text"))
+
+
+_E8 = [lambda x, a=a, b=b: _duck_replace(x, a, b)
+       for a, b in [("{{end box}}", "}"), ("{{", "{"), ("}}", "}"), ("{|", "{"), ("|}", "}")]] \
+    + [lambda x: _duck_re(x, r"(?s)\{[^{]*?\}")] * 3
+
+
+@register("e8_templates", with_kg(
+    f"select title, {_duck_chain('wikitext', _E8)} as text from kg_articles "
+    f"union all select cast(page_id as string) as title, {_duck_chain('html', _E8)} as text from pages"))
+def e8(spark, sf):
+    a = kg.articles(spark, sf).select("title", mk.drop_templates(F.col("wikitext")).alias("text"))
+    p = _pages(spark, sf).select(F.col("page_id").cast("string").alias("title"),
+                                 mk.drop_templates(F.col("html")).alias("text"))
+    return a.unionAll(p)
+
+
+@register("e11_http_links", "select page_id, " + _duck_replace(
+    _duck_re("html", r"(?si)\[http.*?\]"), "[]", "") + " as text from pages")
+def e11(spark, sf):
+    return _pages(spark, sf).select("page_id", mk.drop_http_links(F.col("html")).alias("text"))
+
+
+def _duck_entities(x: str) -> str:
+    x = _duck_replace(_duck_replace(x, "&amp;", "&"), "&quot;&quot;", "&quot;")
+    for k, v in sorted(mk.NAMED_ENTITIES.items()):
+        if k != "&amp;":
+            x = _duck_replace(x, k, v)
+    return _duck_replace(x, "&amp;", "&")
+
+
+@register("e13_named_entities", f"select page_id, {_duck_entities('html')} as text from pages")
+def e13(spark, sf):
+    return _pages(spark, sf).select("page_id", mk.named_entities(F.col("html")).alias("text"))
+
+
+@register("e14_numeric_entities")
+def e14(spark, sf):
+    return _pages(spark, sf).select("page_id", mk.numeric_entities(F.col("html")).alias("text"))
+
+
+_E15 = ([lambda x: _duck_replace(x, "\t", " "), lambda x: _duck_re(x, " {2,}", " "),
+         lambda x: _duck_re(x, r"\.{4,}", "...")]
+        + [lambda x, a=a, b=b: _duck_replace(x, a, b) for a, b in mk.SPACING_FIXES])
+
+
+@register("e15_spacing", f"select doc_id, {_duck_chain('text', _E15)} as text from documents")
+def e15(spark, sf):
+    return _docs(spark, sf).select("doc_id", mk.fix_spacing(F.col("text")).alias("text"))
+
+
+_KEEP_LINE = (
+    "list_filter(list_transform(string_split(text, chr(10)), "
+    "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda l: l <> '' "
+    "and not starts_with(l, '++') and not starts_with(l, '==') "
+    "and not (right(l, 1) = ':' or left(l, 1) in ('*', '#', ':', ';')) "
+    "and not (left(l, 1) in ('{', '|') or right(l, 1) = '}') "
+    "and not ((left(l, 1) = '(' and right(l, 1) = ')') or regexp_full_match(l, '[.\\-]*')) "
+    "and not (not contains(l, '_') and len(regexp_split_to_array(l, '\\s+')) < 6))")
+
+
+@register("e16_compact_lines",
+          f"select doc_id, array_to_string({_KEEP_LINE}, chr(10)) as text from documents")
+def e16(spark, sf):
+    return _docs(spark, sf).select("doc_id", mk.compact(F.col("text")).alias("text"))
+
+
+@register("e21_delete_chars", "select doc_id, translate(text, '=;*', '') as text from documents")
+def e21(spark, sf):
+    return _docs(spark, sf).select("doc_id", mk.delete_chars(F.col("text")).alias("text"))
+
+
+@register("e23_first_lines",
+          "select doc_id, array_to_string(string_split(text, chr(10))[1:10], chr(10)) as text "
+          "from documents")
+def e23(spark, sf):
+    return _docs(spark, sf).select("doc_id", mk.first_lines(F.col("text"), 10).alias("text"))
+
+
+@register("e22_clean_articles")
+def e22(spark, sf):
+    c = tx.clean_articles(kg.articles(spark, sf))
+    return c.select("title", "text", F.size("links").cast("bigint").alias("n_links"))
+
+
+@register("e18_link_dictionary")
+def e18(spark, sf):
+    t, ty = _graph(spark, sf)
+    c = tx.clean_articles(kg.articles(spark, sf))
+    d = tx.link_dictionary(c, cat.build_catalog(ty, kg.CATALOG_TYPES))
+    return d.select("title", F.explode("links_map").alias("token", "title_token"))
+
+
+# --- F: sentences, tokens, values -------------------------------------------------
+
+_SENTS_DUCK = (
+    "with l as (select doc_id, list_filter(list_transform(flatten(list_transform("
+    "string_split(text, chr(10)), lambda x: regexp_extract_all(x, '" + tx.SENTENCE_RE + "', 0))), "
+    "lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') as ss from documents), "
+    "u as (select doc_id, unnest(range(len(ss))) as sent_id, unnest(ss) as sentence from l) "
+    "select doc_id, cast(sent_id as int) as sent_id, array_to_string(regexp_extract_all(sentence, '"
+    + tx.TOKEN_RE + "', 0), ' ') as tokens, cast(len(regexp_extract_all(sentence, '"
+    + tx.TOKEN_RE + "', 0)) as bigint) as n_tokens from u")
+
+
+@register("f1_sentences_tokens", _SENTS_DUCK)
+def f1(spark, sf):
+    s = tx.sentences(_docs(spark, sf), id_col="doc_id")
+    return s.select("doc_id", F.col("sent_id").cast("int").alias("sent_id"),
+                    F.array_join("tokens", " ").alias("tokens"),
+                    F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@register("f4_numeric_words", f"""
+select doc_id, cast(count(*) as bigint) as n_words,
+ cast(count(*) filter (where regexp_full_match(w, '{vals.NUMERIC_RE.strip('^$')}')) as bigint) as n_numeric
+from (select doc_id, unnest(regexp_split_to_array(text, '\\s+')) as w from documents) where w <> ''
+group by doc_id""")
+def f4(spark, sf):
+    w = _docs(spark, sf).select("doc_id", F.explode(F.split("text", r"\s+")).alias("w")) \
+        .where(F.col("w") != "")
+    return w.groupBy("doc_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_words"),
+        F.count(F.when(vals.is_numeric(F.col("w")), 1)).cast("bigint").alias("n_numeric"))
+
+
+_F12_DUCK = """
+with b as (select s, o, case when contains(o, 'tys') then 1000 when contains(o, 'mln') then 1000000 else 1 end as mult,
+  regexp_extract(regexp_replace(o, '\\d{4} Census', '', 'g'), '([0-9., ]+)', 1) as run
+  from kg_facts where p = 'balance'),
+c as (select *, try_cast(replace(regexp_replace(run, '[^0-9,]', '', 'g'), ',', '.') as double) as prim,
+  list_filter(string_split(run, ' '), lambda x: try_cast(replace(x, ',', '.') as double) is not null
+     and regexp_full_match(trim(replace(x, ',', '.')), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')) as parts
+  from b)
+select s, o, coalesce(cast(trunc(prim * mult) as bigint),
+   cast(trunc(try_cast(replace(parts[1], ',', '.') as double)) as bigint)) as value from c"""
+
+
+@register("f12_numeric_values", with_kg(_F12_DUCK))
+def f12(spark, sf):
+    t, _ = _graph(spark, sf)
+    b = t.where(F.col("p") == "balance").select("s", "o", vals.prepare_numeric(F.col("o")).alias("v"))
+    return b.select("s", "o", F.get("v", 0).cast("bigint").alias("value"))
+
+
+def _f13_duck() -> str:
+    from ..config import GENERIC_VALUE_WORDS
+    from ..sources.stopwords import default_stop_words
+    stop = sql_list(default_stop_words())
+    gen = sql_list(GENERIC_VALUE_WORDS)
+    return with_kg(f"""
+with v as (select s, p, o, regexp_replace(o, '\\dpx', '') as v from kg_facts
+           where p in ('nation', 'region', 'brand', 'segment')),
+t as (select *, regexp_extract_all(v, '(\\p{{L}}+)', 1) as toks from v)
+select s, p, o, array_to_string(list_filter(case when len(toks) > 1 then list_concat(toks, [v]) else toks end,
+  lambda x: octet_length(encode(x)) > 1 and not list_contains({stop}, x) and not list_contains({gen}, x)), '|') as vals
+from t""")
+
+
+@register("f13_text_values", _f13_duck())
+def f13(spark, sf):
+    t, _ = _graph(spark, sf)
+    f = t.where(F.col("p").isin("nation", "region", "brand", "segment"))
+    return f.select("s", "p", "o", F.array_join(vals.prepare_text(F.col("o")), "|").alias("vals"))
+
+
+@register("f17_relation_words", with_kg(
+    "select p, array_to_string(list_filter(list_transform(string_split("
+    "regexp_replace(p, '(\\p{Lu})', ' \\1', 'g'), ' '), lambda x: lower(x)), lambda x: x <> ''), ' ') as words "
+    "from (select distinct p from kg_triples)"))
+def f17(spark, sf):
+    t, _ = _graph(spark, sf)
+    return t.select("p").distinct().select("p", F.array_join(tg.relation_words(F.col("p")), " ").alias("words"))
