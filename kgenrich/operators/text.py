@@ -9,6 +9,7 @@ link dictionary (a join on the title).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import (ARTICLE_SENTENCE_LIMIT, LEMMA_OVERRIDES, MILLION_WORDS,
@@ -250,6 +251,8 @@ def apply_multipliers(words: Column) -> Column:
 
 
 def join_numerals(words: Column) -> Column:
+    """F5-F7 in one expression (single values and tests; DataFrames should
+    apply the three stages as separate projections, see ``prepare_articles``)."""
     return apply_multipliers(join_adjacent_numerals(join_decimal_numerals(words)))
 
 
@@ -271,14 +274,17 @@ def prepare_articles(raw: DataFrame, catalog: DataFrame, lexicon: DataFrame | No
         raw = raw.join(names.select(F.col(names.columns[0]).alias("title")), "title", "left_semi")
     if done is not None:
         raw = raw.join(done.select("title").distinct(), "title", "left_anti")
-    clean = clean_articles(raw, keep_lines=line_limit)
+    # cleaned once: sentences, the lexicon and the link dictionary all read it
+    clean = clean_articles(raw, keep_lines=line_limit).persist(StorageLevel.MEMORY_AND_DISK)
     sents = sentences(clean)
     if lexicon is None and corpus_lexicon:
         lexicon = lexicon_from_corpus(sents)
     tagged = tag_sentences(sents, lexicon)
     ld = link_dictionary(clean, catalog)
-    t = tagged.join(ld, "title", "left")
-    words = join_numerals(correct_lemmas(F.col("words"), F.col("links_map")))
-    # sentences are numbered after splitting, so the limit is a plain filter
-    return t.where(F.col("sent_id") < sentence_limit) \
-        .select("title", "sent_id", words.alias("words"))
+    t = tagged.join(ld, "title", "left").where(F.col("sent_id") < sentence_limit)
+    # one projection per array stage: the numeral passes index their input
+    # per element, so an inlined input would be recomputed per element
+    t = t.select("title", "sent_id", correct_lemmas(F.col("words"), F.col("links_map")).alias("words"))
+    for stage in (join_decimal_numerals, join_adjacent_numerals, apply_multipliers):
+        t = t.select("title", "sent_id", stage(F.col("words")).alias("words"))
+    return t

@@ -48,12 +48,13 @@ BALANCE_TEXT = (
     f"when 2 then 'ok. ' || cast({BAL_INT} as string) || ' zł' "
     f"else cast({BAL_INT} as string) || ',' || {BAL_CENTS} end"
 )
-# How the balance is written inside the article (thousands split by a space).
+# How the balance is written inside the article: an integer, thousands split
+# by a space for odd keys (joined again by the numeral rules).
 BALANCE_IN_TEXT = (
     f"case when c_custkey % 2 = 1 and {BAL_INT} >= 1000 then "
     f"cast(cast(floor({BAL_INT} / 1000) as bigint) as string) || ' ' || "
-    f"lpad(cast({BAL_INT} % 1000 as string), 3, '0') || ',' || {BAL_CENTS} "
-    f"else cast({BAL_INT} as string) || ',' || {BAL_CENTS} end"
+    f"lpad(cast({BAL_INT} % 1000 as string), 3, '0') "
+    f"else cast({BAL_INT} as string) end"
 )
 YEAR = "cast(1990 + c_custkey % 23 as string)"
 SEG = "lower(c_mktsegment)"
