@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import CLASSIFIER_CONFIDENCE
+from ..session import checkpoint_dir
 from .supervise import features
 
 
@@ -95,7 +96,10 @@ def train(positives: DataFrame, negatives: DataFrame, vocab_df: DataFrame,
     # The training set is bounded by the training cap (positives plus as many
     # negatives), so its partition count follows its size: iterative solvers
     # then pay one task per iteration instead of one per shuffle partition.
-    data = data.repartition(max(1, n // ROWS_PER_PARTITION + 1)).cache()
+    # A reliable checkpoint cuts the lineage: every solver iteration would
+    # otherwise ship the whole upstream plan with its tasks.
+    checkpoint_dir(data.sparkSession)
+    data = data.repartition(max(1, n // ROWS_PER_PARTITION + 1)).checkpoint(eager=True)
     svm = _svc(n, C).fit(data)
 
     def fold_margins(k):
@@ -120,7 +124,6 @@ def train(positives: DataFrame, negatives: DataFrame, vocab_df: DataFrame,
     lr = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0,
                             standardization=False, maxIter=100).fit(platt)
     a, b = float(lr.coefficients[0]), float(lr.intercept)
-    data.unpersist()
     oof.unpersist()
     if not (math.isfinite(a) and math.isfinite(b)):
         a, b = 1.0, 0.0
