@@ -95,8 +95,10 @@ def check_enough(positives: DataFrame, minimum: int = 10) -> int:
 
 def undersample(neg: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """``n`` negatives drawn uniformly with a seeded hash order (a top-n:
-    each partition keeps at most ``n`` rows before the final merge)."""
-    key = F.xxhash64(F.col("s"), F.col("o"), F.col("sent_id"), F.lit(seed))
+    each partition keeps at most ``n`` rows before the final merge). The
+    hash is md5, so other engines can reproduce the draw."""
+    key = F.md5(F.concat_ws("|", F.col("s"), F.col("o"), F.col("sent_id").cast("string"),
+                            F.lit(str(seed))))
     return neg.orderBy(key).limit(n)
 
 

@@ -382,7 +382,7 @@ def _f13_duck() -> str:
     stop = sql_list(default_stop_words())
     gen = sql_list(GENERIC_VALUE_WORDS)
     return with_kg(f"""
-with v as (select s, p, o, regexp_replace(o, '\\dpx', '') as v from kg_facts
+with v as (select s, p, o, regexp_replace(o, '\\dpx', '', 'g') as v from kg_facts
            where p in ('nation', 'region', 'brand', 'segment')),
 t as (select *, regexp_extract_all(v, '(\\p{{L}}+)', 1) as toks from v)
 select s, p, o, array_to_string(list_filter(case when len(toks) > 1 then list_concat(toks, [v]) else toks end,
@@ -404,3 +404,200 @@ def f13(spark, sf):
 def f17(spark, sf):
     t, _ = _graph(spark, sf)
     return t.select("p").distinct().select("p", F.array_join(tg.relation_words(F.col("p")), " ").alias("words"))
+
+
+# --- G, I, J on the prepared article sentences ------------------------------------
+# The oracle builds each derived article's expected cleaned sentences from the
+# source columns and tokenises / true-cases / labels them in SQL, so these
+# checks cover the Spark chain clean -> split -> tag -> label -> decode.
+
+from ..operators import evaluate as ev  # noqa: E402
+from ..operators import extract as ex  # noqa: E402
+from ..operators import supervise as sup  # noqa: E402
+from .oracle import labelled_ctes, pairs_ctes, sentences_ctes  # noqa: E402
+
+_PLANTED = ["nation", "balance"]
+
+
+def _corpus_sentences(spark, sf):
+    from .jobs import prepare_corpus
+    t, ty = _graph(spark, sf)
+    catalog = cat.build_catalog(ty, kg.CATALOG_TYPES)
+    return t, ty, catalog, prepare_corpus(kg.articles(spark, sf), catalog, persist=False)
+
+
+def _labelled(spark, sf):
+    t, ty, catalog, sents = _corpus_sentences(spark, sf)
+    ge, _ = kg.gold(spark, sf)
+    parts = []
+    for p in _PLANTED:
+        spec = kg.relation(p)
+        pairs = sup.drop_gold(sup.training_pairs(t, ty, spec), ge.where(F.col("p") == p))
+        parts.append(sup.label_sentences(pairs, sents, spec).withColumn("p", F.lit(p)))
+    lab = parts[0].unionByName(parts[1])
+    return t, ty, catalog, lab
+
+
+def _positives(lab):
+    parts = [sup.best_positives(lab.where(F.col("p") == p)).withColumn("p", F.lit(p)) for p in _PLANTED]
+    return parts[0].unionByName(parts[1])
+
+
+@register("f11_prepared_sentences", with_kg(f"""with {sentences_ctes()}
+select title, cast(sent_id as int) as sent_id, array_to_string(lemmas, ' ') as lemmas,
+       array_to_string(segments, ' ') as segments from kg_sent"""))
+def f11(spark, sf):
+    _, _, _, s = _corpus_sentences(spark, sf)
+    return s.select("title", F.col("sent_id").cast("int").alias("sent_id"),
+                    F.array_join(F.transform("words", lambda w: w["lemma"]), " ").alias("lemmas"),
+                    F.array_join(F.transform("words", lambda w: w["segment"]), " ").alias("segments"))
+
+
+@register("g1_training_pairs", with_kg(f"with {pairs_ctes()} select p, s, o from kg_pairs"))
+def g1(spark, sf):
+    t, ty = _graph(spark, sf)
+    ge, _ = kg.gold(spark, sf)
+    parts = [sup.drop_gold(sup.training_pairs(t, ty, kg.relation(p)), ge.where(F.col("p") == p))
+             .select(F.lit(p).alias("p"), "s", "o") for p in _PLANTED]
+    return parts[0].unionByName(parts[1])
+
+
+@register("g5_label_sentences", with_kg(f"""with {labelled_ctes()}
+select p, s, o, cast(sent_id as int) as sent_id, kind, n_match from kg_lab"""))
+def g5(spark, sf):
+    _, _, _, lab = _labelled(spark, sf)
+    return lab.select("p", "s", "o", F.col("sent_id").cast("int").alias("sent_id"), "kind",
+                      F.col("n_match").cast("bigint").alias("n_match"))
+
+
+@register("g6_best_positive", with_kg(f"""with {labelled_ctes()}
+select p, s, o, cast(sent_id as int) as sent_id from kg_pos"""))
+def g6(spark, sf):
+    _, _, _, lab = _labelled(spark, sf)
+    return _positives(lab).select("p", "s", "o", F.col("sent_id").cast("int").alias("sent_id"))
+
+
+@register("g9_undersample", with_kg(f"""with {labelled_ctes()},
+npos as (select p, count(*) as n from kg_pos group by p),
+neg as (select l.p, l.s, l.o, l.sent_id, row_number() over (partition by l.p order by
+        md5(concat_ws('|', l.s, l.o, cast(l.sent_id as varchar), '7'))) as rn from kg_lab l where kind = 'neg')
+select neg.p, s, o, cast(sent_id as int) as sent_id from neg join npos on neg.p = npos.p where rn <= npos.n"""))
+def g9(spark, sf):
+    _, _, _, lab = _labelled(spark, sf)
+    pos = _positives(lab)
+    parts = []
+    for p in _PLANTED:
+        n = pos.where(F.col("p") == p).count()
+        parts.append(sup.undersample(sup.negatives(lab.where(F.col("p") == p)), n)
+                     .select(F.lit(p).alias("p"), "s", "o", F.col("sent_id").cast("int").alias("sent_id")))
+    return parts[0].unionByName(parts[1])
+
+
+def _stop_sql():
+    from ..sources.stopwords import default_stop_words
+    return sql_list(default_stop_words())
+
+
+@register("g10_vocabulary", with_kg(f"""with {labelled_ctes()},
+f as (select p, unnest(list_filter(lemmas, lambda l: regexp_matches(l, '^\\p{{Ll}}')
+        and not list_contains({_stop_sql()}, l))) as feature from kg_posrows)
+select p, feature, cast(count(*) as bigint) as n from f group by p, feature having count(*) > 2"""))
+def g10(spark, sf):
+    _, _, _, lab = _labelled(spark, sf)
+    pos = _positives(lab)
+    parts = [sup.vocabulary(pos.where(F.col("p") == p), 2).select(
+        F.lit(p).alias("p"), "feature", F.col("n").cast("bigint").alias("n")) for p in _PLANTED]
+    return parts[0].unionByName(parts[1])
+
+
+_LABELS_SQL = ("list_transform(range(len(lemmas)), lambda i: case when list_contains("
+               "list_transform(vals, lambda v: lower(v)), lower(lemmas[i + 1])) or list_contains("
+               "list_transform(vals, lambda v: lower(v)), lower(segments[i + 1])) then 1 else 0 end)")
+
+
+@register("i3_token_labels", with_kg(f"""with {labelled_ctes()}
+select p, s, cast(sent_id as int) as sent_id,
+       array_to_string(list_transform({_LABELS_SQL}, lambda x: cast(x as varchar)), ' ') as labels
+from kg_posrows"""))
+def i3(spark, sf):
+    _, _, _, lab = _labelled(spark, sf)
+    pos = _positives(lab)
+    lab_col = ex.token_labels(F.col("words"), F.col("values"))
+    return pos.select("p", "s", F.col("sent_id").cast("int").alias("sent_id"),
+                      F.array_join(F.transform(lab_col, lambda x: x.cast("string")), " ").alias("labels"))
+
+
+def _decoded(spark, sf):
+    """I7-I14 on given tags: the positives' token labels with p = 1."""
+    t, ty, catalog, lab = _labelled(spark, sf)
+    pos = _positives(lab)
+    out = []
+    for p in _PLANTED:
+        spec = kg.relation(p)
+        tagged = pos.where(F.col("p") == p).select(
+            F.col("s").alias("entity"), "sent_id", "words",
+            ex.token_labels(F.col("words"), F.col("values")).alias("tags"),
+            F.array_repeat(F.lit(1.0), F.size("words")).alias("probs"))
+        spans = ex.spans(tagged, spec)
+        ot = cat.predominant_types(t, ty, spec, subject=False)
+        out.append(ex.select_values(spans, spec, catalog, ot).select(F.lit(p).alias("p"), "entity", "value"))
+    return out[0].unionByName(out[1]), pos
+
+
+_DECODE_SQL = f"""{labelled_ctes()},
+tk as (select p, s as entity, sent_id, unnest(lemmas) as lemma, unnest(range(len(lemmas))) as pos,
+       unnest({_LABELS_SQL}) as tag from kg_posrows),
+tk2 as (select *, case when lemma = '-' then 1 else tag end as t2 from tk),
+isl as (select *, sum(case when t2 = 1 then 0 else 1 end) over (partition by p, entity, sent_id order by pos) as run from tk2),
+runs as (select p, entity, sent_id, run, list(lemma order by pos) as lem, min(pos) filter (where lemma <> '-') as start
+         from isl where t2 = 1 group by p, entity, sent_id, run),
+trimmed as (select p, entity, sent_id, start,
+   list_slice(lem, list_position(list_transform(lem, lambda x: x <> '-'), true), len(lem)) as l1 from runs
+   where list_position(list_transform(lem, lambda x: x <> '-'), true) is not null),
+trimmed2 as (select p, entity, sent_id, start,
+   case when l1[len(l1)] = '-' then list_slice(l1, 1, len(l1) - 1) else l1 end as l2 from trimmed),
+vals as (select p, entity, sent_id, start, replace(array_to_string(l2, '_'), '_-_', '-') as v from trimmed2 where len(l2) > 0),
+pref as (select * from vals where left(v, 4) <> left(entity, 4)),
+norm as (select p, entity, sent_id, start,
+   case when regexp_full_match(v, '\\s*[+-]?(\\d+([.,]\\d*)?|[.,]\\d+)([eE][+-]?\\d+)?\\s*')
+        then cast(cast(trunc(cast(replace(v, ',', '.') as double)) as bigint) as varchar)
+        when contains(v, '_') then upper(left(v, 1)) || substr(v, 2) else v end as value from pref),
+ot as ({_predominant_sql('nation', 'object')}),
+cat as (select name, type from (select entity as name, type from kg_types where type in
+        {_CAT.replace('[', '(').replace(']', ')')} union all select split_part(entity, '_(', 1) as name, type
+        from kg_types where type in {_CAT.replace('[', '(').replace(']', ')')} and contains(entity, '_('))),
+pri as (select n.*, case when n.p = 'balance' then 0
+   when exists (select 1 from cat c join ot on c.type = ot.type where c.name = n.value) then 2
+   when exists (select 1 from cat c where c.name = n.value) then 1 else -1 end as prio from norm n),
+best as (select p, entity, arg_max(value, prio * 1000000000 - sent_id * 1000 - start) as value
+         from pri where prio >= 0 group by p, entity)"""
+
+
+@register("i8_decode_given_tags", with_kg(f"with {_DECODE_SQL} select p, entity, value from best"))
+def i8(spark, sf):
+    return _decoded(spark, sf)[0]
+
+
+@register("j3_extractor_fit_scores", with_kg(f"""with {_DECODE_SQL},
+gold as (select p, s as entity, vals from kg_pairs where s in (select s from kg_pos where kg_pos.p = kg_pairs.p)),
+j as (select coalesce(g.p, b.p) as p, g.vals, b.value from gold g full outer join best b
+      on g.p = b.p and g.entity = b.entity),
+c as (select p,
+   (value is not null and vals is not null and coalesce(list_contains(vals, value), false)) as tp,
+   (value is not null and not (vals is not null and coalesce(list_contains(vals, value), false))) as fp,
+   (vals is not null and not (value is not null and coalesce(list_contains(vals, value), false))) as fn
+   from j)
+select p, cast(count(*) filter (where tp) as bigint) as tp, cast(count(*) filter (where fp) as bigint) as fp,
+       cast(count(*) filter (where fn) as bigint) as fn,
+       count(*) filter (where tp) / greatest(count(*) filter (where tp) + count(*) filter (where fp), 1) as precision,
+       count(*) filter (where tp) / greatest(count(*) filter (where tp) + count(*) filter (where fn), 1) as recall
+from c group by p"""))
+def j3(spark, sf):
+    dec, pos = _decoded(spark, sf)
+    out = []
+    for p in _PLANTED:
+        gold = pos.where(F.col("p") == p).select(F.col("s").alias("entity"), F.col("values"))
+        pred = dec.where(F.col("p") == p).select("entity", "value")
+        sc = ev.scores(ev.classify_errors(gold, pred), p)
+        out.append(sc.select("p", "tp", "fp", "fn", "precision", "recall"))
+    return out[0].unionByName(out[1])

@@ -60,13 +60,31 @@ YEAR = "cast(1990 + c_custkey % 23 as string)"
 SEG = "lower(c_mktsegment)"
 HOME = NATION_KEY_NAME.format(k="c_nationkey")
 DISTRACTOR = NATION_KEY_NAME.format(k="(c_nationkey + 7) % 25")
-TITLE_SENTENCE = (
-    "case c_custkey % 4 "
-    f"when 0 then ' is a customer registered in [[' || {HOME} || ']] and served by the ' || {SEG} || ' division since ' || {YEAR} || '.' "
-    f"when 1 then ' is a ' || {SEG} || ' customer whose home nation is [[' || {HOME} || '|' || {HOME} || ']] and whose ledger opened in ' || {YEAR} || '.' "
-    f"when 2 then ' is an account located in the nation of [[' || {HOME} || ']] with many regular orders.' "
-    f"else ' is a trading account from [[' || {HOME} || ']] known for its ' || {SEG} || ' orders and fast payments.' end"
-)
+
+
+def _title_sentence(link: bool) -> str:
+    """The phrasing that states the customer's nation (wikitext or as cleaned)."""
+    def ln(x, piped=False):
+        if not link:
+            return f"' || {x} || '"
+        return f"[[' || {x} || '|' || {x} || ']]" if piped else f"[[' || {x} || ']]"
+    return (
+        "case c_custkey % 4 "
+        f"when 0 then ' is a customer registered in {ln(HOME)} and served by the ' || {SEG} || ' division since ' || {YEAR} || '.' "
+        f"when 1 then ' is a ' || {SEG} || ' customer whose home nation is {ln(HOME, True)} and whose ledger opened in ' || {YEAR} || '.' "
+        f"when 2 then ' is an account located in the nation of {ln(HOME)} with many regular orders.' "
+        f"else ' is a trading account from {ln(HOME)} known for its ' || {SEG} || ' orders and fast payments.' end"
+    )
+
+
+TITLE_SENTENCE = _title_sentence(True)
+# What the cleaner must leave of an article: four sentences (oracle only).
+EXPECTED_SENTENCES = [
+    f"replace({CUST}, '_', ' ') || {_title_sentence(False)}",
+    f"'The account was opened in ' || {YEAR} || ' by a local office with a staff of \"several\" people.'",
+    f"'Its largest supplier ships goods from ' || {DISTRACTOR} || ' to the warehouse every week.'",
+    f"'The account balance reached ' || cast({BAL_INT} as string) || ' units at the end of the last year.'",
+]
 NL = "chr(10)"
 ARTICLE = " || ".join([
     "'{{Infobox customer'", NL, f"'| name = ' || {CUST}", NL,
