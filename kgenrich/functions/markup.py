@@ -308,13 +308,3 @@ STEPS_BEFORE_LINKS = [title_as_link, unescape_angle, drop_comments, drop_garbage
                       drop_wrapper_tags, drop_single_tags, placeholders, drop_templates]
 STEPS_AFTER_LINKS = [drop_http_links, bold_italic, named_entities, numeric_entities,
                      fix_spacing, compact, delete_chars]
-
-
-def clean_text(t: Column) -> Column:
-    """The whole cleaner on one Column (small inputs and tests)."""
-    for f in STEPS_BEFORE_LINKS:
-        t = f(t)
-    t, _ = resolve_links(t)
-    for f in STEPS_AFTER_LINKS:
-        t = f(t)
-    return t

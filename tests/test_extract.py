@@ -48,7 +48,8 @@ def test_select_values_priorities(spark):
 def test_window_features_offsets(spark):
     df = _df(spark, ["Ala", "ma", "1995"], [0, 0, 0], [1., 1., 1.])
     f = X.with_window_features(df).first().feats
-    assert len(f) == 3 and len(f[0]) == 2 * 15 and len(f[1]) == 3 * 15
+    assert len(f) == 3 and all(len(x) == 3 * 15 for x in f)
+    assert "2lemma=1995" in f[0] and "-2segment=Ala" in f[2]
     assert "0lemma=Ala" in f[0] and "1lemma=ma" in f[0] and "-1lemma=ma" in f[2]
     assert "0recent_year=1" in f[2] and "0segm_starts_with_capital=1" in f[0]
 

@@ -67,8 +67,11 @@ def test_spacing_and_lines(spark):
     assert one(spark, M.first_lines(F.col("v"), 2), "1\n2\n3") == "1\n2"
 
 
-def test_clean_text_has_no_markup(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    out = pages.select(M.clean_text(F.col("html")).alias("t")).collect()
+def test_clean_articles_leave_no_markup(spark):
+    from kgenrich.operators.text import clean_articles
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet") \
+        .selectExpr("cast(page_id as string) as title", "page_id", "html as wikitext")
+    out = clean_articles(pages).collect()
+    assert len(out) == pages.count()
     for r in out:
-        assert "[[" not in r.t and "{{" not in r.t and "<!--" not in r.t
+        assert "[[" not in r.text and "{{" not in r.text and "<!--" not in r.text

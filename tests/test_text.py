@@ -40,8 +40,12 @@ def test_correct_lemmas_capital_rule(spark):
     df = _words(spark, ["ala", "warszawa", "Województwo"], ["Ala", "Warszawa", "Województwo"])
     links = F.create_map(F.lit("Ala"), F.lit("Alicja"))
     r = df.select(T.correct_lemmas(F.col("w"), links).alias("r")).first().r
-    # link lemma for the first word, capital rule only after position 0, override
-    assert [w.lemma for w in r] == ["Alicja", "Warszawa", "województwo"]
+    # link lemma for the first word; the capital rule (after position 0) puts
+    # the segment back, also over the lower-case override
+    assert [w.lemma for w in r] == ["Alicja", "Warszawa", "Województwo"]
+    df = _words(spark, ["Województwo", "x"], ["Województwo", "x"])
+    r = df.select(T.correct_lemmas(F.col("w")).alias("r")).first().r
+    assert [w.lemma for w in r] == ["województwo", "x"]
 
 
 def test_sentences_and_tokens(spark):
