@@ -100,17 +100,18 @@ def train(positives: DataFrame, negatives: DataFrame, vocab_df: DataFrame,
     # otherwise ship the whole upstream plan with its tasks.
     checkpoint_dir(data.sparkSession)
     data = data.repartition(max(1, n // ROWS_PER_PARTITION + 1)).checkpoint(eager=True)
-    svm = _svc(n, C).fit(data)
-
     def fold_margins(k):
         tr = data.where(F.col("fold") != k)
         te = data.where(F.col("fold") == k)
         m = _svc(n, C).fit(tr)
         return m.transform(te).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
 
-    # out-of-fold margins for Platt scaling; folds fitted concurrently
-    with ThreadPoolExecutor(max_workers=folds) as pool:
+    # the final model and the out-of-fold margins for Platt scaling are
+    # independent solver runs: fit them concurrently (one-partition inputs)
+    with ThreadPoolExecutor(max_workers=folds + 1) as pool:
+        final = pool.submit(lambda: _svc(n, C).fit(data))
         parts = list(pool.map(fold_margins, range(folds)))
+        svm = final.result()
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
@@ -122,7 +123,7 @@ def train(positives: DataFrame, negatives: DataFrame, vocab_df: DataFrame,
         oof.select("margin", F.lit(0.0).alias("y"), (1.0 - target).alias("w")))
     platt = VectorAssembler(inputCols=["margin"], outputCol="m").transform(platt)
     lr = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0,
-                            standardization=False, maxIter=100).fit(platt)
+                            standardization=False, maxIter=50).fit(platt.coalesce(1))
     a, b = float(lr.coefficients[0]), float(lr.intercept)
     oof.unpersist()
     if not (math.isfinite(a) and math.isfinite(b)):

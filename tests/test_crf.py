@@ -7,14 +7,16 @@ from kgenrich.operators import crf
 
 def _problem(seed=0, n_sent=4, n_feat=16):
     rng = np.random.default_rng(seed)
-    fids, labels = [], []
+    fids, flens, labels = [], [], []
     for _ in range(n_sent):
         L = int(rng.integers(1, 6))
-        fids.append([list(rng.integers(0, n_feat, size=3)) for _ in range(L)])
+        k = list(rng.integers(1, 4, size=L))
+        flens.append(k)
+        fids.append(list(rng.integers(0, n_feat, size=sum(k))))
         labels.append(list(rng.integers(0, 2, size=L)))
     W = rng.normal(size=(n_feat, 2))
     T = rng.normal(size=(2, 2))
-    return fids, labels, W, T, n_feat
+    return (fids, flens), labels, W, T, n_feat
 
 
 def _brute_logz(E, T):
@@ -28,7 +30,7 @@ def _brute_logz(E, T):
 
 def test_logz_and_marginals_against_brute_force():
     fids, labels, W, T, n = _problem()
-    ids, tok, mask, lens, B, L = crf._batch(fids, n)
+    ids, tok, mask, lens, B, L = crf._batch(*fids)
     E = crf._emissions(W, ids, tok, B, L)
     _, _, logz, gamma = crf._forward_backward(E, T, mask)
     for b in range(B):
@@ -38,24 +40,24 @@ def test_logz_and_marginals_against_brute_force():
 
 def test_gradient_matches_finite_differences():
     fids, labels, W, T, n = _problem(seed=3)
-    loss, gW, gT = crf._loss_grad_batch(W, T, fids, labels, n)
+    loss, gW, gT = crf._loss_grad_batch(W, T, *fids, labels, n)
     eps = 1e-6
     for (f, y) in [(0, 0), (3, 1), (7, 0)]:
         W2 = W.copy()
         W2[f, y] += eps
-        l2, _, _ = crf._loss_grad_batch(W2, T, fids, labels, n)
+        l2, _, _ = crf._loss_grad_batch(W2, T, *fids, labels, n)
         assert np.isclose((l2 - loss) / eps, gW[f, y], atol=1e-4)
     for (i, j) in [(0, 1), (1, 1)]:
         T2 = T.copy()
         T2[i, j] += eps
-        l2, _, _ = crf._loss_grad_batch(W, T2, fids, labels, n)
+        l2, _, _ = crf._loss_grad_batch(W, T2, *fids, labels, n)
         assert np.isclose((l2 - loss) / eps, gT[i, j], atol=1e-4)
 
 
 def test_viterbi_is_best_path():
     fids, _, W, T, n = _problem(seed=5)
-    tags, probs = crf._viterbi_batch(W, T, fids)
-    ids, tok, mask, lens, B, L = crf._batch(fids, n)
+    tags, probs = crf._viterbi_batch(W, T, *fids)
+    ids, tok, mask, lens, B, L = crf._batch(*fids)
     E = crf._emissions(W, ids, tok, B, L)
     for b in range(B):
         Lb = lens[b]
