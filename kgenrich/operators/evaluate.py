@@ -87,7 +87,7 @@ def learning_curve(run, caps, runs: int = 10) -> DataFrame:
 def evaluation_sample(pairs: DataFrame, articles: DataFrame, n: int = 100, seed: int = 1) -> DataFrame:
     """``n`` random pairs, values grouped per subject, subjects with an
     article only: ``(entity, values)``."""
-    key = F.xxhash64(F.col("s"), F.col("o"), F.lit(seed))
+    key = F.md5(F.concat_ws("|", F.col("s"), F.col("o"), F.lit(str(seed))))
     sample = pairs.orderBy(key).limit(n)
     grouped = sample.groupBy("s").agg(F.collect_list("o").alias("values"))
     return grouped.join(articles.select(F.col("title").alias("s")), "s", "left_semi") \

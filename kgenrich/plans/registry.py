@@ -601,3 +601,121 @@ def j3(spark, sf):
         sc = ev.scores(ev.classify_errors(gold, pred), p)
         out.append(sc.select("p", "tp", "fp", "fn", "precision", "recall"))
     return out[0].unionByName(out[1])
+
+
+# --- A, B: sources and sinks (write to the stage folder, read back) ------------------
+
+from ..session import stage_path  # noqa: E402
+from ..sources import gold as gold_io  # noqa: E402
+from ..sources import ntriples as nt  # noqa: E402
+from ..operators import paper  # noqa: E402
+
+
+@register("b1_ntriples_lines", with_kg("""
+select '<http://pl.dbpedia.org/resource/' || replace(url_encode(s), '%2F', '/') ||
+       '> <http://pl.dbpedia.org/property/nation> "' || o || '"@pl .' as value
+from (select distinct s, o from kg_facts where p = 'nation')"""))
+def b1(spark, sf):
+    t, _ = _graph(spark, sf)
+    f = t.where(F.col("p") == "nation").select(F.col("s").alias("entity"), F.col("o").alias("value"))
+    return nt.ntriple_lines(f, "nation", numeric=False)
+
+
+@register("a5_ntriples_roundtrip", with_kg(
+    "select s, p, o, 'literal' as o_kind, 'pl' as lang from kg_facts where p = 'nation'"))
+def a5(spark, sf):
+    path = stage_path(spark, f"a5_ntriples_{abs(hash(sf))}")
+    b1(spark, sf).write.mode("overwrite").text(path)
+    return nt.read_ntriples(spark, path).select("s", "p", "o", "o_kind", "lang")
+
+
+@register("a11_gold_roundtrip", with_kg(
+    "select p, entity, array_to_string(\"values\", ' ') as vals from kg_gold_values"))
+def a11(spark, sf):
+    root = stage_path(spark, f"a11_gold_{abs(hash(sf))}")
+    ge, gv = kg.gold(spark, sf)
+    gold_io.write_gold(ge, gv, root)
+    _, vals = gold_io.read_gold(spark, root)
+    return vals.select("p", "entity", F.array_join("values", " ").alias("vals"))
+
+
+@register("j7_evaluation_sample", with_kg("""
+with pairs as (select s, o from kg_facts where p = 'nation'),
+smp as (select s, o from pairs order by md5(concat_ws('|', s, o, '1')) limit 100)
+select s as entity, array_to_string(list_sort(list(o)), ' ') as vals from smp
+where s in (select title from kg_articles) group by s"""))
+def j7(spark, sf):
+    t, _ = _graph(spark, sf)
+    pairs = t.where(F.col("p") == "nation").select("s", "o")
+    smp = ev.evaluation_sample(pairs, kg.articles(spark, sf), n=100, seed=1)
+    return smp.select("entity", F.array_join(F.array_sort("values"), " ").alias("vals"))
+
+
+@register("d2_is_entity", with_kg(f"""with {sentences_ctes()},
+catn as (select distinct name from (select entity as name from kg_types where type in
+        {_CAT.replace('[', '(').replace(']', ')')} union all select split_part(entity, '_(', 1) from kg_types
+        where type in {_CAT.replace('[', '(').replace(']', ')')} and contains(entity, '_('))),
+w as (select title, sent_id, unnest(segments) as seg from kg_sent)
+select title, cast(sent_id as int) as sent_id, cast(count(*) filter (where seg in (select name from catn)) as bigint) as n_entities,
+       cast(count(*) as bigint) as n_words from w group by title, sent_id"""))
+def d2(spark, sf):
+    _, _, catalog, sents = _corpus_sentences(spark, sf)
+    toks = sents.select("title", "sent_id", F.explode(F.transform("words", lambda w: w["segment"])).alias("seg"))
+    flagged = cat.is_entity(toks, "seg", catalog)
+    return flagged.groupBy("title", F.col("sent_id").cast("int").alias("sent_id")).agg(
+        F.count(F.when(F.col("is_entity"), 1)).cast("bigint").alias("n_entities"),
+        F.count(F.lit(1)).cast("bigint").alias("n_words"))
+
+
+@register("k4_paper_labels", with_kg(f"""with {labelled_ctes()},
+m as (select *, sum(case when kind = 'pos' then 1 else 0 end) over (partition by p, s, o) as nm,
+      list_contains(lemmas, p) as has_word from kg_lab where p = 'nation')
+select s, o, cast(sent_id as int) as sent_id,
+       case when kind = 'pos' and (nm = 1 or has_word) then 'pos' when kind = 'neg' then 'neg' else 'none' end as kind
+from m"""))
+def k4(spark, sf):
+    t, ty, _, sents = _corpus_sentences(spark, sf)
+    ge, _ = kg.gold(spark, sf)
+    spec = kg.relation("nation")
+    pairs = sup.drop_gold(sup.training_pairs(t, ty, spec), ge.where(F.col("p") == "nation"))
+    lab = paper.label_sentences_paper(pairs, sents, spec)
+    return lab.select("s", "o", F.col("sent_id").cast("int").alias("sent_id"), "kind")
+
+
+# --- trained stages: rows-only checks (numbers are not portable) ----------------------
+
+def _trained(spark, sf, p="nation"):
+    from .jobs import Corpus, train_models
+    t, ty, catalog, sents = _corpus_sentences(spark, sf)
+    ge, gv = kg.gold(spark, sf)
+    c = Corpus(t, ty, catalog, sents.cache(), ge, gv)
+    return c, train_models(c, kg.relation(p), crf_iter=30)
+
+
+@register("h4_informative_features")
+def h4(spark, sf):
+    from ..operators import classify
+    _, m = _trained(spark, sf)
+    return classify.most_informative(m.classifier, spark)
+
+
+@register("h5_i6_p2_evaluate")
+def p2(spark, sf):
+    from .jobs import evaluate_relation
+    c, m = _trained(spark, sf)
+    s, _, _ = evaluate_relation(c, kg.relation("nation"), m)
+    return s
+
+
+@register("p1_enrich_ntriples")
+def p1(spark, sf):
+    from .jobs import enrich
+    c, m = _trained(spark, sf, "balance")
+    return enrich(c, kg.relation("balance"), m)
+
+
+@register("i5_crf_informative_features")
+def i5(spark, sf):
+    from ..operators import crf
+    _, m = _trained(spark, sf)
+    return crf.most_informative(m.extractor, m.positives)
