@@ -267,7 +267,7 @@ def lbfgs(fg, x0: np.ndarray, m: int = 6, max_iter: int = 100, tol: float = 1e-5
 
 def train(positives: DataFrame, l2: float = 1.0, max_iter: int = 100, tol: float = 1e-5,
           n_features: int = N_FEATURES, batch: int = 1024, use_parse: bool = False,
-          rows_per_partition: int = 5000) -> CRFModel:
+          rows_per_partition: int = 1250) -> CRFModel:
     """I4: fit on ``(words, values)`` training sentences."""
     spark = positives.sparkSession
     checkpoint_dir(spark)
