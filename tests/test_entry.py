@@ -11,4 +11,4 @@ def test_registry_contract():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     for name in q:
-        assert name.split("_")[0][0] in "abcdefghijk", name
+        assert name.split("_")[0][0] in "abcdefghijkp", name
