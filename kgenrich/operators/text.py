@@ -288,3 +288,11 @@ def prepare_articles(raw: DataFrame, catalog: DataFrame, lexicon: DataFrame | No
     for stage in (join_decimal_numerals, join_adjacent_numerals, apply_multipliers):
         t = t.select("title", "sent_id", stage(F.col("words")).alias("words"))
     return t
+
+
+def get_articles(sentences: DataFrame, names: DataFrame,
+                 sentence_limit: int = ARTICLE_SENTENCE_LIMIT) -> DataFrame:
+    """A4: prepared sentences of the requested titles, first ``sentence_limit``
+    sentences each (a semi join and a filter; missing titles give no rows)."""
+    n = names.select(F.col(names.columns[0]).alias("title")).distinct()
+    return sentences.join(n, "title", "left_semi").where(F.col("sent_id") < sentence_limit)
