@@ -267,7 +267,17 @@ def e13(spark, sf):
     return _pages(spark, sf).select("page_id", mk.named_entities(F.col("html")).alias("text"))
 
 
-@register("e14_numeric_entities")
+_E14_SQL = """
+with t as (select page_id, html, regexp_split_to_array(html, '&#[0-9]+?;') as pieces,
+                  regexp_extract_all(html, '&#[0-9]+?;') as ents from pages),
+d as (select page_id, pieces, list_transform(ents, lambda e: case
+        when cast(regexp_extract(e, '([0-9]+)', 1) as bigint) >= 65536 then ''
+        else chr(cast(regexp_extract(e, '([0-9]+)', 1) as integer)) end) as chars from t)
+select page_id, array_to_string(list_transform(range(len(pieces)),
+       lambda i: pieces[i + 1] || coalesce(chars[i + 1], '')), '') as text from d"""
+
+
+@register("e14_numeric_entities", _E14_SQL)
 def e14(spark, sf):
     return _pages(spark, sf).select("page_id", mk.numeric_entities(F.col("html")).alias("text"))
 
@@ -310,13 +320,17 @@ def e23(spark, sf):
     return _docs(spark, sf).select("doc_id", mk.first_lines(F.col("text"), 10).alias("text"))
 
 
-@register("e22_clean_articles")
+@register("e22_clean_articles", with_kg(
+    "select {t} as title, ".format(t=kg.CUST) + " || chr(10) || ".join(kg.EXPECTED_CLEAN_LINES)
+    + " as text, cast(4 as bigint) as n_links from customer"))
 def e22(spark, sf):
     c = tx.clean_articles(kg.articles(spark, sf))
     return c.select("title", "text", F.size("links").cast("bigint").alias("n_links"))
 
 
-@register("e18_link_dictionary")
+@register("e18_link_dictionary", with_kg(
+    f"select {kg.CUST} as title, {kg.HOME} as token, {kg.HOME} as title_token from customer "
+    f"union all select {kg.CUST}, {kg.DISTRACTOR}, {kg.DISTRACTOR} from customer"))
 def e18(spark, sf):
     t, ty = _graph(spark, sf)
     c = tx.clean_articles(kg.articles(spark, sf))

@@ -85,6 +85,9 @@ EXPECTED_SENTENCES = [
     f"'Its largest supplier ships goods from ' || {DISTRACTOR} || ' to the warehouse every week.'",
     f"'The account balance reached ' || cast({BAL_INT} as string) || ' units at the end of the last year.'",
 ]
+# The cleaned text itself (numerals are joined later, per token).
+EXPECTED_CLEAN_LINES = EXPECTED_SENTENCES[:3] + [
+    f"'The account balance reached ' || {BALANCE_IN_TEXT} || ' units at the end of the last year.'"]
 NL = "chr(10)"
 ARTICLE = " || ".join([
     "'{{Infobox customer'", NL, f"'| name = ' || {CUST}", NL,
