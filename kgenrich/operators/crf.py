@@ -102,10 +102,14 @@ def _loss_grad_batch(W, T, fids_col, flens_col, labels_col, n_feat):
     ids, tok, mask, lens, B, L = _batch(fids_col, flens_col)
     if B == 0 or L == 0:
         return 0.0, np.zeros((n_feat, N_LABELS)), np.zeros((N_LABELS, N_LABELS))
-    E = _emissions(W, ids, tok, B, L)
     Y = np.zeros((B, L), dtype=np.int64)
     for b, lab in enumerate(labels_col):
         Y[b, :len(lab)] = np.asarray(lab, dtype=np.int64)
+    return _loss_grad_core(W, T, ids, tok, mask, lens, B, L, Y, n_feat)
+
+
+def _loss_grad_core(W, T, ids, tok, mask, lens, B, L, Y, n_feat):
+    E = _emissions(W, ids, tok, B, L)
     alpha, beta, logz, gamma = _forward_backward(E, T, mask)
     gold = np.take_along_axis(E, Y[:, :, None], axis=2)[:, :, 0]
     gold = (gold * mask).sum(axis=1)
@@ -130,6 +134,34 @@ def _loss_grad_batch(W, T, fids_col, flens_col, labels_col, n_feat):
     return loss, gW, gT
 
 
+def _arrow_batch(rb, pc):
+    """Arrow record batch (``fids``, ``flens``, ``labels`` list columns) ->
+    the same arrays as ``_batch``, zero-copy for the flat id buffers."""
+    fids, flens = rb.column("fids"), rb.column("flens")
+    B = rb.num_rows
+    lens = pc.list_value_length(flens).to_numpy(zero_copy_only=False).astype(np.int64)
+    L = int(lens.max()) if B else 0
+    if B == 0 or L == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((B, L), bool), lens, B, L
+    counts = flens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = fids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sent = np.repeat(np.arange(B, dtype=np.int64), lens)
+    first = np.repeat(np.cumsum(lens) - lens, lens)
+    tok = np.repeat(sent * L + (np.arange(len(sent), dtype=np.int64) - first), counts)
+    mask = np.arange(L)[None, :] < lens[:, None]
+    return ids, tok, mask, lens, B, L
+
+
+def _loss_grad_arrow(W, T, rb, n_feat, pc):
+    ids, tok, mask, lens, B, L = _arrow_batch(rb, pc)
+    if B == 0 or L == 0:
+        return 0.0, np.zeros((n_feat, N_LABELS)), np.zeros((N_LABELS, N_LABELS))
+    flat_labels = rb.column("labels").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    Y = np.zeros((B, L), dtype=np.int64)
+    Y[mask] = flat_labels
+    return _loss_grad_core(W, T, ids, tok, mask, lens, B, L, Y, n_feat)
+
+
 def _viterbi_batch(W, T, fids_col, flens_col):
     ids, tok, mask, lens, B, L = _batch(fids_col, flens_col)
     if B == 0 or L == 0:
@@ -193,24 +225,26 @@ def _objective(data: DataFrame, n_feat: int, l2: float, batch: int):
         bc = sc.broadcast(x)
 
         def part(it):
+            import pyarrow as pa
+            import pyarrow.compute as pc
             v = bc.value
             W = v[:size].reshape(n_feat, N_LABELS)
             T = v[size:size + 4].reshape(N_LABELS, N_LABELS)
             loss, gW, gT = 0.0, np.zeros((n_feat, N_LABELS)), np.zeros((N_LABELS, N_LABELS))
-            for pdf in it:
-                for s in range(0, len(pdf), batch):
-                    chunk = pdf.iloc[s:s + batch]
-                    l_, w_, t_ = _loss_grad_batch(W, T, list(chunk.fids), list(chunk.flens),
-                                                  list(chunk.labels), n_feat)
+            for rb in it:
+                for s in range(0, rb.num_rows, batch):
+                    chunk = rb.slice(s, batch)
+                    l_, w_, t_ = _loss_grad_arrow(W, T, chunk, n_feat, pc)
                     loss += l_
                     gW += w_
                     gT += t_
             g = np.concatenate([gW.ravel(), gT.ravel(), [loss]])
-            yield pd.DataFrame({"g": [g.astype(np.float64).tobytes()]})
+            yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.float64).tobytes()], pa.binary())],
+                                             names=["g"])
 
         # the training set has few partitions (bounded by the training cap),
         # so each returns one dense gradient and the driver adds them up
-        rows = data.mapInPandas(part, "g binary").collect()
+        rows = data.mapInArrow(part, "g binary").collect()
         bc.unpersist()
         vec = np.zeros(size + 5)
         for r in rows:

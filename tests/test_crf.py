@@ -83,3 +83,15 @@ def test_distributed_training_learns_separable_tags(spark):
     model = crf.train(df, max_iter=30, n_features=1 << 10)
     tagged = crf.tag(model, df.select("words")).collect()
     assert all(r.tags == [0, 1, 0] for r in tagged)
+
+
+def test_arrow_batch_matches_list_batch():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    (fids, flens), labels, W, T, n = _problem(seed=7, n_sent=6)
+    rb = pa.RecordBatch.from_arrays(
+        [pa.array(fids, pa.list_(pa.int32())), pa.array(flens, pa.list_(pa.int32())),
+         pa.array(labels, pa.list_(pa.int32()))], names=["fids", "flens", "labels"])
+    a = crf._loss_grad_arrow(W, T, rb.slice(1, 4), n, pc)
+    b = crf._loss_grad_batch(W, T, fids[1:5], flens[1:5], labels[1:5], n)
+    assert np.isclose(a[0], b[0]) and np.allclose(a[1], b[1]) and np.allclose(a[2], b[2])
