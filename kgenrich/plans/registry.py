@@ -620,6 +620,11 @@ def j3(spark, sf):
 # --- A, B: sources and sinks (write to the stage folder, read back) ------------------
 
 from ..session import stage_path  # noqa: E402
+
+
+def _key(sf: str) -> str:
+    import hashlib
+    return hashlib.md5(sf.encode()).hexdigest()[:12]
 from ..sources import gold as gold_io  # noqa: E402
 from ..sources import ntriples as nt  # noqa: E402
 from ..operators import paper  # noqa: E402
@@ -638,7 +643,7 @@ def b1(spark, sf):
 @register("a5_ntriples_roundtrip", with_kg(
     "select s, p, o, 'literal' as o_kind, 'pl' as lang from kg_facts where p = 'nation'"))
 def a5(spark, sf):
-    path = stage_path(spark, f"a5_ntriples_{abs(hash(sf))}")
+    path = stage_path(spark, f"a5_ntriples_{_key(sf)}")
     b1(spark, sf).write.mode("overwrite").text(path)
     return nt.read_ntriples(spark, path).select("s", "p", "o", "o_kind", "lang")
 
@@ -646,7 +651,7 @@ def a5(spark, sf):
 @register("a11_gold_roundtrip", with_kg(
     "select p, entity, array_to_string(\"values\", ' ') as vals from kg_gold_values"))
 def a11(spark, sf):
-    root = stage_path(spark, f"a11_gold_{abs(hash(sf))}")
+    root = stage_path(spark, f"a11_gold_{_key(sf)}")
     ge, gv = kg.gold(spark, sf)
     gold_io.write_gold(ge, gv, root)
     _, vals = gold_io.read_gold(spark, root)

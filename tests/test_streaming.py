@@ -1,5 +1,6 @@
 import os
 import tempfile
+import uuid
 
 from kgenrich.operators import text
 from kgenrich.streaming.incremental import prepare_stream
@@ -14,7 +15,8 @@ def test_available_now_prepares_only_new_articles(spark):
          ("B", 2, "'''B''' is another small town in the hills of the north.")],
         "title string, page_id long, wikitext string")
     first.write.mode("append").parquet(raw)
-    prepare_stream(spark, raw, out, catalog, query_name="t1")
+    name = f"t_{uuid.uuid4().hex}"    # the shared checkpoint folder outlives this run
+    prepare_stream(spark, raw, out, catalog, query_name=name)
     assert sorted(r.title for r in spark.read.parquet(out).select("title").distinct().collect()) == ["A", "B"]
     # a new file with one new and one already prepared title
     second = spark.createDataFrame(
@@ -22,7 +24,7 @@ def test_available_now_prepares_only_new_articles(spark):
          ("A", 1, "'''A''' is a small town in [[Big_Land]] near the river bank.")],
         "title string, page_id long, wikitext string")
     second.write.mode("append").parquet(raw)
-    prepare_stream(spark, raw, out, catalog, query_name="t1")
+    prepare_stream(spark, raw, out, catalog, query_name=name)
     s = spark.read.parquet(out)
     assert sorted(r.title for r in s.select("title").distinct().collect()) == ["A", "B", "C"]
     assert s.where("title = 'A'").count() == 1          # not prepared twice
