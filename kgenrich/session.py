@@ -29,6 +29,9 @@ def get_spark(app: str = "kgenrich", cpus: int | str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # reliable checkpoints are files in the shared folder: drop them once
+        # the checkpointed data is no longer referenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("KG_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
