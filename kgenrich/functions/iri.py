@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-DATA_SOURCE = "http://pl.dbpedia.org"
-ONTOLOGY = "http://dbpedia.org/ontology/"
+# Default namespaces (parameters of every function below).
+DATA_SOURCE = "http://pl.kg.example.org"
+ONTOLOGY = "http://kg.example.org/ontology/"
 
 
 def _quote(name: Column) -> Column:

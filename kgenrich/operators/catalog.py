@@ -1,8 +1,8 @@
 """Entity catalog and candidate selection.
 
-Nothing is collected to the driver: the chosen candidate type is a one-row
-DataFrame (``limit(1)``, so a proven size bound) that is broadcast into the
-join; predominant types are found by one partial aggregation.
+Only a scalar reaches the driver (the number of typed subjects); the chosen
+candidate type is a one-row DataFrame (``limit(1)``, a proven size bound)
+that is broadcast into the join; type counts are partial aggregations.
 """
 
 from __future__ import annotations
@@ -51,12 +51,10 @@ def predominant_types(triples: DataFrame, types: DataFrame, spec: RelationSpec,
     pairs = triples.where(F.col("p") == spec.p).select("s", "o")
     whose = "s" if subject else "o"
     j = pairs.join(types, pairs[whose] == types.entity).select("s", "type")
-    # a global aggregate is exactly one row: broadcasting it is bounded
-    n_entities = j.agg(F.countDistinct("s").alias("n_entities")).withColumn("__k", F.lit(1))
+    n_entities = j.agg(F.countDistinct("s")).first()[0]          # a scalar
     counts = j.where(~F.col("type").isin(wide)).groupBy("type").agg(
-        F.count(F.lit(1)).alias("cnt")).withColumn("__k", F.lit(1))
-    return counts.join(F.broadcast(n_entities), "__k") \
-        .where(F.col("cnt") >= F.lit(share) * F.col("n_entities")).select("type")
+        F.count(F.lit(1)).alias("cnt"))
+    return counts.where(F.col("cnt") >= F.lit(share * n_entities)).select("type")
 
 
 def type_sizes(types: DataFrame) -> DataFrame:

@@ -28,13 +28,14 @@ def select_all(triples: DataFrame, s: str | None = None, p: str | None = None,
 
 def subject_types(triples: DataFrame, types: DataFrame, predicate: str,
                   subject: bool = True) -> DataFrame:
-    """Per subject of ``predicate``, the list of types of the subject (or of
-    its objects); one entry per (pair, type), so duplicates stay.
-    Result ``(s, types array<string>)`` -- partial aggregation is map-side."""
+    """Per subject of ``predicate``, the types of the subject (or of its
+    objects) with multiplicity -- one count per (pair, type), as the original
+    list keeps duplicates. Result ``(s, type, n)``: a multiset, so a subject
+    with millions of objects never becomes one huge list."""
     pairs = triples.where(F.col("p") == predicate).select("s", "o")
     whose = "s" if subject else "o"
     j = pairs.join(types, pairs[whose] == types.entity)
-    return j.groupBy("s").agg(F.collect_list("type").alias("types"))
+    return j.groupBy("s", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def count_entities_of_type(types: DataFrame, type_name: str | None = None) -> DataFrame:

@@ -260,8 +260,8 @@ def join_numerals(words: Column) -> Column:
 
 def prepare_articles(raw: DataFrame, catalog: DataFrame, lexicon: DataFrame | None = None,
                      names: DataFrame | None = None, done: DataFrame | None = None,
-                     line_limit: int = ARTICLE_SENTENCE_LIMIT,
-                     sentence_limit: int = ARTICLE_SENTENCE_LIMIT,
+                     line_limit: int | None = None,
+                     sentence_limit: int | None = None,
                      corpus_lexicon: bool = True) -> DataFrame:
     """Raw articles -> ``sentences(title, sent_id, words)``.
 
@@ -269,7 +269,9 @@ def prepare_articles(raw: DataFrame, catalog: DataFrame, lexicon: DataFrame | No
     article simply produce nothing), ``done`` skips titles already prepared
     (F18, an anti join). Clean (E22), first lines (E23), split and tag (F1,
     F2), correct lemmas with the link dictionary (F8-F10), join numerals
-    (F5-F7), keep the first sentences (F19)."""
+    (F5-F7). Whole texts by default; ``line_limit`` / ``sentence_limit``
+    (``ARTICLE_SENTENCE_LIMIT`` = 10 in the original) keep only the first
+    lines before tagging (E23) and the first sentences after (F19)."""
     if names is not None:
         raw = raw.join(names.select(F.col(names.columns[0]).alias("title")), "title", "left_semi")
     if done is not None:
@@ -281,7 +283,9 @@ def prepare_articles(raw: DataFrame, catalog: DataFrame, lexicon: DataFrame | No
         lexicon = lexicon_from_corpus(sents)
     tagged = tag_sentences(sents, lexicon)
     ld = link_dictionary(clean, catalog)
-    t = tagged.join(ld, "title", "left").where(F.col("sent_id") < sentence_limit)
+    t = tagged.join(ld, "title", "left")
+    if sentence_limit is not None:
+        t = t.where(F.col("sent_id") < sentence_limit)
     # one projection per array stage: the numeral passes index their input
     # per element, so an inlined input would be recomputed per element
     t = t.select("title", "sent_id", correct_lemmas(F.col("words"), F.col("links_map")).alias("words"))
@@ -291,8 +295,9 @@ def prepare_articles(raw: DataFrame, catalog: DataFrame, lexicon: DataFrame | No
 
 
 def get_articles(sentences: DataFrame, names: DataFrame,
-                 sentence_limit: int = ARTICLE_SENTENCE_LIMIT) -> DataFrame:
-    """A4: prepared sentences of the requested titles, first ``sentence_limit``
-    sentences each (a semi join and a filter; missing titles give no rows)."""
+                 sentence_limit: int | None = None) -> DataFrame:
+    """A4: prepared sentences of the requested titles (a semi join; missing
+    titles give no rows); optionally only the first ``sentence_limit``."""
     n = names.select(F.col(names.columns[0]).alias("title")).distinct()
-    return sentences.join(n, "title", "left_semi").where(F.col("sent_id") < sentence_limit)
+    out = sentences.join(n, "title", "left_semi")
+    return out if sentence_limit is None else out.where(F.col("sent_id") < sentence_limit)

@@ -44,15 +44,13 @@ def c1(spark, sf):
 
 
 @register("c2_subject_types", with_kg("""
-select f.s, cast(count(*) as bigint) as n_types,
-       array_to_string(list_sort(list(t.type)), ',') as types
+select f.s, t.type, cast(count(*) as bigint) as n
 from kg_facts f join kg_types t on f.s = t.entity
-where f.p = 'nation' group by f.s"""))
+where f.p = 'nation' group by f.s, t.type"""))
 def c2(spark, sf):
     t, ty = _graph(spark, sf)
     r = graph.subject_types(t, ty, "nation")
-    return r.select("s", F.size("types").cast("bigint").alias("n_types"),
-                    F.array_join(F.array_sort("types"), ",").alias("types"))
+    return r.select("s", "type", F.col("n").cast("bigint").alias("n"))
 
 
 @register("c3_count_by_type", with_kg(
@@ -91,9 +89,9 @@ def c7(spark, sf):
     return graph.all_subjects(t)
 
 
-@register("c8_iri_roundtrip", with_kg("""
-select 'http://pl.dbpedia.org/resource/' || replace(url_encode(s), '%2F', '/') as s_iri,
-       'http://pl.dbpedia.org/property/' || replace(url_encode(p), '%2F', '/') as p_iri,
+@register("c8_iri_roundtrip", with_kg(f"""
+select '{iri.DATA_SOURCE}/resource/' || replace(url_encode(s), '%2F', '/') as s_iri,
+       '{iri.DATA_SOURCE}/property/' || replace(url_encode(p), '%2F', '/') as p_iri,
        s as s_back
 from kg_facts"""))
 def c8(spark, sf):
@@ -630,9 +628,9 @@ from ..sources import ntriples as nt  # noqa: E402
 from ..operators import paper  # noqa: E402
 
 
-@register("b1_ntriples_lines", with_kg("""
-select '<http://pl.dbpedia.org/resource/' || replace(url_encode(s), '%2F', '/') ||
-       '> <http://pl.dbpedia.org/property/nation> "' || o || '"@pl .' as value
+@register("b1_ntriples_lines", with_kg(f"""
+select '<{iri.DATA_SOURCE}/resource/' || replace(url_encode(s), '%2F', '/') ||
+       '> <{iri.DATA_SOURCE}/property/nation> "' || o || '"@pl .' as value
 from (select distinct s, o from kg_facts where p = 'nation')"""))
 def b1(spark, sf):
     t, _ = _graph(spark, sf)

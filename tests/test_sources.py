@@ -58,9 +58,9 @@ def test_ntriples_roundtrip(spark):
     assert got == [("Nowa_Wieś", "populacja", "12", ntriples.XSD_INT),
                    ("Łódź", "populacja", "34", ntriples.XSD_INT)]
     text = spark.createDataFrame(
-        ['<http://pl.dbpedia.org/resource/A> <http://pl.dbpedia.org/property/gmina> "Gmina \\"X\\""@pl .',
-         '<http://pl.dbpedia.org/resource/A> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> '
-         '<http://dbpedia.org/ontology/Settlement> .', 'garbage line'], "string").toDF("value")
+        ['<http://pl.kg.example.org/resource/A> <http://pl.kg.example.org/property/gmina> "Gmina \\"X\\""@pl .',
+         '<http://pl.kg.example.org/resource/A> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> '
+         '<http://kg.example.org/ontology/Settlement> .', 'garbage line'], "string").toDF("value")
     rows = ntriples.parse_ntriples(text).collect()
     assert len(rows) == 2
     assert rows[0].o == 'Gmina "X"' and rows[0].lang == "pl" and rows[0].o_kind == "literal"
