@@ -144,14 +144,18 @@ def _word(seg: Column, lemma: Column, tag: Column, parse: Column | None = None)
 
 
 def tag_sentences(sents: DataFrame, lexicon: DataFrame | None = None,
-                  id_col: str = "title") -> DataFrame:
+                  id_col: str = "title", unique_forms: bool = False) -> DataFrame:
     """F1-F2: ``(id, sent_id, words)``. Without a lexicon every form is its own
     lemma with tag ``ign``. With one, each form takes its most frequent
-    ``(lemma, tag)``; unknown forms fall back the same way."""
+    ``(lemma, tag)`` (``unique_forms``: the lexicon has one row per form
+    already, so no aggregation); unknown forms fall back the same way."""
     if lexicon is None:
         return sents.select(id_col, "sent_id", F.transform(
             "tokens", lambda t: _word(t, t, F.lit("ign"))).alias("words"))
-    best = lexicon.groupBy("form").agg(F.max_by(F.struct("lemma", "tag"), "n").alias("lt"))
+    if unique_forms:
+        best = lexicon.select("form", F.struct("lemma", "tag").alias("lt"))
+    else:
+        best = lexicon.groupBy("form").agg(F.max_by(F.struct("lemma", "tag"), "n").alias("lt"))
     toks = sents.select(id_col, "sent_id", F.posexplode("tokens").alias("pos", "form"))
     j = toks.join(best, "form", "left")
     w = F.struct("pos", _word(F.col("form"), F.coalesce("lt.lemma", "form"),
@@ -279,9 +283,10 @@ def prepare_articles(raw: DataFrame, catalog: DataFrame, lexicon: DataFrame | No
     # cleaned once: sentences, the lexicon and the link dictionary all read it
     clean = clean_articles(raw, keep_lines=line_limit).persist(StorageLevel.MEMORY_AND_DISK)
     sents = sentences(clean)
+    unique = False
     if lexicon is None and corpus_lexicon:
-        lexicon = lexicon_from_corpus(sents)
-    tagged = tag_sentences(sents, lexicon)
+        lexicon, unique = lexicon_from_corpus(sents), True
+    tagged = tag_sentences(sents, lexicon, unique_forms=unique)
     ld = link_dictionary(clean, catalog)
     t = tagged.join(ld, "title", "left")
     if sentence_limit is not None:
