@@ -42,6 +42,12 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def _when_has(t: Column, ch: str, transformed: Column) -> Column:
+    """Apply ``transformed`` only when ``t`` holds ``ch`` (every pattern of the
+    step needs it, so the result is the same; the regex passes are skipped)."""
+    return F.when(t.contains(ch), transformed).otherwise(t)
+
+
 def _each_match(text: Column, pattern: str, fn) -> Column:
     """Replace every distinct match (found in ``text``) everywhere by ``fn(m)``."""
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -83,25 +89,28 @@ def single_tag_patterns(tag: str) -> tuple[str, str]:
 
 def drop_garbage_tags(t: Column, tags=None) -> Column:
     """Tags removed together with their content."""
+    out = t
     for tag in tags or GARBAGE_TAGS:
-        t = F.regexp_replace(t, garbage_tag_pattern(tag), "")
-    return t
+        out = F.regexp_replace(out, garbage_tag_pattern(tag), "")
+    return _when_has(t, "<", out)
 
 
 def drop_wrapper_tags(t: Column, tags=None) -> Column:
     """E5: opening and closing tags removed, content kept."""
+    out = t
     for tag in tags or WRAPPER_TAGS:
         left, right = wrapper_tag_patterns(tag)
-        t = F.regexp_replace(F.regexp_replace(t, left, ""), right, "")
-    return t
+        out = F.regexp_replace(F.regexp_replace(out, left, ""), right, "")
+    return _when_has(t, "<", out)
 
 
 def drop_single_tags(t: Column, tags=None) -> Column:
     """Self-closing tags, well or badly formed."""
+    out = t
     for tag in tags or SINGLE_TAGS:
         good, bad = single_tag_patterns(tag)
-        t = F.regexp_replace(F.regexp_replace(t, good, ""), bad, "")
-    return t
+        out = F.regexp_replace(F.regexp_replace(out, good, ""), bad, "")
+    return _when_has(t, "<", out)
 
 
 # E7 ---------------------------------------------------------------------------
@@ -114,22 +123,25 @@ def placeholders(t: Column) -> Column:
             return F.struct(F.replace(acc["t"], m, label).alias("t"), (acc["i"] + 1).alias("i"))
         return step
 
+    out = t
     for tag, name in PLACEHOLDER_TAGS:
-        matches = F.regexp_extract_all(t, F.lit(garbage_tag_pattern(tag)), 0)
-        start = F.struct(t.alias("t"), F.lit(1).alias("i"))
-        t = F.aggregate(matches, start, numbered(name))["t"]
-    return t
+        matches = F.regexp_extract_all(out, F.lit(garbage_tag_pattern(tag)), 0)
+        start = F.struct(out.alias("t"), F.lit(1).alias("i"))
+        out = F.aggregate(matches, start, numbered(name))["t"]
+    return _when_has(t, "<", out)
 
 
 # E8 ---------------------------------------------------------------------------
 def drop_templates(t: Column, passes: int = 3) -> Column:
     """Tables and templates: collapse double braces, then remove ``{...}`` three
     times (so three nesting levels)."""
+    out = t
     for a, b in [("{{end box}}", "}"), ("{{", "{"), ("}}", "}"), ("{|", "{"), ("|}", "}")]:
-        t = F.replace(t, F.lit(a), F.lit(b))
+        out = F.replace(out, F.lit(a), F.lit(b))
     for _ in range(passes):
-        t = F.regexp_replace(t, r"(?s)\{[^{]*?\}", "")
-    return t
+        out = F.regexp_replace(out, r"(?s)\{[^{]*?\}", "")
+    # every replacement above needs a brace ("|}" included)
+    return F.when(t.contains("{") | t.contains("}"), out).otherwise(t)
 
 
 # E17 --------------------------------------------------------------------------
@@ -197,7 +209,14 @@ def link_steps():
         t = F.replace(F.replace(t, F.lit("[["), F.lit("")), F.lit("]]"), F.lit(""))
         return t, F.concat(links, new)
 
-    return [good_first, good_second, bad_left, bad_right]
+    def guarded(step):
+        def run(t, links):
+            t2, l2 = step(t, links)
+            has = t.contains("[")
+            return F.when(has, t2).otherwise(t), F.when(has, l2).otherwise(links)
+        return run
+
+    return [guarded(f) for f in (good_first, good_second, bad_left, bad_right)]
 
 
 def resolve_links(t: Column) -> tuple[Column, Column]:
@@ -210,19 +229,21 @@ def resolve_links(t: Column) -> tuple[Column, Column]:
 
 # E11 --------------------------------------------------------------------------
 def drop_http_links(t: Column) -> Column:
-    return F.replace(F.regexp_replace(t, r"(?si)\[http.*?\]", ""), F.lit("[]"), F.lit(""))
+    out = F.replace(F.regexp_replace(t, r"(?si)\[http.*?\]", ""), F.lit("[]"), F.lit(""))
+    return _when_has(t, "[", out)
 
 
 # E12 --------------------------------------------------------------------------
 def bold_italic(t: Column) -> Column:
     bold = r"(?s)\w'('''[^\s'][^']*?[^\s']''')[^']"
     italic = r"(?s)\w'(''[^\s'][^']*?[^\s']'')[^']"
+    src = t
     b = F.regexp_extract_all(t, F.lit(bold), 1)
     t = F.aggregate(b, t, lambda acc, m: F.replace(acc, m, F.substring(m, 4, F.length(m) - 6)))
     i = F.regexp_extract_all(t, F.lit(italic), 1)
     t = F.aggregate(i, t, lambda acc, m: F.replace(
         acc, m, F.concat(F.lit("&quot;"), F.substring(m, 3, F.length(m) - 4), F.lit("&quot;"))))
-    return F.replace(F.replace(t, F.lit("'''"), F.lit("")), F.lit("''"), F.lit("&quot;"))
+    return _when_has(src, "'", F.replace(F.replace(t, F.lit("'''"), F.lit("")), F.lit("''"), F.lit("&quot;")))
 
 
 # E13 --------------------------------------------------------------------------
@@ -239,10 +260,12 @@ def _entity_map() -> Column:
 def named_entities(t: Column) -> Column:
     """``&amp;`` first (so double escapes decode), doubled quotes collapsed, then
     every named entity present in the text replaced by its character."""
+    src = t
     t = F.replace(F.replace(t, F.lit("&amp;"), F.lit("&")), F.lit("&quot;&quot;"), F.lit("&quot;"))
     found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&[A-Za-z0-9]+;"), 0))
     emap = _entity_map()
-    return F.aggregate(found, t, lambda acc, m: F.replace(acc, m, F.coalesce(F.element_at(emap, m), m)))
+    return _when_has(src, "&", F.aggregate(
+        found, t, lambda acc, m: F.replace(acc, m, F.coalesce(F.element_at(emap, m), m))))
 
 
 # E14 --------------------------------------------------------------------------
@@ -255,7 +278,7 @@ def numeric_entities(t: Column) -> Column:
         ch = F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
         return F.when(n >= 0x10000, F.lit("")).otherwise(ch)
 
-    return F.aggregate(found, t, lambda acc, m: F.replace(acc, m, char(m)))
+    return _when_has(t, "&#", F.aggregate(found, t, lambda acc, m: F.replace(acc, m, char(m))))
 
 
 # E15 --------------------------------------------------------------------------
