@@ -101,3 +101,63 @@ def feature_file_lines(sentences: DataFrame, feats_col: str = "feats",
 
 def write_feature_file(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
+def _parse_shallow(text: str):
+    """One shallow-parse document -> [(sent_id, [(segment, lemma, tag, parse)])];
+    ``parse`` is the type of the innermost enclosing ``group``."""
+    import io
+    import xml.etree.ElementTree as ET
+
+    out, sentence, groups = [], [], []
+    for event, el in ET.iterparse(io.StringIO(text), events=("start", "end")):
+        tag = el.tag.rsplit("}", 1)[-1]
+        if tag == "group":
+            if event == "start":
+                groups.append(el.get("type", ""))
+            else:
+                groups.pop()
+            continue
+        if event != "end":
+            continue
+        if tag == "chunk" and el.get("type") == "s":
+            out.append((len(out), sentence))
+            sentence = []
+        elif tag == "tok":
+            orth = el.findtext("orth") or ""
+            lemma, ctag = orth, "ign"
+            for lex in el.findall("lex"):
+                if lex.get("disamb") is not None:
+                    lemma, ctag = lex.findtext("base") or orth, lex.findtext("ctag") or "ign"
+                    break
+            sentence.append((orth, lemma, ctag, groups[-1] if groups else ""))
+            el.clear()
+    return out
+
+
+SHALLOW_SCHEMA = ("title string, sent_id int, "
+                  "words array<struct<segment:string,lemma:string,tag:string,parse:string>>")
+
+
+def read_shallow(spark: SparkSession, path: str) -> DataFrame:
+    """Shallow-parse XML (tokens nested in ``group`` elements) ->
+    ``sentences(title, sent_id, words)`` with the innermost group type as
+    ``parse``. Tokens and groups interleave, an order the XML source does not
+    keep, so each file (one article) is parsed by a small helper on the
+    executors; files are the unit of parallelism."""
+    import pandas as pd
+
+    files = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)*$", 1).alias("title"),
+        "value")
+
+    def parse(it):
+        for pdf in it:
+            rows = []
+            for title, text in zip(pdf["title"], pdf["value"]):
+                for sid, words in _parse_shallow(text):
+                    rows.append((title, sid, [dict(zip(("segment", "lemma", "tag", "parse"), w))
+                                              for w in words]))
+            yield pd.DataFrame(rows, columns=["title", "sent_id", "words"])
+
+    return files.mapInPandas(parse, SHALLOW_SCHEMA)

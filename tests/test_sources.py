@@ -110,3 +110,27 @@ def test_xces_conll_roundtrip(spark):
     parsed = spark.createDataFrame([("art", 0, 1, "subj")], "title string, sent_id int, pos int, label string")
     withp = tagged.with_parse(sents, parsed).where("sent_id = 0").first()
     assert [w.parse for w in withp.words] == ["", "subj"]
+
+
+SPEJD = """<?xml version="1.0" encoding="UTF-8"?>
+<chunkList>
+<chunk type="p">
+ <chunk type="s">
+  <group type="NG"><tok><orth>Stary</orth><lex disamb="1"><base>stary</base><ctag>adj:sg:nom:m1</ctag></lex></tok>
+   <group type="PrepNG"><tok><orth>w</orth><lex disamb="1"><base>w</base><ctag>prep:loc</ctag></lex></tok></group>
+   <tok><orth>dom</orth><lex disamb="1"><base>dom</base><ctag>subst:sg:nom:m3</ctag></lex></tok></group>
+  <tok><orth>.</orth><lex disamb="1"><base>.</base><ctag>interp</ctag></lex></tok>
+ </chunk>
+</chunk>
+</chunkList>
+"""
+
+
+def test_shallow_parse_reader(spark):
+    d = _tmp()
+    with open(os.path.join(d, "art.xml"), "w") as f:
+        f.write(SPEJD)
+    r = tagged.read_shallow(spark, os.path.join(d, "art.xml")).collect()
+    assert len(r) == 1 and r[0].title == "art" and r[0].sent_id == 0
+    assert [(w.segment, w.lemma, w.parse) for w in r[0].words] == [
+        ("Stary", "stary", "NG"), ("w", "w", "PrepNG"), ("dom", "dom", "NG"), (".", ".", "")]
