@@ -11,10 +11,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import PREDOMINANT_SHARE, WIDE_TYPES
 from ..functions import iri
+from ..functions import markup as mk
+from ..functions import tags as tg
+from ..functions import values as vals
 from ..operators import catalog as cat
-from ..operators import graph
+from ..operators import evaluate as ev
+from ..operators import extract as ex
+from ..operators import graph, paper
+from ..operators import supervise as sup
+from ..operators import text as tx
+from ..session import stage_path
+from ..sources import gold as gold_io
+from ..sources import ntriples as nt
 from . import testkg as kg
-from .oracle import sql_list, with_kg
+from .oracle import labelled_ctes, pairs_ctes, sentences_ctes, sql_list, with_kg
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -168,10 +178,6 @@ def d7(spark, sf):
 
 # --- E: markup cleaning (on the raw web pages and the derived articles) ------
 
-from ..functions import markup as mk  # noqa: E402
-from ..functions import tags as tg  # noqa: E402
-from ..functions import values as vals  # noqa: E402
-from ..operators import text as tx  # noqa: E402
 
 
 def _pages(spark, sf):
@@ -423,10 +429,6 @@ def f17(spark, sf):
 # source columns and tokenises / true-cases / labels them in SQL, so these
 # checks cover the Spark chain clean -> split -> tag -> label -> decode.
 
-from ..operators import evaluate as ev  # noqa: E402
-from ..operators import extract as ex  # noqa: E402
-from ..operators import supervise as sup  # noqa: E402
-from .oracle import labelled_ctes, pairs_ctes, sentences_ctes  # noqa: E402
 
 _PLANTED = ["nation", "balance"]
 
@@ -617,15 +619,11 @@ def j3(spark, sf):
 
 # --- A, B: sources and sinks (write to the stage folder, read back) ------------------
 
-from ..session import stage_path  # noqa: E402
 
 
 def _key(sf: str) -> str:
     import hashlib
     return hashlib.md5(sf.encode()).hexdigest()[:12]
-from ..sources import gold as gold_io  # noqa: E402
-from ..sources import ntriples as nt  # noqa: E402
-from ..operators import paper  # noqa: E402
 
 
 @register("b1_ntriples_lines", with_kg(f"""
