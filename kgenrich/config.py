@@ -6,7 +6,7 @@ stated plainly and together.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, asdict
+from dataclasses import asdict, dataclass
 
 # --- fixed values -----------------------------------------------------------
 # Types that are too wide to select candidates by (local names).

@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import (ARTICLE_SENTENCE_LIMIT, LEMMA_OVERRIDES, MILLION_WORDS,
-                      THOUSAND_WORDS)
+from ..config import LEMMA_OVERRIDES, MILLION_WORDS, THOUSAND_WORDS
 from ..functions import markup
 from ..functions.values import is_numeric, try_double
 
