@@ -99,7 +99,10 @@ def train(positives: DataFrame, negatives: DataFrame, vocab_df: DataFrame,
     # A reliable checkpoint cuts the lineage: every solver iteration would
     # otherwise ship the whole upstream plan with its tasks.
     checkpoint_dir(data.sparkSession)
-    data = data.repartition(max(1, n // ROWS_PER_PARTITION + 1)).checkpoint(eager=True)
+    # Only the solver's columns are kept: the sentences' word arrays would
+    # otherwise be carried through every iteration's scan.
+    data = data.select("label", "vec", "fold") \
+        .repartition(max(1, n // ROWS_PER_PARTITION + 1)).checkpoint(eager=True)
     def fold_margins(k):
         tr = data.where(F.col("fold") != k)
         te = data.where(F.col("fold") == k)
