@@ -93,3 +93,18 @@ def test_label_and_best_positive(spark):
         .select(G.features(F.col("words"), stop_words=["of"]).alias("f")).first().f
     assert feats == ["is", "capital", "a"]
     assert G.vocabulary_threshold(None) == 2 and G.vocabulary_threshold(500) == 5
+
+
+def test_candidate_limit_and_chunks(spark):
+    rows = [(f"E{i:03d}", "type", "Town") for i in range(250)] + \
+           [(f"E{i:03d}", "mayor", f"M{i}") for i in range(0, 250, 2)]
+    t = spark.createDataFrame(rows, "s string, p string, o string")
+    ty = t.where("p = 'type'").select(F.col("s").alias("entity"), F.col("o").alias("type"))
+    spec = RelationSpec("mayor", name_exclusions=("E24",))
+    cands = D.candidates(t, ty, spec)
+    names = sorted(r.entity for r in cands.collect())
+    # odd entities lack the relation; names containing "E24" excluded
+    assert len(names) == 125 - 5 and all(int(n[1:]) % 2 == 1 for n in names)
+    assert [r.entity for r in D.candidates(t, ty, spec, limit=3).collect()] == ["E001", "E003", "E005"]
+    chunks = D.chunked(cands, chunk=50)
+    assert chunks.rdd.getNumPartitions() == 3 and chunks.count() == 120
