@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,7 +33,7 @@ def get_spark(app: str = "kgenrich", cpus: int | str | None = None,
         # reliable checkpoints are files in the shared folder: drop them once
         # the checkpointed data is no longer referenced
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("KG_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("KG_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,10 +44,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stage tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    unset and the master is local (tests) a fresh scratch folder is created
+    and registered; on a cluster a machine-local folder would lose data, so
+    that raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="kg-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
@@ -56,5 +61,5 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """Path of a named stage table under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "stages", name)
+    """A fresh path for a stage table under the shared checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), "stages", uuid.uuid4().hex, name)

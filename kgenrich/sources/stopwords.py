@@ -1,33 +1,34 @@
 """Stop-word list.
 
-The list is a parameter. The default is Spark ML's own per-language list
-(the resource behind ``StopWordsRemover.loadDefaultStopWords``), read from
-the Spark ML jar so that it is available without a running JVM (the oracle
-SQL embeds the same list). A one-column table can be passed instead.
+The list is a parameter. The default is the public English stop-word list of
+Spark ML (what ``StopWordsRemover.loadDefaultStopWords("english")`` returns),
+kept here as text so that importing the package needs no JVM, jar or session.
+A one-column table can be passed instead.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+# Spark ML's default English stop words, in its order.
+ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his
+himself she her hers herself it its itself they them their theirs themselves what which
+who whom this that these those am is are was were be been being have has had having do
+does did doing a an the and but if or because as until while of at by for with about
+against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each
+few more most other some such no nor not only own same so than too very s t can will
+just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't
+wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't
+shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
+what's when's where's who's why's would
+"""
 
-@functools.lru_cache(maxsize=None)
-def default_stop_words(language: str = "english") -> tuple[str, ...]:
-    import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars",
-                                  "spark-mllib_*.jar"))
-    if not jars:  # pragma: no cover - non-standard install: ask the JVM
-        from pyspark.ml.feature import StopWordsRemover
-        return tuple(StopWordsRemover.loadDefaultStopWords(language))
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt")
-    return tuple(w for w in raw.decode("utf-8").split() if w)
+def default_stop_words() -> tuple[str, ...]:
+    return tuple(ENGLISH.split())
 
 
 def stop_words_frame(spark: SparkSession, words=None) -> DataFrame:
