@@ -22,15 +22,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
+_powers = _inverse = np.ones(1, np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE ** i modulo 2 ** 64 for i < n."""
-    global _powers
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n (at least)."""
+    global _powers, _inverse
     if len(_powers) < n:
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 2 * CHUNK), _BASE, np.uint64))])
-    return _powers
+        n = max(n, 2 * CHUNK)
+        one = [np.uint64(1)]
+        _powers = np.concatenate([one, np.cumprod(np.full(n, _BASE, np.uint64))])
+        _inverse = np.concatenate([one, np.cumprod(np.full(n, pow(_BASE, -1, 2 ** 64), np.uint64))])
+    return _powers, _inverse
 
 
 def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -39,9 +42,9 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[b]
     edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
     s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    p = powers(len(b) + 1)
+    p, back = powers(len(b) + 1)
     cum = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * p[:len(b)])])
-    h = (cum[e] - cum[s]) * p[len(b) - s]
+    h = (cum[e] - cum[s]) * back[s]         # the same wherever the word stands
     return s, mix64(h + (e - s).astype(np.uint64))
 
 

@@ -37,13 +37,13 @@ class _Hashes:
     def __init__(self, raw):
         b = np.frombuffer(raw, np.uint8)
         self.n = len(b)
-        self.p = powers(self.n + 1)
+        p, self.back = powers(self.n + 1)
         self.cum = np.empty(self.n + 1, np.uint64)
         self.cum[0] = 0
-        np.cumsum(_BYTE[b] * self.p[:self.n], out=self.cum[1:])
+        np.cumsum(_BYTE[b] * p[:self.n], out=self.cum[1:])
 
     def __call__(self, s, e):
-        return (self.cum[e] - self.cum[s]) * self.p[self.n - s]
+        return (self.cum[e] - self.cum[s]) * self.back[s]
 
 
 def _anchors(raw: bytes, ends: np.ndarray, size: int):
