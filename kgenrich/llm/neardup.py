@@ -144,7 +144,8 @@ def _roots(classes: DataFrame, similarity: float) -> DataFrame:
 
 def _with_size(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two documents or more, with the node's size and first document."""
-    n = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("head")).where("n > 1")
+    # written out, so that the join below gets an exchange of its own, which Spark can split
+    n = materialise(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("head")).where("n > 1"), "nd-sizes")
     return rows.join(n, "node")
 
 
@@ -202,7 +203,9 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
         comp = connected_components(links)
         named = nodes.join(comp.withColumnRenamed("v", "cid"), "cid", "left") \
             .select("node", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
-        split = named.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        named = materialise(named, "nd-named")
+        split = materialise(named.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                            .where("lo <> hi").select("node"), "nd-split")
         still = materialise(named.join(split, "node", "left_semi").join(sig, "cid"), "nd-open")
         small, large = still.where(f"n between 3 and {SMALL_NODE}"), still.where(f"n > {SMALL_NODE}")
         pairs = inside(small)
