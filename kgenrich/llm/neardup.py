@@ -22,46 +22,52 @@ from .components import connected_components
 from .shingles import mix64, shingles_of, text_slices, words_of
 
 COORDS = 128            # MinHash positions, 16 bits each
-TREES = 10
-SMALL_NODE = 48         # documents compared exhaustively
-MAX_DEPTH = 24          # beyond it large nodes are compared block by block
+TREES = 8
+ROOT_COORDS = 2         # positions a root picks: 1/similarity, rounded up
+SMALL_NODE = 256        # documents compared exhaustively
+MAX_DEPTH = 5           # beyond it large nodes are compared block by block
 SLACK = 0.17            # over 4 standard deviations of a COORDS-position estimate
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(1, 2 ** 63, COORDS, dtype=np.uint64) | np.uint64(1)
+ROOTS = _rng.permutation(COORDS)[:TREES * ROOT_COORDS]      # every tree's root, no position twice
 
 
 def _sketch(shingle_words: int):
     def run(batches):
         for batch in batches:
-            n, s1, s2, sigs = [], [], [], []
+            n, s1, s2, sigs, roots = [], [], [], [], []
             for _, texts in text_slices(batch):
                 sets = [shingles_of(w, shingle_words) for w in words_of(texts)]
                 size = np.array([len(s) for s in sets])
                 full = np.flatnonzero(size)
                 sig = np.zeros((len(sets), COORDS), np.uint16)
+                root = np.zeros((len(sets), COORDS), np.uint64)     # whole values, for the roots
                 a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
                 if len(full):
                     u = np.concatenate([sets[i] for i in full])
                     at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
                     for k in range(COORDS):
-                        low = np.minimum.reduceat(u * _MUL[k], at)
-                        sig[full, k] = mix64(low).astype(np.uint16)
+                        low = mix64(np.minimum.reduceat(u * _MUL[k], at) + np.uint64(k))
+                        sig[full, k], root[full, k] = low.astype(np.uint16), low
                     a[full] = np.add.reduceat(u, at)
                     b[full] = np.add.reduceat(mix64(u), at)
                 n.append(size)
                 s1.append(a)
                 s2.append(b)
                 sigs.append(sig)
+                roots.append(root[:, ROOTS])
             if not n:
                 continue
             flat = np.concatenate(sigs).view(np.int16).ravel()
+            tops = np.concatenate(roots).view(np.int64).ravel()
             keep = [i for i, f in enumerate(batch.schema) if f.name != "text"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in keep]
                 + [pa.array(np.concatenate(n), pa.int64())]
                 + [pa.array(np.concatenate(x).view(np.int64)) for x in (s1, s2)]
-                + [pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, COORDS, dtype=np.int32), pa.array(flat))],
-                names=[batch.schema[i].name for i in keep] + ["n_shingles", "s1", "s2", "sig"])
+                + [pa.ListArray.from_arrays(np.arange(0, len(x) + 1, k, dtype=np.int32), pa.array(x))
+                   for x, k in ((flat, COORDS), (tops, len(ROOTS)))],
+                names=[batch.schema[i].name for i in keep] + ["n_shingles", "s1", "s2", "sig", "roots"])
     return run
 
 
@@ -133,27 +139,28 @@ def _children(rows: DataFrame, similarity: float) -> DataFrame:
     return r.select(F.xxhash64("node", "j", F.get("sig", coord)).alias("node"), "cid").distinct()
 
 
-def _roots(classes: DataFrame, similarity: float) -> DataFrame:
-    """The children of every tree's root: positions dealt without repetition."""
-    deal = np.random.default_rng(9).permutation(COORDS)
-    every = int(np.ceil(1 / similarity))
-    coords = [int(c) for t in range(TREES) for c in deal[t * every:(t + 1) * every]]
-    pairs = F.array(*[F.xxhash64(F.lit(c), F.get("sig", F.lit(c))) for c in coords])
-    return classes.select("cid", F.explode(pairs).alias("node"))
+def _roots(classes: DataFrame) -> DataFrame:
+    """The children of every tree's root."""
+    return classes.select("cid", F.explode("roots").alias("node"))
 
 
 def _with_size(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two documents or more, with the node's size and first document."""
+    """Rows of nodes with two documents or more, with the node's size and first
+    document. Of small nodes with the same documents one is kept: a group of
+    copies meets in most trees, and comparing it once is enough."""
+    n = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("head"), F.bit_xor(F.xxhash64("cid")).alias("x"),
+                                 F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("n > 1")
+    same = F.when(F.col("n") > SMALL_NODE, F.col("node"))
+    n = n.withColumn("same", same).groupBy("n", "head", "x", "y", "same").agg(F.min("node").alias("node"))
     # written out, so that the join below gets an exchange of its own, which Spark can split
-    n = materialise(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("head")).where("n > 1"), "nd-sizes")
-    return rows.join(n, "node")
+    return rows.join(materialise(n.select("node", "n", "head"), "nd-sizes"), "node")
 
 
 def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float = 0.75,
                          shingle_words: int = 5) -> DataFrame:
     """Confirmed links ``(a, b)`` between classes, enough to connect every group.
 
-    ``classes(cid, sig, tkey)``: one row per distinct set, with the key of one
+    ``classes(cid, sig, roots, tkey)``: one row per distinct set, with the key of one
     row that has it; ``docs(tkey, text)``."""
     least = int(np.floor((similarity - SLACK) * COORDS))
     sig = classes.select("cid", "sig")
@@ -179,7 +186,7 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
         return left.join(right, ["node", "to"]).select("rows", F.when(F.col("blk") != F.col("to"), F.col("other")).alias("other")) \
             .mapInPandas(_node_pairs(least), "a long, b long").distinct()
 
-    nodes = materialise(_with_size(_roots(classes, similarity)), "nd-nodes")
+    nodes = materialise(_with_size(_roots(classes)), "nd-nodes")
     first = materialise(close(star(nodes)), "nd-star")
     lone = nodes.where(f"n between 3 and {SMALL_NODE}").join(sig, "cid").withColumn("comp", F.col("cid"))
     # every class that any later comparison can ask for: its full set is made once
@@ -241,10 +248,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle_words: in
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("tkey"),
                       F.col(text_col).alias("text"))
     made = src.mapInArrow(_sketch(shingle_words),
-                          "doc_id long, tkey long, n_shingles long, s1 long, s2 long, sig array<smallint>")
+                          "doc_id long, tkey long, n_shingles long, s1 long, s2 long, sig array<smallint>, roots array<bigint>")
     made = materialise(made.withColumn("cid", F.xxhash64("n_shingles", "s1", "s2")), "nd-sketch")
     classes = materialise(made.where("n_shingles > 0").groupBy("cid").agg(
-        F.min("doc_id").alias("rep"), F.min("tkey").alias("tkey"), F.first("sig").alias("sig")), "nd-classes")
+        F.min("doc_id").alias("rep"), F.min("tkey").alias("tkey"), F.first("sig").alias("sig"),
+        F.first("roots").alias("roots")), "nd-classes")
     links = near_duplicate_links(classes, src.select("tkey", "text"), similarity, shingle_words)
     comp = connected_components(links)
     named = classes.select("cid", "rep").join(comp.withColumnRenamed("v", "cid"), "cid", "left") \
