@@ -91,13 +91,12 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     dims = {k: F.col(f"__d_{k}") for k in dimensions} if dimensions else default_dimensions(base)
     low = F.expr(f"tie & {(1 << TIE_BITS) - 1}")
     rows = materialise(base.select("doc_id", "size", "text_crc32", "tie", *[
-        (F.shiftleft(c.cast("long"), TIE_BITS) + low).alias(f"k_{k}") for k, c in dims.items()]), "kd-rows")
+        (F.shiftleft(c.cast("long"), TIE_BITS) + low).alias(f"k_{k}") for k, c in dims.items()], F.lit(0).alias("node")), "kd-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     if n_shards is None:
         n_shards = max(1, -(-total // target_bytes))
     keys = [f"k_{k}" for k in dims]
     # node -> (first shard, number of shards below)
-    rows = rows.withColumn("node", F.lit(0))
     open_nodes, first, nxt = {0: n_shards}, {0: 0}, 1
     while total and any(p > 1 for p in open_nodes.values()):
         cuts = _cuts(rows, {n: p for n, p in open_nodes.items() if p > 1}, keys)

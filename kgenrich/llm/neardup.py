@@ -25,6 +25,7 @@ COORDS = 128            # MinHash positions, 16 bits each
 TREES = 8
 ROOT_COORDS = 2         # positions a root picks: 1/similarity, rounded up
 SMALL_NODE = 256        # documents compared exhaustively
+HEADS = 3               # documents that a large group offers its links to, per round
 MAX_DEPTH = 5           # beyond it large nodes are compared block by block
 SLACK = 0.17            # over 4 standard deviations of a COORDS-position estimate
 _rng = np.random.default_rng(75)
@@ -133,10 +134,13 @@ def _children(rows: DataFrame, similarity: float) -> DataFrame:
     positions on average, by a hash of its path."""
     more = int((1 / similarity - 1) * 1000)
     picks = F.when(F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(1000)) < more, 2).otherwise(1)
-    j = F.explode(F.sequence(F.lit(1), picks))
-    r = rows.select("node", "cid", "sig", j.alias("j"))
-    coord = F.pmod(F.xxhash64("node", "j"), F.lit(COORDS)).cast("int")
-    return r.select(F.xxhash64("node", "j", F.get("sig", coord)).alias("node"), "cid").distinct()
+
+    def child(j):
+        coord = F.pmod(F.xxhash64("node", j), F.lit(COORDS)).cast("int")
+        return F.xxhash64("node", j, F.get("sig", coord))
+
+    return rows.select("cid", F.transform(F.sequence(F.lit(1), picks), child).alias("nodes")) \
+        .select("cid", F.explode("nodes").alias("node")).distinct()
 
 
 def _roots(classes: DataFrame) -> DataFrame:
@@ -144,14 +148,17 @@ def _roots(classes: DataFrame) -> DataFrame:
     return classes.select("cid", F.explode("roots").alias("node"))
 
 
-def _with_size(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two documents or more, with the node's size and first
-    document. Of small nodes with the same documents one is kept: a group of
+def _with_size(rows: DataFrame, depth: int) -> DataFrame:
+    """Rows of nodes with two documents or more, with the node's size and its head:
+    the first document in one of HEADS orders, which differ by depth, so that a
+    large group is tried against several of its documents. Of small nodes with the same documents one is kept: a group of
     copies meets in most trees, and comparing it once is enough."""
-    n = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("head"), F.bit_xor(F.xxhash64("cid")).alias("x"),
+    order = F.pmod("node", F.lit(HEADS)) + HEADS * depth
+    n = rows.groupBy("node").agg(F.count("*").alias("n"), F.min_by("cid", F.xxhash64("cid", order)).alias("head"), F.bit_xor(F.xxhash64("cid")).alias("x"),
                                  F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("n > 1")
     same = F.when(F.col("n") > SMALL_NODE, F.col("node"))
-    n = n.withColumn("same", same).groupBy("n", "head", "x", "y", "same").agg(F.min("node").alias("node"))
+    n = n.withColumn("same", same).groupBy("n", "x", "y", "same").agg(F.min(F.struct("node", "head")).alias("k")) \
+        .select("n", "k.*")
     # written out, so that the join below gets an exchange of its own, which Spark can split
     return rows.join(materialise(n.select("node", "n", "head"), "nd-sizes"), "node")
 
@@ -171,7 +178,7 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
         return p.where(_matches(F.col("x"), F.col("y")) >= least).select("a", "b")
 
     def star(nodes: DataFrame) -> DataFrame:
-        return nodes.where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+        return nodes.where("cid <> head").select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
 
     def inside(nodes: DataFrame) -> DataFrame:
         g = nodes.groupBy("node").agg(F.collect_list(F.struct("cid", "comp", "sig")).alias("rows"))
@@ -186,7 +193,7 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
         return left.join(right, ["node", "to"]).select("rows", F.when(F.col("blk") != F.col("to"), F.col("other")).alias("other")) \
             .mapInPandas(_node_pairs(least), "a long, b long").distinct()
 
-    nodes = materialise(_with_size(_roots(classes)), "nd-nodes")
+    nodes = materialise(_with_size(_roots(classes), 0), "nd-nodes")
     first = materialise(close(star(nodes)), "nd-star")
     lone = nodes.where(f"n between 3 and {SMALL_NODE}").join(sig, "cid").withColumn("comp", F.col("cid"))
     # every class that any later comparison can ask for: its full set is made once
@@ -219,7 +226,7 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
         if large.limit(1).count() == 0:
             nodes = None
         elif depth < MAX_DEPTH:
-            nodes = materialise(_with_size(_children(large, similarity)), "nd-nodes")
+            nodes = materialise(_with_size(_children(large, similarity), depth), "nd-nodes")
             pairs = pairs.union(close(star(nodes)))
         else:
             nodes, pairs = None, pairs.union(by_blocks(large))

@@ -192,6 +192,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     Ranges may touch and overlap."""
     grams = docs.select("row_key", "text").mapInArrow(_scan(size, False), "gram long") \
         .groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    grams = materialise(grams, "sd-grams")      # the join gets an exchange of its own: hot grams can be split
     found = docs.select("row_key", "text").mapInArrow(
         _scan(size, True), "gram long, row_key long, anchor long, lo smallint, hi smallint, cover long")
     # first rank: the gram; unique grams leave
