@@ -106,7 +106,7 @@ def train(positives: DataFrame, negatives: DataFrame, vocab_df: DataFrame,
     def fold_margins(k):
         tr = data.where(F.col("fold") != k)
         te = data.where(F.col("fold") == k)
-        m = _svc(n, C).fit(tr)
+        m = _svc(max(1, tr.count()), C).fit(tr)             # the fold's own row count
         return m.transform(te).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
 
     # the final model and the out-of-fold margins for Platt scaling are
@@ -148,10 +148,11 @@ def select_sentences(clf: SentenceClassifier, sentences: DataFrame,
 
 
 def load_or_train(spark, path: str, trainer) -> SentenceClassifier:
-    """H6: reuse a saved model (path keyed by relation and cap) or train one."""
-    try:
+    """H6: reuse a saved model (path keyed by relation and cap) or train one when
+    nothing is there; a model that cannot be read raises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return SentenceClassifier.load(spark, path)
-    except Exception:  # noqa: BLE001 - missing model
-        clf = trainer()
-        clf.save(path)
-        return clf
+    clf = trainer()
+    clf.save(path)
+    return clf

@@ -179,6 +179,10 @@ def _viterbi_batch(W, T, fids_col, flens_col):
     tags, probs = [], []
     for b in range(B):
         n = int(lens[b])
+        if n == 0:                                           # an empty sentence
+            tags.append([])
+            probs.append([])
+            continue
         y = np.zeros(n, dtype=np.int64)
         y[n - 1] = int(delta[b].argmax())
         for t in range(n - 1, 0, -1):

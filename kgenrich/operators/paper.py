@@ -22,13 +22,15 @@ WORD = "struct<segment:string,lemma:string,tag:string,parse:string>"
 
 # --- K1 ------------------------------------------------------------------------------
 
-def join_names(sentences: DataFrame, catalog: DataFrame, max_n: int = 4) -> DataFrame:
+def join_names(sentences: DataFrame, catalog: DataFrame, max_n: int | None = None) -> DataFrame:
     """K1: consecutive segments whose ``_``-joined form is a catalog name become
     one word (longest match first, left to right, no overlaps)."""
+    if max_n is None:       # the catalog's longest name
+        max_n = catalog.agg(F.max(F.size(F.split("name", "_")))).first()[0] or 2
     segs = F.transform("words", lambda w: w["segment"])
     n = F.size("words")
     grams = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.transform(
-        F.filter(F.sequence(F.lit(2), F.lit(max_n)), lambda k: i + k <= n),
+        F.filter(F.sequence(F.lit(2), F.lit(max(2, max_n))), lambda k: i + k <= n),
         lambda k: F.struct(i.alias("i"), k.alias("k"), F.array_join(F.slice(segs, i + 1, k), "_").alias("g")))))
     cand = sentences.select("title", "sent_id", F.explode_outer(grams).alias("c")) \
         .where(F.col("c").isNotNull()).select("title", "sent_id", "c.i", "c.k", "c.g")

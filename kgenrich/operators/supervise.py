@@ -21,20 +21,23 @@ class TooFewExamples(RuntimeError):
     pass
 
 
+def pair_hash():
+    """A uniform order of pairs that other engines can reproduce."""
+    return F.md5(F.concat_ws("|", F.col("s"), F.col("o")))
+
+
 def training_pairs(triples: DataFrame, types: DataFrame, spec: RelationSpec,
-                   limit: int | None = TRAINING_LIMIT, count: bool = True) -> DataFrame:
+                   limit: int | None = TRAINING_LIMIT) -> DataFrame:
     """``(s, o)`` known pairs; typed relations use only subjects of the
-    type. Over the limit, first pair (by subject) per distinct value, then
-    the first ``limit`` pairs by (s, o)."""
+    type. At most ``limit`` pairs, drawn by a hash of the pair: one rule at every
+    size (None: all)."""
     if spec.subject_type:
         pairs = graph.entities_of_type_in_relation(types, triples, spec.subject_type, spec.p)
     else:
         pairs = graph.select_all(triples, p=spec.p, order=False)
     if limit is None:
         return pairs
-    if spec.dedupe_values and count and pairs.count() > limit:   # a scalar action
-        pairs = pairs.groupBy("o").agg(F.min("s").alias("s")).select("s", "o")
-    return pairs.orderBy("s", "o").limit(limit)
+    return pairs.orderBy(pair_hash(), "s", "o").limit(limit)
 
 
 def drop_gold(pairs: DataFrame, gold_entities: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def best_positives(labelled: DataFrame, cap: int | None = None) -> DataFrame:
         F.struct(F.col("n_match"), -F.col("sent_id"))).alias("b"))
     out = best.select("s", "o", "b.sent_id", "b.words", "b.values")
     if cap is not None:                                      # G8
-        out = out.orderBy("s", "o").limit(cap)
+        out = out.orderBy(pair_hash(), "s", "o").limit(cap)
     return out
 
 

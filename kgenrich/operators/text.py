@@ -17,12 +17,15 @@ from ..functions import markup
 from ..functions.values import is_numeric, try_double
 
 WORD = "struct<segment:string,lemma:string,tag:string,parse:string>"
-# A sentence: runs of non-terminators, where a terminator followed by a
-# non-space (``3.5``) does not end it, then trailing terminators. Written in
-# unrolled form: Java's regex engine recurses once per repetition of a group,
-# so ``(?:a|b)+`` would overflow the stack on long lines.
-SENTENCE_RE = r"(?:[^.!?]+|[.!?][^\s.!?])[^.!?]*(?:[.!?][^\s.!?][^.!?]*)*[.!?]*"
-TOKEN_RE = r"\p{L}+|\d+|[^\s\p{L}\d]"
+# Unicode white space, spelled out: Java's ``\s`` is ASCII only, and cleaned
+# articles hold non-breaking spaces (also as thousands separators).
+SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# A sentence ends after a run of terminators, or one terminator before white
+# space or the line's end (``3.5`` goes on). No group is repeated: Java's regex
+# engine recurses once per repetition of a group and overflows on long lines.
+SENTENCE_END = rf"([.!?]{{2,}}|[.!?](?=[{SPACE}]|$))"
+MARK = "\x01"
+TOKEN_RE = rf"\p{{L}}+|\d+|[^{SPACE}\p{{L}}\d]"
 
 
 # --- E22 / E23 -----------------------------------------------------------------
@@ -102,11 +105,12 @@ def link_dictionary(clean: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def split_sentences(text: Column) -> Column:
     """Lines, then sentences: runs ending in ``.!?`` (a mark followed by a
-    non-space, as in ``3.5``, does not end a sentence)."""
-    per_line = F.transform(F.split(text, "\n"),
-                           lambda line: F.regexp_extract_all(line, F.lit(SENTENCE_RE), 0))
+    non-space, as in ``3.5``, does not end a sentence). Pieces of terminators
+    only are no sentences."""
+    per_line = F.transform(F.split(F.replace(text, F.lit(MARK), F.lit(" ")), "\n"), lambda line: F.split(
+        F.regexp_replace(line, SENTENCE_END, "$1" + MARK), MARK))
     sents = F.transform(F.flatten(per_line), lambda s: markup._strip(s))
-    return F.filter(sents, lambda s: s != "")
+    return F.filter(sents, lambda s: (s != "") & ~s.rlike(r"^[.!?]+$"))
 
 
 def tokenize(sentence: Column) -> Column:
@@ -154,7 +158,7 @@ def tag_sentences(sents: DataFrame, lexicon: DataFrame | None = None,
     if unique_forms:
         best = lexicon.select("form", F.struct("lemma", "tag").alias("lt"))
     else:
-        best = lexicon.groupBy("form").agg(F.max_by(F.struct("lemma", "tag"), "n").alias("lt"))
+        best = lexicon.groupBy("form").agg(F.max_by(F.struct("lemma", "tag"), F.struct("n", "lemma", "tag")).alias("lt"))
     toks = sents.select(id_col, "sent_id", F.posexplode("tokens").alias("pos", "form"))
     j = toks.join(best, "form", "left")
     w = F.struct("pos", _word(F.col("form"), F.coalesce("lt.lemma", "form"),
@@ -215,7 +219,8 @@ def join_decimal_numerals(words: Column) -> Column:
                                 F.lit(2).alias("skip"))) \
             .otherwise(F.struct(F.array_append(acc["out"], w0).alias("out"), F.lit(0).alias("skip")))
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), init, step)["out"]
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, init, step)["out"]
 
 
 def join_adjacent_numerals(words: Column) -> Column:
@@ -250,7 +255,8 @@ def apply_multipliers(words: Column) -> Column:
                                 F.when(swallow, 2).otherwise(1).alias("skip"))) \
             .otherwise(F.struct(F.array_append(acc["out"], w0).alias("out"), F.lit(0).alias("skip")))
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), init, step)["out"]
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, init, step)["out"]
 
 
 def join_numerals(words: Column) -> Column:

@@ -98,8 +98,7 @@ def pairs_ctes(limit: int = 20000) -> str:
                f"where f.p = '{p}' and t.type = 'Customer'") if typed else \
             f"select s, o from kg_facts where p = '{p}'"
         return f"""pr_{p} as ({src}),
-pl_{p} as (select s, o from (select min(s) as s, o from pr_{p} group by o) where (select count(*) from pr_{p}) > {limit}
-  union all select s, o from pr_{p} where (select count(*) from pr_{p}) <= {limit} order by s, o limit {limit}),
+pl_{p} as (select s, o from pr_{p} order by md5(concat_ws('|', s, o)), s, o limit {limit}),
 pg_{p} as (select s, o from pl_{p} where s not in (select entity from kg_gold_entities where p = '{p}'))"""
     return f"""{one('nation', False)},
 {one('balance', True)},

@@ -26,6 +26,9 @@ from ..sources import ntriples as nt
 from . import testkg as kg
 from .oracle import labelled_ctes, pairs_ctes, sentences_ctes, sql_list, with_kg
 
+# What a sentence is, as one matching pattern; the engine splits at sentence ends instead.
+_SENTENCE = r"(?:[^.!?]+|[.!?][^\s.!?])[^.!?]*(?:[.!?][^\s.!?][^.!?]*)*[.!?]*"
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -346,7 +349,7 @@ def e18(spark, sf):
 
 _SENTS_DUCK = (
     "with l as (select doc_id, list_filter(list_transform(flatten(list_transform("
-    "string_split(text, chr(10)), lambda x: regexp_extract_all(x, '" + tx.SENTENCE_RE + "', 0))), "
+    "string_split(text, chr(10)), lambda x: regexp_extract_all(x, '" + _SENTENCE + "', 0))), "
     "lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') as ss from documents), "
     "u as (select doc_id, unnest(range(len(ss))) as sent_id, unnest(ss) as sentence from l) "
     "select doc_id, cast(sent_id as int) as sent_id, array_to_string(regexp_extract_all(sentence, '"
@@ -704,7 +707,7 @@ def _trained(spark, sf, p="nation"):
     t, ty, catalog, sents = _corpus_sentences(spark, sf)
     ge, gv = kg.gold(spark, sf)
     c = Corpus(t, ty, catalog, sents.cache(), ge, gv)
-    return c, train_models(c, kg.relation(p), crf_iter=30)
+    return c, train_models(c, kg.relation(p))
 
 
 @register("h4_informative_features")

@@ -9,15 +9,42 @@ prunes whole folders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.iri import DATA_SOURCE, local_name, property_iri, resource_iri, strip_any_prefix
 
-NT_RE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z\-]+)|\^\^<([^>]*)>)?)\s*\.\s*$'
+# No repeated group (Java recurses per repetition): a literal runs to the last
+# quote that the rest of the line allows.
+NT_RE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"(.*)"(?:@([A-Za-z0-9\-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
 XSD_INT = "http://www.w3.org/2001/XMLSchema#int"
 TRIPLES_SCHEMA = "s string, p string, o string, o_kind string, datatype string, lang string"
 
 
+# Escape, character (N-Triples string escapes); the backslash itself goes first
+# when written and last, through a placeholder, when read.
+ESCAPES = [('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")]
+_HOLD = "\x00"
+
+
+def escape(value: Column) -> Column:
+    v = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    for esc, ch in ESCAPES:
+        v = F.replace(v, F.lit(ch), F.lit(esc))
+    return v
+
+
+def unescape(value: Column) -> Column:
+    v = F.replace(value, F.lit("\\\\"), F.lit(_HOLD))
+    for esc, ch in ESCAPES:
+        v = F.replace(v, F.lit(esc), F.lit(ch))
+    return F.replace(v, F.lit(_HOLD), F.lit("\\"))
+
+
+def rejected_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Lines that ``parse_ntriples`` leaves out, but for blank and comment lines."""
+    return lines.where(~F.col(col).rlike(NT_RE) & ~F.col(col).rlike(r"^\s*(#.*)?$"))
+
+
 def parse_ntriples(lines: DataFrame, col: str = "value", source: str = DATA_SOURCE) -> DataFrame:
     """``value`` text lines -> ``triples(s, p, o, o_kind, datatype, lang)`` (M1)."""
     x = lambda i: F.regexp_extract(F.col(col), NT_RE, i)
@@ -28,7 +55,7 @@ def parse_ntriples(lines: DataFrame, col: str = "value", source: str = DATA_SOUR
         local_name(x(1), source).alias("s"),
         strip_any_prefix(x(2)).alias("p"),
         F.when(is_iri, local_name(o_iri, source))
-         .otherwise(F.replace(F.replace(o_lit, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))
+         .otherwise(unescape(o_lit))
          .alias("o"),
         F.when(is_iri, "iri").otherwise("literal").alias("o_kind"),
         F.when(x(6) != "", x(6)).alias("datatype"),
@@ -46,9 +73,10 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_triples(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Triples as parquet partitioned by predicate (partition pruning on ``p``)."""
-    triples.repartition("p").write.mode(mode).partitionBy("p").parquet(path)
+def write_triples(triples: DataFrame, path: str, mode: str = "overwrite", files: int = 16) -> None:
+    """Triples as parquet partitioned by predicate (partition pruning on ``p``);
+    a predicate's rows go to up to ``files`` tasks by subject."""
+    triples.repartition("p", F.pmod(F.xxhash64("s"), F.lit(files))).write.mode(mode).partitionBy("p").parquet(path)
 
 
 def ntriple_lines(values: DataFrame, p: str, numeric: bool, lang: str = "pl",
@@ -56,7 +84,7 @@ def ntriple_lines(values: DataFrame, p: str, numeric: bool, lang: str = "pl",
                   value_col: str = "value") -> DataFrame:
     """B1: ``<res> <prop> "v"^^<xsd:int> .`` for numeric relations, ``"v"@lang .``
     otherwise; empty values skipped; duplicate lines dropped."""
-    v = F.col(value_col)
+    v = escape(F.col(value_col))
     obj = (F.concat(F.lit('"'), v, F.lit(f'"^^<{XSD_INT}>')) if numeric
            else F.concat(F.lit('"'), v, F.lit(f'"@{lang}')))
     line = F.concat_ws(" ", F.concat(F.lit("<"), resource_iri(F.col(entity_col), source), F.lit(">")),

@@ -36,7 +36,9 @@ def prepare_stream(spark: SparkSession, raw_dir: str, sentences_path: str,
     def batch(df: DataFrame, epoch: int) -> None:
         try:            # the table may not exist before the first batch
             done = spark.read.parquet(sentences_path).select("title")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             done = None
         out = text.prepare_articles(df, catalog, lexicon=lexicon, done=done)
         out.write.mode("append").parquet(sentences_path)

@@ -134,3 +134,15 @@ def test_shallow_parse_reader(spark):
     assert len(r) == 1 and r[0].title == "art" and r[0].sent_id == 0
     assert [(w.segment, w.lemma, w.parse) for w in r[0].words] == [
         ("Stary", "stary", "NG"), ("w", "w", "PrepNG"), ("dom", "dom", "NG"), (".", ".", "")]
+
+
+def test_ntriples_long_literals_and_escapes(spark, tmp_path):
+    from kgenrich.sources import ntriples as nt
+    values = ["x" * 1_000_000, 'say "hi" \\ there', "two\nlines\tand \\n", '\\"']
+    df = spark.createDataFrame([(f"E{i}", v) for i, v in enumerate(values)], "entity string, value string")
+    lines = nt.ntriple_lines(df, "p", False)
+    got = {r.s: r.o for r in nt.parse_ntriples(lines).collect()}
+    assert got == {f"E{i}": v for i, v in enumerate(values)}
+    odd = spark.createDataFrame([('<s> <p> "v"@es-419 . # note',), ("no triple",), ("",), ("# comment",)], "value string")
+    assert [r.lang for r in nt.parse_ntriples(odd).collect()] == ["es-419"]
+    assert [r.value for r in nt.rejected_lines(odd).collect()] == ["no triple"]

@@ -73,3 +73,18 @@ def test_prepare_articles_end_to_end(spark):
     s = T.prepare_articles(raw, catalog).orderBy("sent_id").collect()
     lem = [w.lemma for w in s[0].words]
     assert "1200" in lem and "Big" in lem and "Land" in lem
+
+
+def test_long_dotted_line_and_unicode_spaces(spark):
+    """A megabyte without blanks, and non-breaking spaces between digits."""
+    from pyspark.sql import functions as F
+
+    from kgenrich.operators import text as tx
+    df = spark.createDataFrame([("a." * 500_000,), ("To ma 100\u00a0000 osób. Koniec!! 3.5 km",)], "t string")
+    got = [r.s for r in df.select(tx.split_sentences(F.col("t")).alias("s")).collect()]
+    assert [len(x) for x in got] == [1, 3]
+    toks = spark.createDataFrame([(got[1][0],)], "t string").select(tx.tokenize(F.col("t")).alias("w")).first().w
+    assert toks == ["To", "ma", "100", "000", "osób", "."]
+    words = spark.range(1).select(F.array().cast(f"array<{tx.WORD}>").alias("w"))
+    r = words.select(tx.join_decimal_numerals(F.col("w")).alias("a"), tx.apply_multipliers(F.col("w")).alias("b")).first()
+    assert r.a == [] and r.b == []
