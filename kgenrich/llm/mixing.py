@@ -160,7 +160,8 @@ def plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.
     # words of the block that this document gives: [at, at + ..) cut by the slot's take
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take"))
     words = end - (F.col("start") + F.col("at"))
-    pieces = d.join(s, ["k", "block"]).select("row_key", "shard", "turn", "at", words.cast("long").alias("words")) \
+    # slots grow with the corpus, whatever the size estimate of the small table they come from
+    pieces = d.join(s.hint("merge"), ["k", "block"]).select("row_key", "shard", "turn", "at", words.cast("long").alias("words")) \
         .where("words > 0")
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     rows = base.join(F.broadcast(t) if t.count() <= 100_000 else t, F.col("source").eqNullSafe(F.col("t_source"))) \
