@@ -6,8 +6,9 @@ branch the documents: a node picks some of the minwise positions at random
 documents follow the paths they choose by their own minwise tokens. Nodes with
 few documents are compared exhaustively, larger ones branch again. Because only
 groups are asked for, every node first offers the links to its first document
-(a star), and later comparisons skip pairs already in one group; links are
-always confirmed on the full sets.
+(a star), and later comparisons skip pairs already in one group: a document
+first asks for its closest few outside its group, and only what is still open
+after that is compared in full. Links are always confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ TREES = 8
 ROOT_COORDS = 2         # positions a root picks: 1/similarity, rounded up
 SMALL_NODE = 256        # documents compared exhaustively
 HEADS = 3               # documents that a large group offers its links to, per round
+CLOSEST = 3             # documents outside its group that a document of a small node asks for first
 MAX_DEPTH = 5           # beyond it large nodes are compared block by block
 SLACK = 0.17            # over 4 standard deviations of a COORDS-position estimate
 _rng = np.random.default_rng(75)
@@ -72,56 +74,70 @@ def _sketch(shingle_words: int):
     return run
 
 
-def _sets(shingle_words: int):
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("cid")
-            for i, texts in text_slices(batch):
-                sets = [shingles_of(w, shingle_words).tobytes() for w in words_of(texts)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.array(sets, pa.binary())], names=["cid", "s"])
-    return run
+def _linked(similarity: float, shingle_words: int):
+    """Pairs with both whole texts -> the pairs whose sets' Jaccard reaches the threshold.
 
-
-def _linked(similarity: float):
-    """Pairs with both full sets -> the pairs whose Jaccard reaches the threshold."""
+    Texts travel rather than sets of hashes: they are smaller and compress well."""
     num = round(similarity * 100)
 
     def run(batches):
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             ok = np.zeros(len(a), bool)
-            sa, sb = batch.column("sa"), batch.column("sb")
-            for i in range(len(a)):
-                x, y = np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    continue
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok[i] = 100 * both >= num * (len(x) + len(y) - both)
+            known: tuple = (None, None)         # rows come sorted by a: its set is made once
+            for i, tb in text_slices(batch, "tb"):
+                for j, wb in enumerate(words_of(tb), i):
+                    if known[0] != a[j]:
+                        ta = batch.column("ta")[j].as_py() or ""
+                        known = (a[j], shingles_of(words_of([ta.encode()])[0], shingle_words))
+                    x, y = known[1], shingles_of(wb, shingle_words)
+                    if 100 * min(len(x), len(y)) < num * max(len(x), len(y)):
+                        continue
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    ok[j] = 100 * both >= num * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
     return run
 
 
-def _node_pairs(least: int):
-    """Exhaustive comparison inside small nodes (or block pairs): sketch pairs
-    that are close enough and not yet in one group."""
+def _near(ra: list, rb: list) -> np.ndarray:
+    """Equal sketch positions of every pair of rows."""
+    sa, sb = (np.array([r["sig"] for r in x]) for x in (ra, rb))
+    return np.stack([(sb == one).sum(1) for one in sa])
+
+
+def _node_members(least: int):
+    """The members of small nodes whose sketch is close to another's."""
+    def run(batches):
+        for pdf in batches:
+            for rows in pdf["rows"]:
+                near = _near(rows, rows)
+                np.fill_diagonal(near, -1)
+                ids = np.array([r["cid"] for r in rows], np.int64)
+                yield pd.DataFrame({"cid": ids[(near >= least).any(1)]})
+    return run
+
+
+def _node_pairs(least: int, closest: int | None = None):
+    """Comparison inside small nodes (or block pairs): sketch pairs that are
+    close enough and not yet in one group; with ``closest``, only so many of
+    every document, the closest first."""
     def run(batches):
         for pdf in batches:
             for rows, other in zip(pdf["rows"], pdf["other"]):
                 two = other is not None and len(other) > 0
                 ra, rb = list(rows), (list(other) if two else list(rows))
-                sa = np.array([r["sig"] for r in ra])
-                sb = np.array([r["sig"] for r in rb])
                 ia, ib = (np.array([r["cid"] for r in x], np.int64) for x in (ra, rb))
                 ca, cb = (np.array([r["comp"] for r in x], np.int64) for x in (ra, rb))
-                out = []
-                for i in range(len(ia)):
-                    m = (ca[i] != cb) & ((sb == sa[i]).sum(1) >= least)
-                    if not two:
-                        m[:i + 1] = False
-                    out.append((np.full(m.sum(), ia[i]), ib[m]))
-                if out:
-                    x, y = (np.concatenate(v) for v in zip(*out))
-                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                near = _near(ra, rb)
+                near[ca[:, None] == cb[None, :]] = -1
+                if closest is None or closest >= len(ib):
+                    i, j = np.nonzero(near >= least)
+                else:
+                    top = np.argpartition(-near, closest - 1, axis=1)[:, :closest]
+                    i, k = np.nonzero(np.take_along_axis(near, top, 1) >= least)
+                    j = top[i, k]
+                x, y = ia[i], ib[j]
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
     return run
 
 
@@ -180,10 +196,12 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
     def star(nodes: DataFrame) -> DataFrame:
         return nodes.where("cid <> head").select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
 
-    def inside(nodes: DataFrame) -> DataFrame:
-        g = nodes.groupBy("node").agg(F.collect_list(F.struct("cid", "comp", "sig")).alias("rows"))
+    def members(nodes: DataFrame) -> DataFrame:
+        return nodes.groupBy("node").agg(F.collect_list(F.struct("cid", "comp", "sig")).alias("rows"))
+
+    def inside(nodes: DataFrame, closest: int | None = None) -> DataFrame:
         none = F.lit(None).cast("array<struct<cid:bigint,comp:bigint,sig:array<smallint>>>")
-        return g.select("rows", none.alias("other")).mapInPandas(_node_pairs(least), "a long, b long").distinct()
+        return members(nodes).select("rows", none.alias("other")).mapInPandas(_node_pairs(least, closest), "a long, b long").distinct()
 
     def by_blocks(nodes: DataFrame) -> DataFrame:
         b = nodes.withColumn("blk", F.expr(f"pmod(xxhash64(cid, 3), cast(ceil(n / {SMALL_NODE}) as bigint))"))
@@ -196,44 +214,47 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
     nodes = materialise(_with_size(_roots(classes), 0), "nd-nodes")
     first = materialise(close(star(nodes)), "nd-star")
     lone = nodes.where(f"n between 3 and {SMALL_NODE}").join(sig, "cid").withColumn("comp", F.col("cid"))
-    # every class that any later comparison can ask for: its full set is made once
+    # every class that any later comparison can ask for
     asked = first.select(F.col("a").alias("cid")).union(first.select("b")) \
-        .union(inside(lone).select(F.explode(F.array("a", "b")).alias("cid"))) \
+        .union(members(lone).select("rows").mapInPandas(_node_members(least), "cid long")) \
         .union(nodes.where(f"n > {SMALL_NODE}").select("cid")).distinct()
     want = classes.select("cid", "tkey").join(asked, "cid", "left_semi")
-    sets = docs.join(want, "tkey").dropDuplicates(["cid"]).select("cid", "text") \
-        .mapInArrow(_sets(shingle_words), "cid long, s binary")
-    sets = materialise(sets, "nd-sets")
+    texts = materialise(docs.join(want, "tkey").dropDuplicates(["tkey", "cid"]).select("cid", "text"), "nd-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b") \
-            .join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
-        return p.select("a", "b", "sa", "sb").mapInArrow(_linked(similarity), "a long, b long")
+        p = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b") \
+            .join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
+        return p.select("a", "b", "ta", "tb").mapInArrow(_linked(similarity, shingle_words), "a long, b long")
 
     tried = first
     links = materialise(confirm(first), "nd-links")
+    nodes = nodes.select("node", "cid", "n", F.lit(False).alias("asked"))
     depth = 1
     while True:
         comp = connected_components(links)
         named = nodes.join(comp.withColumnRenamed("v", "cid"), "cid", "left") \
-            .select("node", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+            .select("node", "cid", "n", "asked", F.coalesce("comp", "cid").alias("comp"))
         named = materialise(named, "nd-named")
         split = materialise(named.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                             .where("lo <> hi").select("node"), "nd-split")
         still = materialise(named.join(split, "node", "left_semi").join(sig, "cid"), "nd-open")
         small, large = still.where(f"n between 3 and {SMALL_NODE}"), still.where(f"n > {SMALL_NODE}")
-        pairs = inside(small)
-        if large.limit(1).count() == 0:
-            nodes = None
-        elif depth < MAX_DEPTH:
-            nodes = materialise(_with_size(_children(large, similarity), depth), "nd-nodes")
-            pairs = pairs.union(close(star(nodes)))
-        else:
-            nodes, pairs = None, pairs.union(by_blocks(large))
+        once, again = small.where("not asked"), small.where("asked")
+        pairs = inside(once, CLOSEST).union(inside(again))
+        # small nodes come back once, for what is open after their closest pairs
+        left = once.select("node", "cid", "n", F.lit(True).alias("asked"))
+        if large.limit(1).count():
+            if depth < MAX_DEPTH:
+                below = materialise(_with_size(_children(large, similarity), depth), "nd-nodes")
+                pairs = pairs.union(close(star(below)))
+                left = left.union(below.select("node", "cid", "n", F.lit(False)))
+            else:
+                pairs = pairs.union(by_blocks(large))
         new = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "nd-pairs")
         found = materialise(confirm(new), "nd-links")
         links = links.union(found)
-        if nodes is None:
+        nodes = materialise(left, "nd-left")
+        if nodes.limit(1).count() == 0:
             return links
         tried = tried.union(new)
         depth += 1
