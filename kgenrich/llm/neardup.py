@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, small_enough
 from .components import connected_components
 from .shingles import mix64, shingles_of, text_slices, words_of
 
@@ -28,6 +28,7 @@ ROOT_COORDS = 2         # positions a root picks: 1/similarity, rounded up
 SMALL_NODE = 256        # documents compared exhaustively
 HEADS = 3               # documents that a large group offers its links to, per round
 CLOSEST = 3             # documents outside its group that a document of a small node asks for first
+FEW_IDS = 200_000       # ids (8 bytes each) that may be broadcast to pick the texts of a round
 MAX_DEPTH = 5           # beyond it large nodes are compared block by block
 SLACK = 0.17            # over 4 standard deviations of a COORDS-position estimate
 _rng = np.random.default_rng(75)
@@ -222,8 +223,12 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
     texts = materialise(docs.join(want, "tkey").dropDuplicates(["tkey", "cid"]).select("cid", "text"), "nd-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b") \
-            .join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        t = texts       # few ids: only their texts are moved
+        if small_enough(ids, FEW_IDS):
+            t = texts.join(F.broadcast(ids), "cid", "left_semi")
+        p = pairs.join(t.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b") \
+            .join(t.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
         return p.select("a", "b", "ta", "tb").mapInArrow(_linked(similarity, shingle_words), "a long, b long")
 
     tried = first
