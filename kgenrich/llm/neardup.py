@@ -16,13 +16,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, small_enough
 from .components import connected_components
 from .shingles import mix64, shingles_of, text_slices, words_of
 
-COORDS = 128            # MinHash positions, 16 bits each
+COORDS = 256            # MinHash positions of the sketch, a byte each
 TREES = 8
 ROOT_COORDS = 2         # positions a root picks: 1/similarity, rounded up
 SMALL_NODE = 256        # documents compared exhaustively
@@ -30,47 +30,51 @@ HEADS = 3               # documents that a large group offers its links to, per
 CLOSEST = 3             # documents outside its group that a document of a small node asks for first
 FEW_IDS = 200_000       # ids (8 bytes each) that may be broadcast to pick the texts of a round
 MAX_DEPTH = 5           # beyond it large nodes are compared block by block
-SLACK = 0.17            # over 4 standard deviations of a COORDS-position estimate
+SLACK = 0.11            # over 4 standard deviations of a COORDS-position estimate
+SLICE = 1 << 18         # bytes of text sketched at a time: their shingles stay in the CPU's cache
 _rng = np.random.default_rng(75)
-_MUL = _rng.integers(1, 2 ** 63, COORDS, dtype=np.uint64) | np.uint64(1)
-ROOTS = _rng.permutation(COORDS)[:TREES * ROOT_COORDS]      # every tree's root, no position twice
+_MUL = _rng.integers(1, 2 ** 32, COORDS, dtype=np.uint32) | np.uint32(1)
+ROOTS = TREES * ROOT_COORDS         # positions of the roots, whole 64-bit values, besides the sketch
+_ROOT_MUL = _rng.integers(1, 2 ** 63, ROOTS, dtype=np.uint64) | np.uint64(1)
 
 
 def _sketch(shingle_words: int):
     def run(batches):
         for batch in batches:
             n, s1, s2, sigs, roots = [], [], [], [], []
-            for _, texts in text_slices(batch):
+            for _, texts in text_slices(batch, limit=SLICE):
                 sets = [shingles_of(w, shingle_words) for w in words_of(texts)]
                 size = np.array([len(s) for s in sets])
                 full = np.flatnonzero(size)
-                sig = np.zeros((len(sets), COORDS), np.uint16)
-                root = np.zeros((len(sets), COORDS), np.uint64)     # whole values, for the roots
+                sig = np.zeros((len(sets), COORDS), np.uint8)
+                root = np.zeros((len(sets), ROOTS), np.uint64)
                 a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
                 if len(full):
                     u = np.concatenate([sets[i] for i in full])
                     at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+                    half = (u >> np.uint64(32)).astype(np.uint32)
                     for k in range(COORDS):
-                        low = mix64(np.minimum.reduceat(u * _MUL[k], at) + np.uint64(k))
-                        sig[full, k], root[full, k] = low.astype(np.uint16), low
+                        low = np.minimum.reduceat(half * _MUL[k], at).astype(np.uint64)
+                        sig[full, k] = mix64(low + np.uint64(k)).astype(np.uint8)
+                    for k in range(ROOTS):
+                        root[full, k] = mix64(np.minimum.reduceat(u * _ROOT_MUL[k], at) + np.uint64(k))
                     a[full] = np.add.reduceat(u, at)
                     b[full] = np.add.reduceat(mix64(u), at)
                 n.append(size)
                 s1.append(a)
                 s2.append(b)
-                sigs.append(sig)
-                roots.append(root[:, ROOTS])
+                sigs += [row.tobytes() for row in sig]
+                roots.append(root)
             if not n:
                 continue
-            flat = np.concatenate(sigs).view(np.int16).ravel()
             tops = np.concatenate(roots).view(np.int64).ravel()
             keep = [i for i, f in enumerate(batch.schema) if f.name != "text"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in keep]
                 + [pa.array(np.concatenate(n), pa.int64())]
                 + [pa.array(np.concatenate(x).view(np.int64)) for x in (s1, s2)]
-                + [pa.ListArray.from_arrays(np.arange(0, len(x) + 1, k, dtype=np.int32), pa.array(x))
-                   for x, k in ((flat, COORDS), (tops, len(ROOTS)))],
+                + [pa.array(sigs, pa.binary()),
+                   pa.ListArray.from_arrays(np.arange(0, len(tops) + 1, ROOTS, dtype=np.int32), pa.array(tops))],
                 names=[batch.schema[i].name for i in keep] + ["n_shingles", "s1", "s2", "sig", "roots"])
     return run
 
@@ -100,10 +104,25 @@ def _linked(similarity: float, shingle_words: int):
     return run
 
 
+def _sketches(column: list) -> np.ndarray:
+    """Sketches (bytes) as the rows of a matrix."""
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, COORDS)
+
+
 def _near(ra: list, rb: list) -> np.ndarray:
     """Equal sketch positions of every pair of rows."""
-    sa, sb = (np.array([r["sig"] for r in x]) for x in (ra, rb))
-    return np.stack([(sb == one).sum(1) for one in sa])
+    sa, sb = (_sketches([r["sig"] for r in x]) for x in (ra, rb))
+    return np.stack([np.count_nonzero(sb == one, axis=1) for one in sa])
+
+
+def _close(least: int):
+    """Pairs with both sketches -> the pairs that agree in ``least`` positions."""
+    def run(batches):
+        for batch in batches:
+            x, y = (_sketches(batch.column(c).to_pylist()) for c in ("x", "y"))
+            ok = pa.array(np.count_nonzero(x == y, axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+    return run
 
 
 def _node_members(least: int):
@@ -142,10 +161,6 @@ def _node_pairs(least: int, closest: int | None = None):
     return run
 
 
-def _matches(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-
-
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
     """``(node, cid, sig)`` -> the rows of the child nodes. A node picks 1/s
     positions on average, by a hash of its path."""
@@ -154,7 +169,7 @@ def _children(rows: DataFrame, similarity: float) -> DataFrame:
 
     def child(j):
         coord = F.pmod(F.xxhash64("node", j), F.lit(COORDS)).cast("int")
-        return F.xxhash64("node", j, F.get("sig", coord))
+        return F.xxhash64("node", j, F.substring("sig", coord + 1, F.lit(1)))
 
     return rows.select("cid", F.transform(F.sequence(F.lit(1), picks), child).alias("nodes")) \
         .select("cid", F.explode("nodes").alias("node")).distinct()
@@ -192,7 +207,7 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
     def close(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("x")), "a") \
             .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y")), "b")
-        return p.where(_matches(F.col("x"), F.col("y")) >= least).select("a", "b")
+        return p.select("a", "b", "x", "y").mapInArrow(_close(least), "a long, b long")
 
     def star(nodes: DataFrame) -> DataFrame:
         return nodes.where("cid <> head").select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
@@ -201,7 +216,7 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
         return nodes.groupBy("node").agg(F.collect_list(F.struct("cid", "comp", "sig")).alias("rows"))
 
     def inside(nodes: DataFrame, closest: int | None = None) -> DataFrame:
-        none = F.lit(None).cast("array<struct<cid:bigint,comp:bigint,sig:array<smallint>>>")
+        none = F.lit(None).cast("array<struct<cid:bigint,comp:bigint,sig:binary>>")
         return members(nodes).select("rows", none.alias("other")).mapInPandas(_node_pairs(least, closest), "a long, b long").distinct()
 
     def by_blocks(nodes: DataFrame) -> DataFrame:
@@ -281,7 +296,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle_words: in
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("tkey"),
                       F.col(text_col).alias("text"))
     made = src.mapInArrow(_sketch(shingle_words),
-                          "doc_id long, tkey long, n_shingles long, s1 long, s2 long, sig array<smallint>, roots array<bigint>")
+                          "doc_id long, tkey long, n_shingles long, s1 long, s2 long, sig binary, roots array<bigint>")
     made = materialise(made.withColumn("cid", F.xxhash64("n_shingles", "s1", "s2")), "nd-sketch")
     classes = materialise(made.where("n_shingles > 0").groupBy("cid").agg(
         F.min("doc_id").alias("rep"), F.min("tkey").alias("tkey"), F.first("sig").alias("sig"),
