@@ -8,7 +8,9 @@ few documents are compared exhaustively, larger ones branch again. Because only
 groups are asked for, every node first offers the links to its first document
 (a star), and later comparisons skip pairs already in one group: a document
 first asks for its closest few outside its group, and only what is still open
-after that is compared in full. Links are always confirmed on the full sets.
+after that is compared in full. A large node that is one group but for a few
+documents is not branched: those few are compared with all of it. Links are
+always confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -227,6 +229,14 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
         return left.join(right, ["node", "to"]).select("rows", F.when(F.col("blk") != F.col("to"), F.col("other")).alias("other")) \
             .mapInPandas(_node_pairs(least), "a long, b long").distinct()
 
+    def outside(nodes: DataFrame) -> DataFrame:
+        """Nodes whose largest group leaves out SMALL_NODE documents at most: those
+        against the whole node, so that a document meets no more than in a small node."""
+        few = members(nodes.where("comp <> main"))
+        b = nodes.withColumn("blk", F.expr(f"pmod(xxhash64(cid, 3), cast(ceil(n / {SMALL_NODE}) as bigint))"))
+        b = b.groupBy("node", "blk").agg(F.collect_list(F.struct("cid", "comp", "sig")).alias("other"))
+        return b.join(few, "node").select("rows", "other").mapInPandas(_node_pairs(least), "a long, b long").distinct()
+
     nodes = materialise(_with_size(_roots(classes), 0), "nd-nodes")
     first = materialise(close(star(nodes)), "nd-star")
     lone = nodes.where(f"n between 3 and {SMALL_NODE}").join(sig, "cid").withColumn("comp", F.col("cid"))
@@ -255,12 +265,15 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
         named = nodes.join(comp.withColumnRenamed("v", "cid"), "cid", "left") \
             .select("node", "cid", "n", "asked", F.coalesce("comp", "cid").alias("comp"))
         named = materialise(named, "nd-named")
-        split = materialise(named.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                            .where("lo <> hi").select("node"), "nd-split")
-        still = materialise(named.join(split, "node", "left_semi").join(sig, "cid"), "nd-open")
+        groups = named.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node") \
+            .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+        split = materialise(groups.where("top.c < all").select("node", F.col("top.comp").alias("main"),
+                                                               F.expr("all - top.c").alias("rest")), "nd-split")
+        still = materialise(named.join(split, "node").join(sig, "cid"), "nd-open")
         small, large = still.where(f"n between 3 and {SMALL_NODE}"), still.where(f"n > {SMALL_NODE}")
+        led, large = large.where(f"rest <= {SMALL_NODE}"), large.where(f"rest > {SMALL_NODE}")
         once, again = small.where("not asked"), small.where("asked")
-        pairs = inside(once, CLOSEST).union(inside(again))
+        pairs = inside(once, CLOSEST).union(inside(again)).union(outside(led))
         # small nodes come back once, for what is open after their closest pairs
         left = once.select("node", "cid", "n", F.lit(True).alias("asked"))
         if large.limit(1).count():
