@@ -24,7 +24,7 @@ from .common import materialise, small_enough
 from .components import connected_components
 from .shingles import mix64, shingles_of, text_slices, words_of
 
-COORDS = 256            # MinHash positions of the sketch, a byte each
+COORDS = 512            # MinHash positions of the sketch, a byte each
 TREES = 8
 ROOT_COORDS = 2         # positions a root picks: 1/similarity, rounded up
 SMALL_NODE = 256        # documents compared exhaustively
@@ -32,7 +32,7 @@ HEADS = 3               # documents that a large group offers its links to, per
 CLOSEST = 3             # documents outside its group that a document of a small node asks for first
 FEW_IDS = 200_000       # ids (8 bytes each) that may be broadcast to pick the texts of a round
 MAX_DEPTH = 5           # beyond it large nodes are compared block by block
-SLACK = 0.11            # over 4 standard deviations of a COORDS-position estimate
+SLACK = 0.08            # over 4 standard deviations of a COORDS-position estimate
 SLICE = 1 << 18         # bytes of text sketched at a time: their shingles stay in the CPU's cache
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(1, 2 ** 32, COORDS, dtype=np.uint32) | np.uint32(1)
