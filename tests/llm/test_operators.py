@@ -103,6 +103,37 @@ def test_line_dedup(docs, empty):
     assert got == {1: "\n".join("abcdefg"), 2: "x\ny"}      # threshold 5: overlapping last step
 
 
+def test_line_dedup_short_runs(spark):
+    """Runs are judged by their bytes: one long line, two-line runs, exact copies
+    of short texts go; lone short lines stay unless they lie in a longer run."""
+    long = "a line that holds a good many words and stands in several texts"
+    rows = [(1, f"first\n{long}\nend one"), (2, f"second\n{long}\nend two"), (3, long), (4, f"{long}\nshort"), (5, f"{long}\nshort"),
+            (6, "Yes."), (7, "Yes."), (8, "Yes.\nbut then another thing"), (9, "ab\ncd\nef\ngh\nij"), (10, "x\nab\ncd\nef\ngh\nij\ny"),
+            (11, ""), (12, ""), (13, "ab\ncd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in linededup.line_dedup(docs, with_text=True).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (1, "second\nend two"), 3: (1, ""), 4: (1, "short"), 5: (2, ""), 6: (0, "Yes."), 7: (1, ""),
+                   8: (0, rows[7][1]), 9: (0, rows[8][1]), 10: (5, "x\ny"), 11: (0, ""), 12: (0, ""), 13: (0, "ab\ncd")}
+    rng = np.random.default_rng(8)          # brute force over all runs
+    rows = [(i, "\n".join(rng.choice(["", "a", "bcd", "efghij", "klmnopqrstuv"], rng.integers(1, 14)))) for i in range(80)]
+    seen, want = set(), {}
+    for i, t in rows:
+        ls, gone, new = t.split("\n"), set(), set()
+        whole = len(t) + 1 < linededup.MIN_BYTES
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                run = tuple(ls[a:b])
+                if whole and (b - a < len(ls) or not t.strip()) or not whole and sum(map(len, run)) + len(run) < linededup.MIN_BYTES:
+                    continue
+                if (whole, run) in seen | new:
+                    gone |= set(range(a, b))
+                new.add((whole, run))
+        seen |= new
+        want[i] = len(gone)
+    got = {r.doc_id: r.n_removed for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and any(want.values())
+
+
 def shingles(t):
     w = WORD.findall(t.translate(AZ))
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
