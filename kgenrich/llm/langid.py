@@ -80,11 +80,20 @@ def _unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def _fit_language(idf: np.ndarray, k: int):
+def _vectors(idf: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for i, texts in _groups(batch):
+                part = batch.slice(i, len(texts))
+                yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "pick": part.column("pick"),
+                                                  "x": [v.tobytes() for v in _unit(_counts(texts), idf)]})
+    return run
+
+
+def _fit_language(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pick")
-        x = np.concatenate([_unit(_counts([t.encode() for t in pdf["text"][i:i + 64]]), idf)
-                            for i in range(0, len(pdf), 64)])
+        x = np.stack([np.frombuffer(v) for v in pdf["x"]])
         centres = [x[0]]
         for _ in range(1, min(k, len(x))):      # farthest first
             centres.append(x[np.argmin(np.max(x @ np.array(centres).T, axis=1))])
@@ -111,9 +120,9 @@ class Model:
 def fit(labelled: DataFrame, sample: int = 400, centroids: int = 4, text_col: str = "text",
         lang_col: str = "lang") -> Model | None:
     """Learn from all rows of ``labelled`` with a text and a language: gram
-    document frequencies over every row; centroids from at most ``sample`` texts
-    per language, chosen by a hash of the text (each text counts once; texts
-    longer than 64 KiB give no centroid). None when there is nothing to learn.
+    document frequencies over every row; centroids from at most ``sample``
+    distinct texts per language, chosen by a hash of the text, whatever their
+    length (a task holds vectors, not texts). None when there is nothing to learn.
 
     Languages with fewer texts get fewer centroids. The model holds
     ``centroids`` x languages vectors of DIM numbers: its size does not depend
@@ -127,14 +136,19 @@ def fit(labelled: DataFrame, sample: int = 400, centroids: int = 4, text_col: st
     n = {r["gram"]: r["n"] for r in df}
     idf = np.log((1 + n[-1]) / (1 + np.array([n.get(i, 0) for i in range(DIM)]))) + 0.05
     # A hash threshold per language keeps about twice the sample before the exact cut.
-    sized = rows.where(F.octet_length("text") <= 65_536).withColumn("pick", F.xxhash64("text", F.lit(7)))
-    counts = {r["lang"]: r["count"] for r in sized.groupBy("lang").count().collect()}     # one row per language
+    # Copies pass it together, so it follows the number of distinct texts.
+    rows = rows.withColumn("pick", F.xxhash64("text", F.lit(7)))
+    once = rows.select("lang", "pick").distinct()
+    counts = {r["lang"]: r["count"] for r in once.groupBy("lang").count().collect()}     # one row per language
     limit = F.coalesce(*[F.when(F.col("lang") == g, F.lit(int(min(1.0, (2 * sample + 50) / c) * (2 ** 53)))) for g, c in counts.items()])
-    near = sized.where(F.shiftrightunsigned("pick", 11) <= limit).dropDuplicates(["lang", "pick"])
     w = Window.partitionBy("lang").orderBy("pick")
-    picked = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).drop("r")
-    got = picked.groupBy("lang").applyInPandas(_fit_language(idf, centroids),
-                                              "lang string, centre array<double>, usual double").collect()
+    near = once.where(F.shiftrightunsigned("pick", 11) <= limit) \
+        .withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).drop("r")
+    picked = rows.join(F.broadcast(near), ["lang", "pick"]).dropDuplicates(["lang", "pick"])    # sample x languages keys
+    vectors = picked.select("lang", "pick", F.col("text").alias("__text")) \
+        .mapInArrow(_vectors(idf), "lang string, pick long, x binary")
+    got = vectors.groupBy("lang").applyInPandas(_fit_language(centroids),
+                                                "lang string, centre array<double>, usual double").collect()
     got.sort(key=lambda r: (r["lang"], -r["usual"]))
     return Model([r["lang"] for r in got], np.array([r["centre"] for r in got]),
                  np.array([r["usual"] for r in got]), idf)

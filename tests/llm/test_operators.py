@@ -372,6 +372,25 @@ def test_language_id(spark, docs, empty):
         langid.CHUNK = small
 
 
+def test_language_id_copies_and_long_texts(spark):
+    """A language of few distinct texts with many copies, and one of long texts
+    only, get their centroids."""
+    rng = np.random.default_rng(6)
+    syll = {"en": ["the", "ing", "and"], "de": ["sch", "ung", "ein"], "fr": ["eau", "oui", "çon"]}
+    prose = lambda lang, n: " ".join("".join(rng.choice(syll[lang], 2)) for _ in range(n))
+    hashed = [prose("de", 12) for _ in range(60)]
+    picks = spark.createDataFrame([(x,) for x in hashed], "text string") \
+        .select("text", F.shiftrightunsigned(F.xxhash64("text", F.lit(7)), 11).alias("h")).orderBy(F.desc("h")).limit(5).collect()
+    few = [r.text for r in picks]           # their hashes are over a threshold that follows the rows
+    rows = [(prose("en", 12), "en") for _ in range(50)] + [(x, "de") for x in few for _ in range(400)] \
+        + [(prose("fr", 12_000), "fr") for _ in range(3)]
+    assert all(len(t.encode()) > 65_536 for t, g in rows if g == "fr")
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(model.langs) == {"en", "de", "fr"}
+    held = spark.createDataFrame([(g, prose(g, 12)) for g in syll for _ in range(5)], "lang string, text string")
+    assert all(r.lang == r.lang_pred and not r.rejected for r in langid.predict(held, model, ["lang"]).collect())
+
+
 @pytest.mark.parametrize("size", [200, 40])
 def test_suffix_dedup(docs, empty, size, monkeypatch):
     monkeypatch.setattr(suffixdedup, "PIECE", 1 << 15)      # the long text is handled in pieces
