@@ -1,14 +1,15 @@
 """Training data by distant supervision.
 
-Labelling joins known pairs to the subjects' sentences. "First pair per
-value" and "best sentence per pair" are partial aggregations (``min`` /
-``max_by`` on a struct), so a value or subject holding a large share of the
-rows is combined map-side instead of landing in one window partition.
+Labelling joins known pairs to the subjects' sentences. "Best sentence per
+pair" is a partial aggregation (``max_by`` on a struct), so a subject holding a
+large share of the rows is combined map-side instead of landing in one window
+partition. Training pairs are ranked within their value; of a value with more
+pairs than the limit only about twice the limit reach its window partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import TRAINING_LIMIT, RelationSpec
 from ..functions.tags import relation_words
@@ -29,15 +30,26 @@ def pair_hash():
 def training_pairs(triples: DataFrame, types: DataFrame, spec: RelationSpec,
                    limit: int | None = TRAINING_LIMIT) -> DataFrame:
     """``(s, o)`` known pairs; typed relations use only subjects of the
-    type. At most ``limit`` pairs, drawn by a hash of the pair: one rule at every
-    size (None: all)."""
+    type. At most ``limit`` pairs, one rule at every size (None: all): the first
+    pair of every value by a hash of the pair, then the second, and so on (G2), or
+    by the hash alone for a relation without ``dedupe_values``."""
     if spec.subject_type:
         pairs = graph.entities_of_type_in_relation(types, triples, spec.subject_type, spec.p)
     else:
         pairs = graph.select_all(triples, p=spec.p, order=False)
     if limit is None:
         return pairs
-    return pairs.orderBy(pair_hash(), "s", "o").limit(limit)
+    if not spec.dedupe_values:
+        return pairs.orderBy(pair_hash(), "s", "o").limit(limit)
+    # A hash threshold for values over the limit keeps about twice the limit before
+    # the exact cut; repeated pairs pass together, so distinct ones are counted.
+    large = pairs.select("s", "o").distinct().groupBy("o").agg(F.count("*").alias("c")).where(F.col("c") > limit) \
+        .select(F.col("o").alias("value"), ((2 * limit + 50) / F.col("c") * 2 ** 48).alias("most"))
+    near = pairs.join(large, F.col("o") == F.col("value"), "left") \
+        .where(F.col("most").isNull() | (F.conv(F.substring(pair_hash(), 1, 12), 16, 10).cast("long") <= F.col("most")))
+    w = Window.partitionBy("o").orderBy(pair_hash(), "s")
+    ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return ranked.orderBy("rank", pair_hash(), "s", "o").limit(limit).select(*pairs.columns)
 
 
 def drop_gold(pairs: DataFrame, gold_entities: DataFrame) -> DataFrame:

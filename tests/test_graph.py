@@ -123,3 +123,21 @@ def test_training_pairs_one_rule_at_every_size(spark):
     spec = replace(kg.relation("nation"), subject_type=None)
     rows = lambda n: {(r.s, r.o) for r in sup.training_pairs(t, types, spec, limit=n).collect()}
     assert len(rows(30)) == 30 and len(rows(29)) == 29 and rows(10) < rows(20) < rows(29)
+
+
+def test_training_pairs_balanced_over_values(spark):
+    """Over the limit every value gets its first pair before any gets a second."""
+    rows = [(f"s{i}", "p", "big") for i in range(300)] + [(f"r{i}", "p", f"rare{i}") for i in range(20)] \
+        + [("copy", "p", "copied")] * 200
+    t = spark.createDataFrame(rows, "s string, p string, o string")
+    types = spark.createDataFrame([], "entity string, type string")
+    md5 = lambda s, o: hashlib.md5(f"{s}|{o}".encode()).hexdigest()
+    pairs = sorted(((s, o) for s, _, o in rows), key=lambda r: md5(*r))
+    seen = {}
+    order = sorted(((seen.setdefault(o, []).append(s) or len(seen[o]), md5(s, o), s, o) for s, o in pairs))
+    for n in (1, 22, 40, 519):
+        got = [tuple(r) for r in G.training_pairs(t, types, RelationSpec("p"), limit=n).collect()]
+        assert sorted(got) == sorted(r[2:] for r in order[:n])
+    assert len({r[3] for r in order[:22]}) == 22
+    plain = G.training_pairs(t, types, RelationSpec("p", dedupe_values=False), limit=40).collect()
+    assert sorted(tuple(r) for r in plain) == sorted(pairs[:40])
