@@ -444,12 +444,13 @@ def _corpus_sentences(spark, sf):
 
 
 def _labelled(spark, sf):
+    """Sentences of all pairs: the bound on training pairs is for fits."""
     t, ty, catalog, sents = _corpus_sentences(spark, sf)
     ge, _ = kg.gold(spark, sf)
     parts = []
     for p in _PLANTED:
         spec = kg.relation(p)
-        pairs = sup.drop_gold(sup.training_pairs(t, ty, spec), ge.where(F.col("p") == p))
+        pairs = sup.drop_gold(sup.training_pairs(t, ty, spec, limit=None), ge.where(F.col("p") == p))
         parts.append(sup.label_sentences(pairs, sents, spec).withColumn("p", F.lit(p)))
     lab = parts[0].unionByName(parts[1])
     return t, ty, catalog, lab
@@ -695,7 +696,7 @@ def k4(spark, sf):
     t, ty, _, sents = _corpus_sentences(spark, sf)
     ge, _ = kg.gold(spark, sf)
     spec = kg.relation("nation")
-    pairs = sup.drop_gold(sup.training_pairs(t, ty, spec), ge.where(F.col("p") == "nation"))
+    pairs = sup.drop_gold(sup.training_pairs(t, ty, spec, limit=None), ge.where(F.col("p") == "nation"))
     lab = paper.label_sentences_paper(pairs, sents, spec)
     return lab.select("s", "o", F.col("sent_id").cast("int").alias("sent_id"), "kind")
 

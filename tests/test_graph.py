@@ -141,3 +141,12 @@ def test_training_pairs_balanced_over_values(spark):
     assert len({r[3] for r in order[:22]}) == 22
     plain = G.training_pairs(t, types, RelationSpec("p", dedupe_values=False), limit=40).collect()
     assert sorted(tuple(r) for r in plain) == sorted(pairs[:40])
+
+
+def test_queries_without_a_fit_take_all_pairs(spark, monkeypatch):
+    """Labelling ignores the training limit; g1 keeps it."""
+    from kgenrich.plans import registry
+    draw = G.training_pairs
+    monkeypatch.setattr(G, "training_pairs", lambda t, ty, spec, limit=6: draw(t, ty, spec, limit))
+    rows = lambda q: registry.QUERIES[q](spark, "/root/testdata/sf0.001").select("s", "o").distinct().count()
+    assert rows("g1_training_pairs") <= 12 < rows("k4_paper_labels") < rows("g5_label_sentences")
