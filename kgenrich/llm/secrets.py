@@ -1,7 +1,7 @@
 """Secret scan: broad candidates, then a random forest against false positives.
 
-Candidates are long runs of key-like characters. The forest (Spark ML) judges
-each by its length, character transitions, dictionary coverage, path (the
+Candidates are long runs of key-like characters and every value assigned after
+a key word. The forest (Spark ML) judges each by its length, character transitions, dictionary coverage, path (the
 document's source) and neighbouring words, and is trained from labelled
 findings. DataFrame operations and Spark ML only.
 """
@@ -26,6 +26,12 @@ ISSUER_FORMATS = [
     r"^xox[abprs]-[A-Za-z0-9-]{10,}$",
 ]
 KEY_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth", "bearer"]
+KEYS = "|".join(KEY_WORDS)
+# A key word at the end of a name, a sign of assignment, and what stands after it in the word.
+ASSIGNED = rf"(?i)(?:{KEYS})[^\p{{L}}\p{{N}}=:]*[=:]+>?(.+)$"
+KEY_SIGN = rf"(?i)(?:{KEYS})[^\p{{L}}\p{{N}}=:]*[=:]+>?[^\p{{L}}\p{{N}}]*$"   # the value is the next word
+KEY_ONLY = rf"(?i)(?:{KEYS})[^\p{{L}}\p{{N}}=:]*$"                          # the sign is the next word
+SIGN = r"^[=:]+>?"
 NUMERIC = ["length", "digits", "uppers", "symbols", "transitions", "distinct_chars", "vowel_share", "hex_only",
            "coverage", "path_length", "path_depth"]
 MAX_TRAINING = 20_000       # labelled findings the forest is fitted on, chosen by hash
@@ -39,20 +45,40 @@ def _share(value: Column, pattern: str) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``(doc_id, row_key, word_no, value, before, after, path)``: the key-like
     runs of 12 characters or more with at least one digit or mixed case, in every
-    word of every text; ``before``/``after`` are what stands next to the run: the
-    rest of its word and the neighbouring words. Null texts have none."""
+    word of every text, and every value assigned after a key word, of any length
+    and characters: what follows ``=`` or ``:`` in the word, or the next word when
+    the sign ends its word or stands alone, without quotes, brackets and closing
+    punctuation. A value found both ways comes once. ``before``/``after`` are what
+    stands next to the value: the rest of its word and the neighbouring words.
+    Null texts have none."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
-    looks = F.col("text").rlike(VALUE)
+    keyed = F.col("text").rlike(rf"(?i)(?:{KEYS})[^\p{{L}}\p{{N}}=:]*[=:]")
     ws = F.regexp_extract_all("text", F.lit(f"({WS_WORD})"), 1)
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), path.alias("path"),
-                    F.col(text_col).alias("text")).where(looks).withColumn("ws", ws)
-    at = F.filter(F.transform("ws", lambda w, i: F.when((F.length(w) >= MIN_CHARS) & w.rlike(VALUE), i)), lambda i: i.isNotNull())
+                    F.col(text_col).alias("text")).withColumn("keyed", keyed) \
+        .where(F.col("text").rlike(VALUE) | F.col("keyed")).withColumn("ws", ws)
+
+    def told(w, i):         # a word that may hold a value: a long run, or one after a key word
+        at = lambda k: F.coalesce(F.get("ws", i - k), F.lit(""))
+        after_key = w.rlike(ASSIGNED) | at(1).rlike(KEY_SIGN) | (at(1).rlike(KEY_ONLY) & w.rlike(SIGN + ".")) \
+            | (at(2).rlike(KEY_ONLY) & at(1).rlike(SIGN + "$"))
+        return ((F.length(w) >= MIN_CHARS) & w.rlike(VALUE)) | (F.col("keyed") & after_key)
+
+    at = F.filter(F.transform("ws", lambda w, i: F.when(told(w, i), i)), lambda i: i.isNotNull())
     d = d.select("doc_id", "row_key", "path", "ws", F.explode(at).alias("word_no"))
     near = lambda k: F.coalesce(F.get("ws", F.col("word_no") + k), F.lit(""))
     d = d.select("doc_id", "row_key", "path", "word_no", near(0).alias("word"), near(-2).alias("b2"), near(-1).alias("b1"), near(1).alias("a1"))
-    d = d.withColumn("value", F.explode(F.regexp_extract_all("word", F.lit(f"({VALUE})"), 1)))
-    mixed = F.col("value").rlike("[0-9]") | (F.col("value").rlike("[a-z]") & F.col("value").rlike("[a-z][A-Z]"))
-    d = d.where(mixed)
+    b2, b1, word = F.col("b2"), F.col("b1"), F.col("word")
+    raw = F.when(word.rlike(ASSIGNED), F.regexp_extract("word", ASSIGNED, 1)) \
+        .when(b1.rlike(KEY_SIGN) | (b2.rlike(KEY_ONLY) & b1.rlike(SIGN + "$")), word) \
+        .when(b1.rlike(KEY_ONLY) & word.rlike(SIGN + "."), F.regexp_replace("word", SIGN, "")).otherwise("")
+    bare = F.regexp_replace(F.regexp_replace(raw, r"""^["'`(\[{<]+""", ""), r"""["'`)\]}>.,;]+$""", "")
+    d = d.withColumn("assigned", bare)
+    runs = F.filter(F.regexp_extract_all("word", F.lit(f"({VALUE})"), 1), lambda v: v.rlike("[0-9]") | v.rlike("[a-z][A-Z]"))
+    d = d.withColumn("runs", runs)
+    own = F.when((F.col("assigned") != "") & ~F.array_contains("runs", F.col("assigned")), F.array("assigned")) \
+        .otherwise(F.array().cast("array<string>"))
+    d = d.withColumn("value", F.explode(F.concat("runs", own)))
     lead = F.expr("substring_index(word, value, 1)")
     return d.select("doc_id", "row_key", "path", "word_no", "value",
                     F.array(F.lower("b2"), F.lower("b1"), F.lower(lead)).alias("before"), F.array(F.lower("a1")).alias("after"))

@@ -271,6 +271,18 @@ def test_secret_scan(spark, docs, empty):
     secrets.scan(docs).count()
 
 
+def test_secret_candidates_after_key_words(spark):
+    """What is assigned after a key word is a candidate, whatever its length and characters."""
+    texts = ["login password=Tr0ub4dor&3 now", "PASSWORD: hunter2.", "db_passwd = correcthorsebatterystaple", 'say "pwd":"ABCDEFGHIJKLMNOP", x',
+             "secret =x7 y", "token=0123456789abcdef0123 z", "the password is long", "authors: we", "key 0123456789abcdef0123", None, "secret=",
+             "password=ab password=cd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.value) for r in secrets.candidates(docs).collect())
+    assert got == [(0, "Tr0ub4dor&3"), (1, "hunter2"), (2, "correcthorsebatterystaple"), (3, "ABCDEFGHIJKLMNOP"), (4, "x7"),
+                   (5, "0123456789abcdef0123"), (8, "0123456789abcdef0123"), (11, "ab"), (11, "cd")]
+    assert secrets.scan(docs).count() == 9
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(150)]
