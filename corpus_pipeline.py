@@ -7,7 +7,7 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kgenrich.llm import decontam, kdshard, langid, mixing, neardup
 from kgenrich.llm.common import materialise, read
@@ -24,12 +24,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the row with the smallest id of every group stays (one of them
-    if an id repeats); texts without words and rows without an id stay."""
-    marked = neardup.near_duplicates(docs)
-    kept = marked.where("kept").select("doc_id").distinct()
-    none = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(none)
+    """Operator 2: exactly one row of every class stays, the smallest by id and
+    then by the hash of id and text, null ids last; of texts without words, one
+    row of every id and text."""
+    marked = neardup.near_duplicates(docs, with_class=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey"))
+    kept = marked.where("class is not null").groupBy("class").agg(first.alias("first")).select("first.tkey") \
+        .union(marked.where("class is null").select("tkey")).distinct()
+    keyed = docs.withColumn("__tkey", F.xxhash64("doc_id", "text"))
+    return keyed.join(kept, F.col("__tkey") == F.col("tkey"), "left_semi").dropDuplicates(["__tkey"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

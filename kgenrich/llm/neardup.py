@@ -294,8 +294,9 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle_words: int = 5,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``(doc_id, n_shingles, component_id, kept)``.
+                    id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
+    """One row per input row: ``(doc_id, n_shingles, component_id, kept)`` and, on
+    request, ``tkey`` (hash of id and text) and ``class`` (null without a set).
 
     Words are runs of characters other than space and tab to CR, A-Z
     lower-cased; a set holds the distinct shingles of ``shingle_words`` words, or
@@ -319,8 +320,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle_words: in
     named = classes.select("cid", "rep").join(comp.withColumnRenamed("v", "cid"), "cid", "left") \
         .select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
     low = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = named.join(low, "comp").select("cid", "component_id")
-    out = made.select("doc_id", "n_shingles", "cid").join(of, "cid", "left")
+    of = named.join(low, "comp").select("cid", "component_id", F.col("comp").alias("class"))
+    out = made.select("doc_id", "n_shingles", "tkey", "cid").join(of, "cid", "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"),
+                      *(["tkey", "class"] if with_class else []))

@@ -36,3 +36,14 @@ def test_stages(spark, tmp_path):
     assert run.count() == e.count()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+
+
+def test_near_dedup_one_row_per_class(spark, tmp_path):
+    """Ids that repeat or are null: one row per class of texts, not per id."""
+    words = lambda k, n=30: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, words("a")), (1, words("b")), (1, words("b")), (2, words("a")), (3, words("c")), (4, words("c")),
+            (None, words("c")), (None, words("d")), (None, words("d")), (5, words("b")), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()
+    want = [(1, words("a")), (1, words("b")), (3, words("c")), (None, words("d")), (6, "")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
