@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, kdshard, langid, linededup, mixing, neardup, secrets, suffixdedup, topk, url_filter
+from . import (centroids, decontam, kdshard, langid, linededup, mixing, neardup, quality, secrets, suffixdedup, topk,
+               url_filter, whitening)
 from .common import read
 
 QUERIES: dict = {}
@@ -112,6 +113,41 @@ def op10(spark, sf):
     return suffixdedup.suffix_dedup(read(spark, sf, "documents"))
 
 
+def kmeans_sql(rounds: int = 10, k: int = 8) -> str:
+    """The clustering contract in DuckDB: one row per vector and component, every round a CTE."""
+    nearest = """select vec_id, min(c) as c, min(d) as d from (select vec_id, c, d, rank() over (partition by vec_id order by d, c) as r
+  from (select e.vec_id, o.c, sum((e.x - o.x) * (e.x - o.x)) as d from e join c{r} o on e.i = o.i group by e.vec_id, o.c)) where r = 1 group by vec_id"""
+    parts = [f"""e as materialized (select vec_id, unnest(range(64)) as i, unnest(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) as x
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+             f"""c0 as materialized (select f.c, e.i, e.x from e join (select vec_id, row_number() over (order by sha256('3:' || vec_id)) - 1 as c
+  from (select distinct vec_id from e)) f on e.vec_id = f.vec_id where f.c < {k})"""]
+    for r in range(rounds):
+        parts.append(f"a{r} as materialized ({nearest.format(r=r)})")
+        parts.append(f"""m{r} as materialized (select c, i, (s - ((s % n) + n) % n) // n as x from
+  (select a.c, e.i, sum(e.x) as s, count(*) as n from a{r} a join e on a.vec_id = e.vec_id group by a.c, e.i))""")
+        parts.append(f"c{r + 1} as materialized (select * from m{r} union all select * from c{r} where c not in (select c from m{r}))")
+    parts.append(f"z as materialized ({nearest.format(r=rounds)})")
+    return "with " + ",\n".join(parts) + f"""
+select z.vec_id, cast(z.c as int) as cluster, cast(z.d as bigint) as distance, cast(sum(z.d) over (partition by z.c) as bigint) as cluster_inertia,
+  cast(sum(z.d) over () as bigint) as inertia, h.h as centroid_sha256
+from z join (select c, sha256(string_agg(cast(x as varchar), ',' order by i)) as h from c{rounds} group by c) h on z.c = h.c"""
+
+
+@register("op11_centroid_clusters", kmeans_sql())
+def op11(spark, sf):
+    return centroids.centroid_clusters(read(spark, sf, "embeddings"))
+
+
+@register("op12_embedding_whitening")
+def op12(spark, sf):
+    return whitening.whiten(read(spark, sf, "embeddings"))
+
+
+@register("op13_quality_rules")
+def op13(spark, sf):
+    return quality.quality_rules(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 @register("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
