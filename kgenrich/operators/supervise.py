@@ -16,6 +16,7 @@ from ..functions.tags import relation_words
 from ..functions.values import prepare_value
 from ..sources.stopwords import default_stop_words
 from . import graph
+from .selection import first_rows
 
 
 class TooFewExamples(RuntimeError):
@@ -40,7 +41,7 @@ def training_pairs(triples: DataFrame, types: DataFrame, spec: RelationSpec,
     if limit is None:
         return pairs
     if not spec.dedupe_values:
-        return pairs.orderBy(pair_hash(), "s", "o").limit(limit)
+        return first_rows(pairs, pair_hash(), limit)
     # A hash threshold for values over the limit keeps about twice the limit before
     # the exact cut; repeated pairs pass together, so distinct ones are counted.
     large = pairs.select("s", "o").distinct().groupBy("o").agg(F.count("*").alias("c")).where(F.col("c") > limit) \
@@ -49,7 +50,14 @@ def training_pairs(triples: DataFrame, types: DataFrame, spec: RelationSpec,
         .where(F.col("most").isNull() | (F.conv(F.substring(pair_hash(), 1, 12), 16, 10).cast("long") <= F.col("most")))
     w = Window.partitionBy("o").orderBy(pair_hash(), "s")
     ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    return ranked.orderBy("rank", pair_hash(), "s", "o").limit(limit).select(*pairs.columns)
+    last = before = 0                       # pairs of ranks under ``last``; at most ``limit`` ranks
+    for last, n in ranked.groupBy("rank").count().orderBy("rank").collect():
+        if before + n >= limit:
+            break
+        before += n
+    whole = ranked.where(F.col("rank") < last)
+    part = first_rows(ranked.where(F.col("rank") == last), pair_hash(), limit - before)
+    return whole.unionByName(part).select(*pairs.columns)
 
 
 def drop_gold(pairs: DataFrame, gold_entities: DataFrame) -> DataFrame:
@@ -92,7 +100,7 @@ def best_positives(labelled: DataFrame, cap: int | None = None) -> DataFrame:
         F.struct(F.col("n_match"), -F.col("sent_id"))).alias("b"))
     out = best.select("s", "o", "b.sent_id", "b.words", "b.values")
     if cap is not None:                                      # G8
-        out = out.orderBy(pair_hash(), "s", "o").limit(cap)
+        out = first_rows(out, pair_hash(), cap, ["s", "o", "sent_id"])
     return out
 
 
@@ -109,12 +117,12 @@ def check_enough(positives: DataFrame, minimum: int = 10) -> int:
 
 
 def undersample(neg: DataFrame, n: int, seed: int = 7) -> DataFrame:
-    """``n`` negatives drawn uniformly with a seeded hash order (a top-n:
-    each partition keeps at most ``n`` rows before the final merge). The
-    hash is md5, so other engines can reproduce the draw."""
+    """``n`` negatives drawn uniformly with a seeded hash order, by exact
+    histogram selection: ``n`` may be any share of the data. The hash is md5, so
+    other engines can reproduce the draw."""
     key = F.md5(F.concat_ws("|", F.col("s"), F.col("o"), F.col("sent_id").cast("string"),
                             F.lit(str(seed))))
-    return neg.orderBy(key).limit(n)
+    return first_rows(neg, key, n, ["s", "o", "sent_id"])
 
 
 def features(words: Column, stop_words=None) -> Column:

@@ -90,15 +90,19 @@ kg_sent as (select title, sent_id, list(lemma order by pos) as lemmas, list(segm
             from kg_words group by title, sent_id)"""
 
 
-def pairs_ctes(limit: int = 20000) -> str:
+def pairs_ctes(limit: int | None = None) -> str:
     """Training pairs (G1-G4) for the two planted relations with prepared values:
-    ``kg_pairs(p, s, o, vals)``."""
+    ``kg_pairs(p, s, o, vals)``; with a limit the first pair of every value by
+    its md5, then the second, and so on."""
+    cut = f" order by rank, h, s, o limit {limit}" if limit else ""
+
     def one(p, typed):
         src = (f"select f.s, f.o from kg_facts f join kg_types t on f.s = t.entity "
                f"where f.p = '{p}' and t.type = 'Customer'") if typed else \
             f"select s, o from kg_facts where p = '{p}'"
         return f"""pr_{p} as ({src}),
-pl_{p} as (select s, o from pr_{p} order by md5(concat_ws('|', s, o)), s, o limit {limit}),
+pl_{p} as (select s, o from (select s, o, md5(concat_ws('|', s, o)) as h,
+  row_number() over (partition by o order by md5(concat_ws('|', s, o)), s) as rank from pr_{p}){cut}),
 pg_{p} as (select s, o from pl_{p} where s not in (select entity from kg_gold_entities where p = '{p}'))"""
     return f"""{one('nation', False)},
 {one('balance', True)},

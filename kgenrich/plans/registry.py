@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import PREDOMINANT_SHARE, WIDE_TYPES
+from ..config import PREDOMINANT_SHARE, TRAINING_LIMIT, WIDE_TYPES
 from ..functions import iri
 from ..functions import markup as mk
 from ..functions import tags as tg
@@ -471,7 +471,7 @@ def f11(spark, sf):
                     F.array_join(F.transform("words", lambda w: w["segment"]), " ").alias("segments"))
 
 
-@register("g1_training_pairs", with_kg(f"with {pairs_ctes()} select p, s, o from kg_pairs"))
+@register("g1_training_pairs", with_kg(f"with {pairs_ctes(TRAINING_LIMIT)} select p, s, o from kg_pairs"))
 def g1(spark, sf):
     t, ty = _graph(spark, sf)
     ge, _ = kg.gold(spark, sf)
