@@ -132,8 +132,17 @@ def lexicon_from_corpus(tokens: DataFrame, tokens_col: str = "tokens") -> DataFr
     capitalised form whose lower-case form also occurs gets the lower-case
     lemma (true-casing); digits are ``num``, punctuation ``interp``, other
     forms ``ign``. Stands in for an external morphological lexicon."""
-    forms = tokens.select(F.explode(tokens_col).alias("form")).groupBy("form") \
+    return lexicon_from_forms(form_counts(tokens, tokens_col))
+
+
+def form_counts(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """``(form, n)``: how often every form occurs."""
+    return tokens.select(F.explode(tokens_col).alias("form")).groupBy("form") \
         .agg(F.count(F.lit(1)).alias("n"))
+
+
+def lexicon_from_forms(forms: DataFrame) -> DataFrame:
+    """The corpus lexicon of ``(form, n)`` rows, one per form."""
     lowers = forms.select(F.col("form").alias("lower_form")).where(F.col("form") == F.lower("form"))
     lx = forms.join(lowers, F.lower(forms.form) == lowers.lower_form, "left")
     tag = (F.when(F.col("form").rlike(r"^\d+$"), "num")
@@ -287,11 +296,16 @@ def prepare_articles(raw: DataFrame, catalog: DataFrame, lexicon: DataFrame | No
         raw = raw.join(done.select("title").distinct(), "title", "left_anti")
     # cleaned once: sentences, the lexicon and the link dictionary all read it
     clean = clean_articles(raw, keep_lines=line_limit).persist(StorageLevel.MEMORY_AND_DISK)
-    sents = sentences(clean)
     unique = False
     if lexicon is None and corpus_lexicon:
-        lexicon, unique = lexicon_from_corpus(sents), True
-    tagged = tag_sentences(sents, lexicon, unique_forms=unique)
+        lexicon, unique = lexicon_from_corpus(sentences(clean)), True
+    return prepare_clean(clean, catalog, lexicon, unique, sentence_limit)
+
+
+def prepare_clean(clean: DataFrame, catalog: DataFrame, lexicon: DataFrame | None = None,
+                  unique_forms: bool = False, sentence_limit: int | None = None) -> DataFrame:
+    """Cleaned articles -> ``sentences(title, sent_id, words)``: tags, lemmas, numerals."""
+    tagged = tag_sentences(sentences(clean), lexicon, unique_forms=unique_forms)
     ld = link_dictionary(clean, catalog)
     t = tagged.join(ld, "title", "left")
     if sentence_limit is not None:
