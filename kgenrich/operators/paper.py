@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import prepare_value
 from ..config import RelationSpec
+from ..session import checkpoint_dir
 from . import evaluate as ev
 from .supervise import lemmas
 
@@ -22,20 +23,46 @@ WORD = "struct<segment:string,lemma:string,tag:string,parse:string>"
 
 # --- K1 ------------------------------------------------------------------------------
 
+SMALL_INDEX = 64 << 20      # bytes of name prefixes that every executor may hold
+
+
+def name_index(catalog: DataFrame) -> DataFrame:
+    """``(start, k, name)`` of the names of two parts or more: their first two
+    parts, their number of parts, the name."""
+    parts = F.split("name", "_")
+    return catalog.select("name").distinct().where(F.size(parts) > 1) \
+        .select(F.array_join(F.slice(parts, 1, 2), "_").alias("start"), F.size(parts).alias("k"), "name")
+
+
+def name_hits(sentences: DataFrame, catalog: DataFrame, max_n: int | None = None) -> DataFrame:
+    """``(title, sent_id, i, k)``: the longest catalog name of ``k`` segments at
+    position ``i``. Positions are first looked up by their two segments among
+    the starts of names, held in memory while they are under SMALL_INDEX bytes;
+    only positions that start a name go on to the comparison with whole names."""
+    index = name_index(catalog)
+    if max_n is not None:
+        index = index.where(F.col("k") <= max_n)
+    lengths = index.select("start", "k").distinct()
+    size, longest = lengths.agg(F.sum(F.octet_length("start") + 16), F.max("k")).first()
+    if not longest:
+        return sentences.select("title", "sent_id", F.lit(0).alias("i"), F.lit(0).alias("k")).where("false")
+    segs = F.transform("words", lambda w: w["segment"])
+    places = F.transform(F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: i < F.size("words")), lambda i: F.struct(
+        (i - 1).alias("i"), F.array_join(F.slice(segs, i, 2), "_").alias("start"),
+        F.slice(segs, i, longest).alias("ahead")))
+    here = sentences.where(F.size("words") > 1).select("title", "sent_id", F.explode(places).alias("p")) \
+        .select("title", "sent_id", "p.*")
+    starts = F.broadcast(lengths) if size <= SMALL_INDEX else lengths
+    cand = here.join(starts, "start").where(F.size("ahead") >= F.col("k")) \
+        .select("title", "sent_id", "i", "k", F.array_join(F.expr("slice(ahead, 1, k)"), "_").alias("name"))
+    found = cand.join(index.select("name", "k"), ["name", "k"], "left_semi")
+    return found.groupBy("title", "sent_id", "i").agg(F.max("k").alias("k"))
+
+
 def join_names(sentences: DataFrame, catalog: DataFrame, max_n: int | None = None) -> DataFrame:
     """K1: consecutive segments whose ``_``-joined form is a catalog name become
     one word (longest match first, left to right, no overlaps)."""
-    if max_n is None:       # the catalog's longest name
-        max_n = catalog.agg(F.max(F.size(F.split("name", "_")))).first()[0] or 2
-    segs = F.transform("words", lambda w: w["segment"])
-    n = F.size("words")
-    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.transform(
-        F.filter(F.sequence(F.lit(2), F.lit(max(2, max_n))), lambda k: i + k <= n),
-        lambda k: F.struct(i.alias("i"), k.alias("k"), F.array_join(F.slice(segs, i + 1, k), "_").alias("g")))))
-    cand = sentences.select("title", "sent_id", F.explode_outer(grams).alias("c")) \
-        .where(F.col("c").isNotNull()).select("title", "sent_id", "c.i", "c.k", "c.g")
-    hits = cand.join(catalog.select(F.col("name").alias("g")).distinct(), "g", "left_semi")
-    longest = hits.groupBy("title", "sent_id", "i").agg(F.max("k").alias("k"))
+    longest = name_hits(sentences, catalog, max_n)
     per_sent = longest.groupBy("title", "sent_id").agg(
         F.map_from_entries(F.collect_list(F.struct("i", "k"))).alias("__m"))
     j = sentences.join(per_sent, ["title", "sent_id"], "left")
@@ -64,11 +91,54 @@ REDIRECT_RE = r"(?is)^\s*#(?:redirect|patrz|przekieruj)\s*:?\s*\[\[([^\]|#]+)"
 
 
 def redirects(pages: DataFrame) -> DataFrame:
-    """K2: ``(name, canonical)`` from redirect pages (``#REDIRECT [[Target]]``)."""
+    """K2: ``(name, canonical)``, one row a name, from redirect pages
+    (``#REDIRECT [[Target]]``): the target named by the page with the largest
+    id (ties: the larger target), as a later page replaces an earlier one."""
     target = F.regexp_extract(F.col("wikitext"), REDIRECT_RE, 1)
-    r = pages.select(F.replace(F.col("title"), F.lit(" "), F.lit("_")).alias("name"),
+    r = pages.select(F.replace(F.col("title"), F.lit(" "), F.lit("_")).alias("name"), "page_id",
                      F.replace(F.trim(target), F.lit(" "), F.lit("_")).alias("canonical"))
-    return r.where(F.col("canonical") != "").dropDuplicates(["name"])
+    return r.where((F.col("canonical") != "") & F.col("name").isNotNull()).groupBy("name") \
+        .agg(F.max_by("canonical", F.struct("page_id", "canonical")).alias("canonical"))
+
+
+def resolve_redirects(redirect_table: DataFrame) -> DataFrame:
+    """K2: ``(name, canonical)`` with chains followed to their end, by pointer
+    doubling: round r takes every open name 2^r redirects ahead, so a chain of n
+    needs log2(n) rounds. Once a round brings no name to its end, what is left
+    leads into cycles; there the smallest name on the cycle is the canonical
+    form. Every round is a reliable checkpoint of the names still open."""
+    checkpoint_dir(redirect_table.sparkSession)
+    links = redirect_table.select("name", F.col("canonical").alias("to")).checkpoint()
+    names = links.select(F.col("name").alias("to"))
+    open_ = links.join(names, "to", "left_semi").select("name", "to").checkpoint()
+    ended = links.join(names, "to", "left_anti").select("name", "to")
+    while not open_.isEmpty():
+        there = ended.withColumn("end", F.lit(True)).unionByName(open_.withColumn("end", F.lit(False)))
+        step = _hop(open_, there, "end").checkpoint()
+        if step.where("end").isEmpty():
+            return ended.unionByName(_cycle_names(links.join(open_.select("name"), "name", "left_semi"))) \
+                .select("name", F.col("to").alias("canonical"))
+        ended = ended.unionByName(step.where("end").select("name", "to"))
+        open_ = step.where("not end").select("name", "to")
+    return ended.select("name", F.col("to").alias("canonical"))
+
+
+def _hop(rows: DataFrame, there: DataFrame, *more: str) -> DataFrame:
+    """``rows`` with ``to`` and the columns ``more`` of the row that ``to`` names."""
+    ahead = there.select(F.col("name").alias("at"), F.col("to").alias("next"), *more)
+    return rows.join(ahead, F.col("to") == F.col("at")).select("name", F.col("next").alias("to"), *more)
+
+
+def _cycle_names(links: DataFrame) -> DataFrame:
+    """``(name, to)`` for names that all lead into cycles: ``to`` is the smallest
+    name on the cycle. Doubling keeps the least name of the next 2^r steps; once
+    2^r is the number of names, a pointer is on its cycle and sees all of it."""
+    walk = links.withColumn("least", F.col("name")).checkpoint()
+    for _ in range((walk.count() - 1).bit_length()):
+        mine = walk.select(F.col("name").alias("self"), F.col("least").alias("mine"))
+        walk = _hop(walk.select("name", "to"), walk, "least").join(mine, F.col("name") == F.col("self")) \
+            .select("name", "to", F.least("least", "mine").alias("least")).checkpoint()
+    return _hop(walk.select("name", "to"), walk, "least").select("name", F.col("least").alias("to"))
 
 
 def canonical_names(df: DataFrame, col: str, redirect_table: DataFrame) -> DataFrame:

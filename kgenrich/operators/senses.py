@@ -3,8 +3,7 @@
 ``senses(lemma, pos, rank, synset)`` and ``hypernyms(synset, parent)`` are
 inputs (any wordnet exported to parquet). F15 takes the first-ranked synset
 of a word's (lemma, simple POS), or of the lemma alone when the tag has no
-simple POS. F16 is the hypernym closure to a fixed depth as iterated joins
-(bounded by the depth, no recursion on the driver).
+simple POS. F16 is the hypernym closure, level by level.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.tags import simple_tag
+from ..session import checkpoint_dir
 
 
 def first_senses(senses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,13 +33,22 @@ def with_synsets(sentences: DataFrame, senses: DataFrame) -> DataFrame:
         .withColumn("synsets", F.transform("__s", lambda x: x["s"])).drop("__s")
 
 
-def hypernym_closure(hypernyms: DataFrame, depth: int = 1) -> DataFrame:
-    """F16: ``(synset, ancestor, depth)`` for ancestors up to ``depth`` levels."""
-    edges = hypernyms.select("synset", F.col("parent").alias("ancestor"))
-    out = edges.withColumn("depth", F.lit(1))
-    frontier = edges
-    for d in range(2, depth + 1):
-        frontier = frontier.alias("f").join(hypernyms.alias("h"), F.col("f.ancestor") == F.col("h.synset")) \
-            .select(F.col("f.synset").alias("synset"), F.col("h.parent").alias("ancestor"))
-        out = out.unionByName(frontier.withColumn("depth", F.lit(d)))
-    return out.groupBy("synset", "ancestor").agg(F.min("depth").alias("depth"))
+def hypernym_closure(hypernyms: DataFrame, depth: int | None = None) -> DataFrame:
+    """F16: ``(synset, ancestor, depth)`` for ancestors up to ``depth`` levels
+    (None: all), with their least depth. Semi-naive: a level joins only the
+    pairs that the level before found first, and pairs already known go, so
+    paths do not multiply in a DAG and cycles end. Every level is a reliable
+    checkpoint. Null ends are no edges; a synset on a cycle is its own ancestor."""
+    checkpoint_dir(hypernyms.sparkSession)
+    edges = hypernyms.select("synset", F.col("parent").alias("ancestor")) \
+        .where("synset is not null and ancestor is not null").distinct().checkpoint()
+    step = edges.select(F.col("synset").alias("ancestor"), F.col("ancestor").alias("above"))
+    frontier, known, d = edges, edges.withColumn("depth", F.lit(1)), 1
+    while d != depth:
+        d += 1
+        found = frontier.join(step, "ancestor").select("synset", F.col("above").alias("ancestor")).distinct()
+        frontier = found.join(known, ["synset", "ancestor"], "left_anti").checkpoint()
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier.withColumn("depth", F.lit(d)))
+    return known

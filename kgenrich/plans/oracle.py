@@ -7,6 +7,8 @@ the driver's pre-registered tables.
 
 from __future__ import annotations
 
+import re
+
 from . import testkg as kg
 
 _SOURCES = {
@@ -32,9 +34,10 @@ def sql_list(words) -> str:
 
 def with_kg(body: str) -> str:
     body = body.strip()
-    if body[:5].lower() == "with ":
-        body = ", " + body[5:]
-    return f"""with kg_triples as ({triples_sql()}),
+    start = "with"
+    if head := re.match(r"with(\s+recursive)?\s", body, re.I):
+        start, body = head[0].strip(), ", " + body[head.end():].strip()
+    return f"""{start} kg_triples as ({triples_sql()}),
 kg_types as (select s as entity, o as type from kg_triples where p = 'type'),
 kg_facts as (select * from kg_triples where p <> 'type'),
 kg_articles as (select {kg.CUST} as title, c_custkey as page_id, {kg.ARTICLE} as wikitext from customer),

@@ -17,12 +17,13 @@ from ..functions import values as vals
 from ..operators import catalog as cat
 from ..operators import evaluate as ev
 from ..operators import extract as ex
-from ..operators import graph, paper
+from ..operators import graph, paper, senses
 from ..operators import supervise as sup
 from ..operators import text as tx
-from ..session import stage_path
+from ..session import checkpoint_dir, stage_path
 from ..sources import gold as gold_io
 from ..sources import ntriples as nt
+from ..streaming import incremental
 from . import testkg as kg
 from .oracle import labelled_ctes, pairs_ctes, sentences_ctes, sql_list, with_kg
 
@@ -436,11 +437,11 @@ def f17(spark, sf):
 _PLANTED = ["nation", "balance"]
 
 
-def _corpus_sentences(spark, sf):
+def _corpus_sentences(spark, sf, persist=False):
     from .jobs import prepare_corpus
     t, ty = _graph(spark, sf)
     catalog = cat.build_catalog(ty, kg.CATALOG_TYPES)
-    return t, ty, catalog, prepare_corpus(kg.articles(spark, sf), catalog, persist=False)
+    return t, ty, catalog, prepare_corpus(kg.articles(spark, sf), catalog, persist=persist)
 
 
 def _labelled(spark, sf):
@@ -502,6 +503,8 @@ neg as (select l.p, l.s, l.o, l.sent_id, row_number() over (partition by l.p ord
 select neg.p, s, o, cast(sent_id as int) as sent_id from neg join npos on neg.p = npos.p where rn <= npos.n"""))
 def g9(spark, sf):
     _, _, _, lab = _labelled(spark, sf)
+    checkpoint_dir(spark)
+    lab = lab.checkpoint()      # the selection reads it several times
     pos = _positives(lab)
     parts = []
     for p in _PLANTED:
@@ -701,6 +704,105 @@ def k4(spark, sf):
     return lab.select("s", "o", F.col("sent_id").cast("int").alias("sent_id"), "kind")
 
 
+# --- F15, F16, F18, K1, K2 ---------------------------------------------------------------
+
+_HYPER_SQL = " union ".join(f"select {s} as synset, {o} as parent from {t}" for t, s, o in kg.HYPERNYMS)
+
+
+@register("f16_hypernym_closure", f"""
+with recursive h as ({_HYPER_SQL}),
+c(synset, ancestor, depth) as (select synset, parent, 1 from h
+  union select c.synset, h.parent, c.depth + 1 from c join h on c.ancestor = h.synset)
+select synset, ancestor, cast(min(depth) as int) as depth from c group by synset, ancestor""")
+def f16(spark, sf):
+    return senses.hypernym_closure(kg.hypernyms(spark, sf))
+
+
+@register("f15_first_senses", with_kg(f"""with {sentences_ctes()},
+w as (select title, sent_id, pos, lemma from kg_words),
+sn as (select distinct {kg.SENSES[1]} as lemma, {kg.SENSES[2]} as pos, {kg.SENSES[3]} as rank, {kg.SENSES[4]} as synset
+  from {kg.SENSES[0]}),
+best as (select lemma, arg_min(synset, rank * 10 + case when pos = 'n' then 0 else 1 end) as synset from sn group by lemma)
+select title, cast(sent_id as int) as sent_id, string_agg(coalesce(synset, ''), ' ' order by w.pos) as synsets
+from w left join best on w.lemma = best.lemma group by title, sent_id"""))
+def f15(spark, sf):
+    _, _, _, sents = _corpus_sentences(spark, sf, persist=True)
+    return senses.with_synsets(sents, kg.senses(spark, sf)).select(
+        "title", F.col("sent_id").cast("int").alias("sent_id"), F.array_join("synsets", " ").alias("synsets"))
+
+
+@register("f18_incremental_articles", with_kg(f"""with {sentences_ctes()}
+select title, cast(sent_id as int) as sent_id, array_to_string(lemmas, ' ') as lemmas,
+       array_to_string(segments, ' ') as segments from kg_sent"""))
+def f18(spark, sf):
+    """Two runs of the stream: the articles arrive in six files, three a run, two a batch."""
+    root = stage_path(spark, f"f18_{_key(sf)}")
+    t, ty = _graph(spark, sf)
+    catalog = cat.build_catalog(ty, kg.CATALOG_TYPES)
+    raw = kg.articles(spark, sf).select("title", F.col("page_id").cast("long").alias("page_id"), "wikitext")
+    for half in (0, 1):
+        raw.where(F.col("page_id") % 2 == half).repartition(3).write.mode("append").parquet(f"{root}/raw")
+        incremental.prepare_stream(spark, f"{root}/raw", f"{root}/out", catalog,
+                                   query_name=f"f18_{root.split('/')[-2]}", max_files=2)
+    s = incremental.read_sentences(spark, f"{root}/out")
+    return s.select("title", F.col("sent_id").cast("int").alias("sent_id"),
+                    F.array_join(F.transform("words", lambda w: w["lemma"]), " ").alias("lemmas"),
+                    F.array_join(F.transform("words", lambda w: w["segment"]), " ").alias("segments"))
+
+
+# Names of several parts for K1: two to four words that follow each other in the articles.
+_NAMES_SQL = f"""select 'a_small_' || {kg.SEG} as name from customer union select 'regular_orders' from customer
+  union select 'home_nation' from customer union select 'home_nation_is_' || {kg.HOME} from customer
+  union select {kg.SEG} || '_customer' from customer union select {kg.SEG} || '_division_since_' || {kg.YEAR} from customer
+  union select 'Its_largest_supplier' from customer union select 'largest_supplier_ships_goods' from customer
+  union select 'nation_is' from customer"""
+
+
+@register("k1_joined_names", with_kg(f"""with recursive {sentences_ctes()},
+names as (select name, string_split(name, '_') as parts from ({_NAMES_SQL})),
+hits as (select s.title, s.sent_id, u.i, max(len(n.parts)) as k from kg_sent s, unnest(range(len(s.segments))) as u(i)
+  join names n on n.parts[1] = s.segments[u.i + 1] and list_slice(s.segments, u.i + 1, u.i + len(n.parts)) = n.parts
+  group by s.title, s.sent_id, u.i),
+walk(title, sent_id, i, out) as (select title, sent_id, cast(0 as bigint), []::varchar[] from kg_sent
+  union all select w.title, w.sent_id, w.i + coalesce(a.k, 1),
+    list_append(w.out, array_to_string(list_slice(s.segments, w.i + 1, w.i + coalesce(a.k, 1)), '_'))
+  from walk w join kg_sent s on w.title = s.title and w.sent_id = s.sent_id and w.i < len(s.segments)
+  left join hits a on a.title = w.title and a.sent_id = w.sent_id and a.i = w.i)
+select w.title, cast(w.sent_id as int) as sent_id, array_to_string(w.out, ' ') as segments
+from walk w join kg_sent s on w.title = s.title and w.sent_id = s.sent_id and w.i = len(s.segments)"""))
+def k1(spark, sf):
+    _, _, _, sents = _corpus_sentences(spark, sf, persist=True)
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    exprs = [x.strip().removeprefix("select ").removesuffix(" from customer").removesuffix(" as name")
+             for x in _NAMES_SQL.split(" union ")]
+    names = c.select(F.explode(F.array(*[F.expr(e) for e in exprs])).alias("name")).distinct()
+    return paper.join_names(sents, names).select(
+        "title", F.col("sent_id").cast("int").alias("sent_id"),
+        F.array_join(F.transform("words", lambda w: w["segment"]), " ").alias("segments"))
+
+
+_REDIRECT_SQL = " union all ".join(f"select {t} as title, {i} as page_id, {to} as target from customer where {w}"
+                                   for t, i, to, w in kg.REDIRECT_PAGES)
+
+
+@register("k2_canonical_names", with_kg(f"""with recursive
+r as (select replace(title, ' ', '_') as name, arg_max(replace(target, ' ', '_'), page_id) as canonical
+  from ({_REDIRECT_SQL}) group by replace(title, ' ', '_')),
+one as (select name, canonical from r),
+w(name, cur, path) as (select name, canonical, [name] from one
+  union all select w.name, o.canonical, list_append(w.path, w.cur) from w join one o on o.name = w.cur
+  where not list_contains(w.path, w.cur)),
+ends as (select name, case when list_contains(path, cur) then list_min(list_slice(path, list_position(path, cur), len(path)))
+    else cur end as canonical from w where list_contains(path, cur) or cur not in (select name from one)),
+f as (select s, o from kg_facts where p = 'customer')
+select f.s, coalesce(e.canonical, f.o) as o from f left join ends e on e.name = f.o"""))
+def k2(spark, sf):
+    """The customer of every order under its canonical name."""
+    t, _ = _graph(spark, sf)
+    table = paper.resolve_redirects(paper.redirects(kg.redirect_pages(spark, sf)))
+    return paper.canonical_names(t.where(F.col("p") == "customer").select("s", "o"), "o", table)
+
+
 # --- trained stages: rows-only checks (numbers are not portable) ----------------------
 
 def _trained(spark, sf, p="nation"):

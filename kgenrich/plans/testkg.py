@@ -104,6 +104,61 @@ ARTICLE = " || ".join([
 ])
 
 
+def _customer(k: str) -> str:
+    return f"'Customer_' || lpad(cast({k} as string), 9, '0')"
+
+
+# Redirect pages of customers (K2): (title, page id, target, filter). By the last
+# digit of the key: 1 to 5 are a chain that ends at 6, 7 and 8 point at each
+# other, 9 leads into that cycle; 3 has a second, later page that ends the
+# chain early, 4 a second, earlier one that does not count.
+REDIRECT_PAGES = [
+    (CUST, "c_custkey", _customer("c_custkey + 1"), "c_custkey % 10 in (1, 3, 4, 5, 7)"),
+    ("replace(c_name, '#', ' ')", "c_custkey", f"replace({_customer('c_custkey + 1')}, '_', ' ')", "c_custkey % 10 = 2"),
+    (CUST, "c_custkey", _customer("c_custkey - 1"), "c_custkey % 10 in (8, 9)"),
+    (CUST, "c_custkey + 100000000", _customer("c_custkey + 3"), "c_custkey % 10 = 3"),
+    (CUST, "c_custkey - 100000000", "'Nowhere'", "c_custkey % 10 = 4"),
+]
+REDIRECT_TEXT = "'#REDIRECT [[' || {target} || ']]'"
+
+# Hypernyms (F15, F16): part -> brand -> type word, and a ladder over the nation
+# keys in which both nodes of a rung lead to both of the next: 2^24 paths.
+_RUNG = "'rung' || cast(n_nationkey + {up} as string) || '{side}'"
+HYPERNYMS = [
+    ("part", "'part' || cast(p_partkey as string)", "p_brand"),
+    ("part", "p_brand", "'type ' || lower(p_type)"),
+    ("part", "'type ' || lower(p_type)", "'thing'"),
+    ("part", "'part' || cast(p_partkey as string)", "'type ' || lower(p_type)"),
+    *[("nation", _RUNG.format(up=0, side=a), _RUNG.format(up=1, side=b)) for a in "ab" for b in "ab"],
+]
+# Senses of the words that name market segments: (lemma, part of speech, rank, synset).
+SENSES = ("customer", SEG, "case when c_custkey % 2 = 0 then 'n' else 'v' end", "c_custkey % 5",
+          f"{SEG} || '.' || cast(c_custkey % 5 as string)")
+
+
+def redirect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(title, page_id, wikitext)`` of redirect pages and of the articles."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    parts = [c.where(F.expr(w)).select(F.expr(t).alias("title"), F.expr(i).alias("page_id"),
+                                       F.expr(REDIRECT_TEXT.format(target=to)).alias("wikitext"))
+             for t, i, to, w in REDIRECT_PAGES]
+    return reduce(DataFrame.unionAll, parts).unionAll(articles(spark, sf_dir).where("page_id % 10 in (0, 6)"))
+
+
+def hypernyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(synset, parent)``."""
+    t = load_tables(spark, sf_dir, ["part", "nation"])
+    return reduce(DataFrame.unionAll, [t[n].select(F.expr(s).alias("synset"), F.expr(o).alias("parent"))
+                                       for n, s, o in HYPERNYMS])
+
+
+def senses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(lemma, pos, rank, synset)``."""
+    table, *cols = SENSES
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
+        *[F.expr(c).alias(n) for c, n in zip(cols, ("lemma", "pos", "rank", "synset"))]).distinct()
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
     names = names or TABLES
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}

@@ -21,15 +21,62 @@ def test_join_names_longest_first(spark):
 
 
 def test_redirects_and_canonical(spark):
-    pages = spark.createDataFrame([("USA", "#REDIRECT [[Stany Zjednoczone]]"), ("X", "text")],
-                                  "title string, wikitext string")
+    pages = spark.createDataFrame(
+        [("USA", 7, "#REDIRECT [[Stany Zjednoczone]]"), ("X", 8, "text"), ("U S", 3, "#redirect [[Early]]"),
+         ("U S", 9, "#patrz: [[USA|x]]"), ("U_S", 5, "#REDIRECT [[Middle]]"), (None, 1, "#REDIRECT [[Y]]"), ("Z", 2, None)],
+        "title string, page_id long, wikitext string")
     r = K.redirects(pages)
-    assert [tuple(x) for x in r.collect()] == [("USA", "Stany_Zjednoczone")]
-    vals = spark.createDataFrame([("e", "USA"), ("f", "Polska")], "entity string, value string")
-    got = {x.entity: x.value for x in K.canonical_names(vals, "value", r).collect()}
+    assert sorted(tuple(x) for x in r.collect()) == [("USA", "Stany_Zjednoczone"), ("U_S", "USA")]
+    vals = spark.createDataFrame([("e", "U_S"), ("f", "Polska")], "entity string, value string")
+    got = {x.entity: x.value for x in K.canonical_names(vals, "value", K.resolve_redirects(r)).collect()}
     assert got == {"e": "Stany_Zjednoczone", "f": "Polska"}
 
 
+def follow(links, name):
+    path = []
+    while name in links and name not in path:
+        path.append(name)
+        name = links[name]
+    return min(path[path.index(name):]) if name in path else name
+
+
+def test_redirect_chains_and_cycles_of_any_length(spark):
+    links = {f"c{i:03}": f"c{i + 1:03}" for i in range(300)}                     # one long chain
+    for n in (1, 2, 3, 5, 8, 12):                                                # cycles, a tail of n + 1 into each
+        links |= {f"y{n}_{i:02}": f"y{n}_{(i + 1) % n:02}" for i in range(n)}
+        links |= {f"a{n}_{i:02}": f"a{n}_{i + 1:02}" for i in range(n)} | {f"a{n}_{n:02}": f"y{n}_{n // 2:02}"}
+    links |= {f"many{i}": "c000" for i in range(200)}                            # a popular target
+    for part in (links, {k: v for k, v in links.items() if k[0] in "cm"}, {"a": "a"}, {"a": "b"}, {}):
+        df = spark.createDataFrame(list(part.items()), "name string, canonical string")
+        got = {r.name: r.canonical for r in K.resolve_redirects(df).collect()}
+        assert got == {n: follow(part, n) for n in part}
+
+
+def test_join_names_equal_a_walk_over_all_names(spark):
+    import random
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(6)]
+    names = {"_".join(rng.choices(vocab, k=rng.choice([1, 2, 2, 3, 4]))) for _ in range(25)}
+    sents = [(f"t{i}", j, _w(*rng.choices(vocab, k=rng.choice([0, 1, 2, 9, 15])))) for i in range(20) for j in range(3)]
+
+    def walk(segs):
+        out, i = [], 0
+        while i < len(segs):
+            k = max([k for k in range(2, 5) if i + k <= len(segs) and "_".join(segs[i:i + k]) in names], default=1)
+            out.append("_".join(segs[i:i + k]))
+            i += k
+        return out
+
+    df = spark.createDataFrame(sents, f"title string, sent_id int, words {W}")
+    cat = spark.createDataFrame([(n,) for n in names], "name string")
+    for limit in (K.SMALL_INDEX, 0):                    # starts broadcast, starts shuffled
+        K.SMALL_INDEX, kept = limit, K.SMALL_INDEX
+        got = {(r.title, r.sent_id): [w.segment for w in r.words] for r in K.join_names(df, cat).collect()}
+        K.SMALL_INDEX = kept
+        want = {(t, i): walk([w[0] for w in ws]) for t, i, ws in sents}
+        assert got == want and any("_" in x for v in want.values() for x in v)
+
+
 def test_extra_features(spark):
     df = spark.createDataFrame([(_w("Nowa_Wieś", "1410", "x"), [["City"], [], []])],
                                f"words {W}, types array<array<string>>")

@@ -20,6 +20,23 @@ def test_synsets_and_closure(spark):
     assert c[("city.n.01", "region.n.01")] == 2 and c[("city.n.01", "municipality.n.01")] == 1
 
 
+def test_closure_of_a_ladder_with_2_to_the_20_paths(spark):
+    rungs = [(f"n{i}{a}", f"n{i + 1}{b}") for i in range(20) for a in "xy" for b in "xy"]
+    c = S.hypernym_closure(spark.createDataFrame(rungs, "synset string, parent string")).collect()
+    assert len(c) == sum(4 * (20 - i) for i in range(20))
+    assert {r.depth for r in c if r.synset == "n0x" and r.ancestor == "n20y"} == {20}
+
+
+def test_closure_of_cycles_shortcuts_and_bad_rows(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("x", "y"), ("x", "y"), (None, "y"), ("x", None)]
+    hyp = spark.createDataFrame(rows, "synset string, parent string")
+    got = sorted((r.synset, r.ancestor, r.depth) for r in S.hypernym_closure(hyp).collect())
+    assert got == [("a", "a", 2), ("a", "b", 1), ("a", "c", 1), ("b", "a", 2), ("b", "b", 3), ("b", "c", 1),
+                   ("c", "a", 1), ("c", "b", 2), ("c", "c", 2), ("x", "y", 1)]
+    assert all(r.depth == 1 for r in S.hypernym_closure(hyp, 1).collect())
+    assert S.hypernym_closure(hyp.where("false")).collect() == []
+
+
 def test_learning_curve_means(spark):
     def run(cap, seed):
         return spark.createDataFrame([(cap / 100.0, seed / 10.0)], "precision double, recall double")
