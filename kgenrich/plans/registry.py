@@ -21,6 +21,7 @@ from ..operators import graph, paper, senses
 from ..operators import supervise as sup
 from ..operators import text as tx
 from ..session import checkpoint_dir, stage_path
+from ..sources import dump
 from ..sources import gold as gold_io
 from ..sources import ntriples as nt
 from ..streaming import incremental
@@ -704,6 +705,50 @@ def k4(spark, sf):
     return lab.select("s", "o", F.col("sent_id").cast("int").alias("sent_id"), "kind")
 
 
+_DUMP_SQL = "pg as (" + " union all ".join(
+    f"select {t} as title, {i} as page_id, {x} as wikitext, {o} as place from customer where {w}"
+    for t, i, x, o, w in kg.DUMP_PAGES) + ")"
+_IN_CATALOG = "c_custkey % 3 <> 1"
+
+
+def _dump(spark, sf):
+    path = stage_path(spark, f"dump_{_key(sf)}")
+    dump.write_dump(kg.dump_pages(spark, sf), path, "place", files=6)
+    return path
+
+
+@register("a1_p3_dump_articles", with_kg(f"""with {_DUMP_SQL},
+names as (select {kg.CUST} as name from customer where {_IN_CATALOG}
+  union all select replace({kg.CUST}, '_', '/') from customer where {_IN_CATALOG}),
+kept as (select *, replace(title, '/', '_') as stored_name from pg where title in (select name from names)),
+best as (select stored_name, max(place) as place from kept group by stored_name)
+select k.title, k.page_id, k.stored_name, md5(k.wikitext) as text_md5
+from kept k join best b on k.stored_name = b.stored_name and k.place = b.place"""))
+def a1(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").where(_IN_CATALOG).select(F.expr(kg.CUST).alias("name"))
+    names = c.union(c.select(F.replace("name", F.lit("_"), F.lit("/"))))
+    arts = dump.prepare_corpus_from_dump(spark, _dump(spark, sf), names, partitions=5)
+    return arts.select("title", "page_id", "stored_name", F.md5("wikitext").alias("text_md5"))
+
+
+_FILE_BYTES = 20000
+
+
+@register("a2_b3_b4_p4_plain_corpus", with_kg(f"""with rec as (select c_custkey as page_id,
+  '<doc id="' || c_custkey || '" url="http://pl.wikipedia.org/wiki/' || {kg.CUST} || '">' || chr(10) || {" || chr(10) || ".join(kg.EXPECTED_CLEAN_LINES)}
+  || chr(10) || '</doc>' || chr(10) as value from customer),
+pl as (select *, cast(sum(strlen(value)) over (order by page_id) - strlen(value) as bigint) // {_FILE_BYTES} as file from rec)
+select file // 100 as folder, file, cast(count(*) as bigint) as n_docs, cast(sum(strlen(value)) as bigint) as n_bytes,
+  md5(string_agg(value, '' order by page_id)) as text_md5 from pl group by file"""))
+def p4(spark, sf):
+    path = _dump(spark, sf)
+    dump.plain_corpus(dump.read_dump(spark, path), f"{path}-text", max_bytes=_FILE_BYTES, compress=True)
+    c = dump.read_corpus(spark, f"{path}-text")
+    return c.select(F.col("folder").cast("bigint").alias("folder"), F.col("file").cast("bigint").alias("file"),
+                    F.regexp_count("value", F.lit("</doc>")).cast("bigint").alias("n_docs"),
+                    F.octet_length("value").cast("bigint").alias("n_bytes"), F.md5("value").alias("text_md5"))
+
+
 # --- F15, F16, F18, K1, K2 ---------------------------------------------------------------
 
 _HYPER_SQL = " union ".join(f"select {s} as synset, {o} as parent from {t}" for t, s, o in kg.HYPERNYMS)

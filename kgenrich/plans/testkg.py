@@ -121,6 +121,17 @@ REDIRECT_PAGES = [
 ]
 REDIRECT_TEXT = "'#REDIRECT [[' || {target} || ']]'"
 
+# Pages of a dump (A1, A2): (title, page id, text, place in the dump, filter). Beside
+# the articles there are older and newer versions, a title that differs by "/"
+# only, pages of another namespace and pages of one line.
+DUMP_PAGES = [
+    (CUST, "c_custkey", ARTICLE, "2 * c_custkey + 1", "true"),
+    (CUST, "c_custkey", f"'old text of ' || {CUST}", "2 * c_custkey", "c_custkey % 5 = 0"),
+    (CUST, "c_custkey + 1000000", f"'new text of ' || {CUST}", "100000000 + c_custkey", "c_custkey % 7 = 0"),
+    (f"replace({CUST}, '_', '/')", "c_custkey + 2000000", f"'other title of ' || {CUST}", "200000000 + c_custkey", "c_custkey % 11 = 0"),
+    ("'Template:' || c_name", "c_custkey + 3000000", ARTICLE, "300000000 + c_custkey", "c_custkey % 9 = 0"),
+]
+
 # Hypernyms (F15, F16): part -> brand -> type word, and a ladder over the nation
 # keys in which both nodes of a rung lead to both of the next: 2^24 paths.
 _RUNG = "'rung' || cast(n_nationkey + {up} as string) || '{side}'"
@@ -145,6 +156,15 @@ def redirect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts).unionAll(articles(spark, sf_dir).where("page_id % 10 in (0, 6)"))
 
 
+def dump_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(title, page_id, wikitext, place)``."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return reduce(DataFrame.unionAll, [
+        c.where(F.expr(w)).select(F.expr(t).alias("title"), F.expr(i).cast("long").alias("page_id"),
+                                  F.expr(x).alias("wikitext"), F.expr(o).cast("long").alias("place"))
+        for t, i, x, o, w in DUMP_PAGES])
+
+
 def hypernyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(synset, parent)``."""
     t = load_tables(spark, sf_dir, ["part", "nation"])
