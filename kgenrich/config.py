@@ -33,6 +33,7 @@ EXTRACTOR_CONFIDENCE = 0.8        # keep values with p above
 ARTICLE_SENTENCE_LIMIT = 10       # lines before tagging / sentences after
 RECENT_YEAR = (1990, 2012)        # recent-year feature bounds
 WINDOW = 3                        # token window of the value extractor
+CRF_ITERATIONS = 100              # of the extractor's solver at most
 LEARNING_CURVE_CAPS = [10, 25, 50, 100, 250, 500, 1000, 2500]
 LEARNING_CURVE_RUNS = 10
 # --------------------------------------------------------------------------

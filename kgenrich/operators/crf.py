@@ -4,13 +4,13 @@ Features are hashed into ``2**18`` buckets (``pmod(xxhash64(f), 2**18)``),
 so the model is a dense ``(2**18, 2)`` state-weight matrix plus a 2x2
 transition matrix (4 MB). Training is L-BFGS on the driver over a
 distributed objective: every evaluation broadcasts the weights and a
-``mapInPandas`` pass runs batched log-space forward-backward per partition,
-returning the partition's loss and sparse gradient (features present in the
-partition); the training set is bounded by the training cap and has a
-size-derived (small) partition count, so the driver adds a handful of them. The hashed training sentences are checkpointed (lineage cut in the
-shared ``spark.checkpoint.dir``) so a lost executor recomputes nothing
+``mapInArrow`` pass runs batched log-space forward-backward per partition;
+the partitions' sparse gradients (one row a feature present) are summed by a
+``groupBy`` on the feature, so the driver gets one vector whatever the number
+of partitions. The hashed training sentences are checkpointed (lineage cut in
+the shared ``spark.checkpoint.dir``) so a lost executor recomputes nothing
 upstream. Tagging (I6) is a ``mapInPandas`` Viterbi + marginals pass with
-broadcast weights.
+broadcast weights, in batches of sentences of about one length.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..config import CRF_ITERATIONS
 from ..session import checkpoint_dir
 from .extract import token_labels, with_window_features
 
@@ -176,20 +177,14 @@ def _viterbi_batch(W, T, fids_col, flens_col):
         nd = cand.max(axis=1) + E[:, t]
         delta = np.where(mask[:, t, None], nd, delta)
         back[:, t] = np.where(mask[:, t, None], best, np.arange(N_LABELS)[None, :])
-    tags, probs = [], []
-    for b in range(B):
-        n = int(lens[b])
-        if n == 0:                                           # an empty sentence
-            tags.append([])
-            probs.append([])
-            continue
-        y = np.zeros(n, dtype=np.int64)
-        y[n - 1] = int(delta[b].argmax())
-        for t in range(n - 1, 0, -1):
-            y[t - 1] = back[b, t, y[t]]
-        tags.append(y.tolist())
-        probs.append(gamma[b, np.arange(n), y].tolist())
-    return tags, probs
+    # beyond a sentence's end ``back`` keeps the label, so all sentences go back together
+    y = np.zeros((B, L), dtype=np.int64)
+    y[:, L - 1] = delta.argmax(axis=1)
+    for t in range(L - 1, 0, -1):
+        y[:, t - 1] = back[np.arange(B), t, y[:, t]]
+    p = np.take_along_axis(gamma, y[:, :, None], axis=2)[:, :, 0]
+    ends = np.cumsum(lens)[:-1]
+    return ([r.tolist() for r in np.split(y[mask], ends)], [r.tolist() for r in np.split(p[mask], ends)])
 
 
 # --- model ----------------------------------------------------------------------
@@ -245,17 +240,12 @@ def _objective(data: DataFrame, n_feat: int, l2: float, batch: int):
             g = np.concatenate([gW.ravel(), gT.ravel(), [loss]])
             # sparse: only the features present in this partition are nonzero
             idx = np.flatnonzero(g).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([idx.tobytes()], pa.binary()),
-                 pa.array([g[idx].astype(np.float64).tobytes()], pa.binary())], names=["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(g[idx])], names=["i", "v"])
 
-        # the training set has few partitions (bounded by the training cap),
-        # so each returns one dense gradient and the driver adds them up
-        rows = data.mapInArrow(part, "i binary, v binary").collect()
+        total = data.mapInArrow(part, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         bc.unpersist()
         vec = np.zeros(size + 5)
-        for r in rows:
-            np.add.at(vec, np.frombuffer(r.i, dtype=np.int64), np.frombuffer(r.v, dtype=np.float64))
+        vec[total.column("i").to_numpy()] = total.column("v").to_numpy()
         g = vec[:size + 4] + l2 * x
         f = vec[size + 4] + 0.5 * l2 * float(x @ x)
         return f, g
@@ -306,7 +296,7 @@ def lbfgs(fg, x0: np.ndarray, m: int = 6, max_iter: int = 100, tol: float = 1e-5
     return x
 
 
-def train(positives: DataFrame, l2: float = 1.0, max_iter: int = 100, tol: float = 1e-5,
+def train(positives: DataFrame, l2: float = 1.0, max_iter: int = CRF_ITERATIONS, tol: float = 1e-5,
           n_features: int = N_FEATURES, batch: int = 1024, use_parse: bool = False,
           rows_per_partition: int = 1250) -> CRFModel:
     """I4: fit on ``(words, values)`` training sentences."""
@@ -337,6 +327,7 @@ def tag(model: CRFModel, sentences: DataFrame, batch: int = 1024, use_parse: boo
     def part(it):
         W, T = bc.value
         for pdf in it:
+            pdf = pdf.iloc[np.argsort([len(x) for x in pdf.flens], kind="stable")]      # little padding
             for s in range(0, len(pdf), batch):
                 chunk = pdf.iloc[s:s + batch]
                 tags, probs = _viterbi_batch(W, T, list(chunk.fids), list(chunk.flens))

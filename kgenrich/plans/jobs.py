@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import RelationSpec
+from ..config import CRF_ITERATIONS, RelationSpec
 from ..operators import catalog as cat
 from ..operators import classify, crf, evaluate as ev, extract, supervise as sup, text
 from ..session import checkpoint_dir, stage_path
@@ -70,7 +70,7 @@ def demo_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def train_models(c: Corpus, spec: RelationSpec, cap: int | None = None, leak_guard: bool = True,
-                 crf_iter: int = 60, seed: int = 7) -> Models:
+                 crf_iter: int = CRF_ITERATIONS, seed: int = 7) -> Models:
     """Training side of P1/P2: pairs -> labels -> SVM + CRF."""
     pairs = sup.training_pairs(c.triples, c.types, spec)
     if leak_guard and c.gold_entities is not None:

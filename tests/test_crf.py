@@ -95,3 +95,37 @@ def test_arrow_batch_matches_list_batch():
     a = crf._loss_grad_arrow(W, T, rb.slice(1, 4), n, pc)
     b = crf._loss_grad_batch(W, T, fids[1:5], flens[1:5], labels[1:5], n)
     assert np.isclose(a[0], b[0]) and np.allclose(a[1], b[1]) and np.allclose(a[2], b[2])
+
+
+def test_gradient_is_the_same_over_1_and_50_partitions(spark):
+    (fids, flens), labels, W, T, n = _problem(seed=11, n_sent=60, n_feat=32)
+    rows = [([int(x) for x in f], [int(x) for x in k], [int(x) for x in y]) for f, k, y in zip(fids, flens, labels)]
+    df = spark.createDataFrame(rows, "fids array<int>, flens array<int>, labels array<int>")
+    x = np.concatenate([W.ravel(), T.ravel()])
+    loss, gW, gT = crf._loss_grad_batch(W, T, fids, flens, labels, n)
+    want = np.concatenate([gW.ravel(), gT.ravel()]) + 0.5 * x
+    for parts in (1, 50):
+        f, g = crf._objective(df.repartition(parts), n, 0.5, 16)(x)
+        assert np.isclose(f, loss + 0.25 * x @ x) and np.allclose(g, want)
+
+
+def test_tagging_with_given_weights_is_exact(spark):
+    """Sentences of many lengths, an empty one included, against all label paths."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [(w, w, "ign", "") for w in rng.choice(["a", "B", "7", "c"], rng.integers(0, 8)).tolist()]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, words array<struct<segment:string,lemma:string,tag:string,parse:string>>")
+    model = crf.CRFModel(rng.normal(size=(64, 2)), rng.normal(size=(2, 2)), 64)
+    feats = {r.id: (r.fids, r.flens) for r in crf.prepare(df, False, 64).collect()}
+    for r in crf.tag(model, df, batch=7).collect():
+        ids, lens = feats[r.id]
+        at, E = 0, []
+        for k in lens:
+            E.append(model.W[ids[at:at + k]].sum(axis=0))
+            at += k
+        paths = {ys: sum(E[t][y] for t, y in enumerate(ys)) + sum(model.T[a, b] for a, b in zip(ys, ys[1:]))
+                 for ys in itertools.product([0, 1], repeat=len(E))}
+        assert tuple(r.tags) == max(paths, key=paths.get)
+        total = np.logaddexp.reduce(list(paths.values()))
+        for t, p in enumerate(r.probs):
+            mass = np.logaddexp.reduce([s for ys, s in paths.items() if ys[t] == r.tags[t]])
+            assert np.isclose(p, np.exp(mass - total))
