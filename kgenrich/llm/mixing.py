@@ -10,6 +10,8 @@ permutation per pass over the source), and slots meet blocks in an equi-join on
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -77,6 +79,11 @@ def permute(i: np.ndarray, n: int, seed: int, inverse: bool = False) -> np.ndarr
     return x.astype(np.int64)
 
 
+def source_seed(source: str | None, seed: int) -> int:
+    """A seed from the whole name; null has one of its own."""
+    return int.from_bytes(hashlib.sha256(repr(source).encode("utf-8", "surrogatepass")).digest()[:7], "little") + seed
+
+
 def _slot_plan(n_shards: int, seed: int, block: int):
     """Per source: the slots of its target as chunks of consecutive slot numbers."""
     def run(batches):
@@ -85,7 +92,7 @@ def _slot_plan(n_shards: int, seed: int, block: int):
                 if want <= 0 or size <= 0:
                     continue
                 src = None if src is None or (isinstance(src, float) and np.isnan(src)) else src
-                s = int.from_bytes(repr(src).encode(), "little") % (1 << 61) + seed
+                s = source_seed(src, seed)
                 blocks = -(-size // block)
                 last = size - (blocks - 1) * block          # words of the last block
                 full, rem = divmod(int(want), int(size))
