@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import CRF_ITERATIONS, RelationSpec
 from ..operators import catalog as cat
 from ..operators import classify, crf, evaluate as ev, extract, supervise as sup, text
-from ..session import checkpoint_dir, stage_path
+from ..session import checkpoint_dir
 from ..sources import ntriples
-from . import testkg
+from . import cache, testkg
 
 
 @dataclass
@@ -59,6 +59,15 @@ def prepare_corpus(raw_articles: DataFrame, catalog: DataFrame, lexicon: DataFra
     return s
 
 
+def cached_corpus(spark: SparkSession, articles_path: str, catalog: DataFrame, root: str | None = None,
+                  **params) -> DataFrame:
+    """The prepared sentences of the articles (parquet) at ``articles_path``: made
+    once, read while neither the articles, the catalog nor ``params`` change."""
+    digest = catalog.agg(F.count("*"), F.sum(F.xxhash64("name").cast("decimal(38,0)"))).first()
+    return cache.cached(spark, "sentences", lambda: text.prepare_articles(spark.read.parquet(articles_path), catalog, **params),
+                        [articles_path], {"catalog": [str(x) for x in digest], **params}, root)
+
+
 def demo_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """The test-data adapter's graph and articles as a Corpus."""
     t = testkg.triples(spark, sf_dir)
@@ -135,11 +144,3 @@ def run(c: Corpus, specs, mode: str = "evaluate", out_dir: str | None = None) ->
             u = u.unionByName(r)
         return u
     return results
-
-
-def stage(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Write a stage table under the shared checkpoint folder and read it back
-    (cuts lineage; survives executor loss)."""
-    path = stage_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

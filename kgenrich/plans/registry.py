@@ -795,6 +795,21 @@ def f18(spark, sf):
                     F.array_join(F.transform("words", lambda w: w["segment"]), " ").alias("segments"))
 
 
+@register("a12_b10_stage_cache", ORACLE["f18_incremental_articles"])
+def a12(spark, sf):
+    """The prepared sentences, made by a first call and read by a second."""
+    from . import jobs
+    root = stage_path(spark, f"a12_{_key(sf)}")
+    t, ty = _graph(spark, sf)
+    catalog = cat.build_catalog(ty, kg.CATALOG_TYPES)
+    kg.articles(spark, sf).write.parquet(f"{root}/articles")
+    jobs.cached_corpus(spark, f"{root}/articles", catalog, f"{root}/cache")
+    s = jobs.cached_corpus(spark, f"{root}/articles", catalog, f"{root}/cache")
+    return s.select("title", F.col("sent_id").cast("int").alias("sent_id"),
+                    F.array_join(F.transform("words", lambda w: w["lemma"]), " ").alias("lemmas"),
+                    F.array_join(F.transform("words", lambda w: w["segment"]), " ").alias("segments"))
+
+
 # Names of several parts for K1: two to four words that follow each other in the articles.
 _NAMES_SQL = f"""select 'a_small_' || {kg.SEG} as name from customer union select 'regular_orders' from customer
   union select 'home_nation' from customer union select 'home_nation_is_' || {kg.HOME} from customer

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -44,22 +45,48 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stage tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset and the master is local (tests) a fresh scratch folder is created
-    and registered; on a cluster a machine-local folder would lose data, so
-    that raises.
+    unset and the master is local (tests) a fresh scratch folder is taken, once
+    a session; on a cluster a machine-local folder would lose data, so that raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
+        if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="kg-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
+        d = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="kg-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
+_runs: list[str] = []
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """The folder for new stage tables: of the innermost ``stage_run``, if any."""
+    return _runs[-1] if _runs else os.path.join(checkpoint_dir(spark), "stages")
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a stage table under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "stages", uuid.uuid4().hex, name)
+    return os.path.join(stage_folder(spark), uuid.uuid4().hex, name)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """``(file system, path)`` for a path of any store that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+@contextmanager
+def stage_run(spark: SparkSession):
+    """Stage tables made inside go to a folder of their own, which is deleted at
+    the end, so results must be written elsewhere before that. Runs can nest."""
+    folder = os.path.join(stage_folder(spark), f"run-{uuid.uuid4().hex}")
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        fs, p = hadoop_path(spark, folder)
+        fs.delete(p, True)
