@@ -255,8 +255,20 @@ def _objective(data: DataFrame, n_feat: int, l2: float, batch: int):
 
 def lbfgs(fg, x0: np.ndarray, m: int = 6, max_iter: int = 100, tol: float = 1e-5):
     """Limited-memory BFGS with Armijo backtracking (driver side, numpy)."""
+    steps = lbfgs_steps(x0, m, max_iter, tol)
+    x = next(steps)
+    while True:
+        try:
+            x = steps.send(fg(x))
+        except StopIteration as end:
+            return end.value
+
+
+def lbfgs_steps(x0: np.ndarray, m: int = 6, max_iter: int = 100, tol: float = 1e-5):
+    """The solver as a generator: it yields points and is sent ``(loss, gradient)``
+    there, so that many solvers can share one pass over the data."""
     x = x0.copy()
-    f, g = fg(x)
+    f, g = yield x
     S, Y = [], []
     for _ in range(max_iter):
         q = g.copy()
@@ -278,7 +290,7 @@ def lbfgs(fg, x0: np.ndarray, m: int = 6, max_iter: int = 100, tol: float = 1e-5
         step = 1.0
         while True:
             xn = x + step * d
-            fn, gn = fg(xn)
+            fn, gn = yield xn
             if fn <= f + 1e-4 * step * gd or step < 1e-8:
                 break
             step *= 0.5
@@ -314,6 +326,87 @@ def train(positives: DataFrame, l2: float = 1.0, max_iter: int = CRF_ITERATIONS,
     return CRFModel(W, T, n_features)
 
 
+def _objective_many(data: DataFrame, n_feat: int, l2: float, batch: int):
+    """Like ``_objective`` for several models at once: ``data`` has ``models``, the
+    numbers of the models that a sentence trains. One job gives the loss and
+    gradient of every model asked for; rows are keyed by (model, feature)."""
+    sc = data.sparkSession.sparkContext
+    size = n_feat * N_LABELS
+
+    def fg(points: dict[int, np.ndarray]):
+        bc = sc.broadcast(points)
+
+        def part(it):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+            sums = {m: np.zeros(size + 5) for m in bc.value}
+            for rb in it:
+                for at in range(0, rb.num_rows, batch):
+                    chunk = rb.slice(at, batch)
+                    row = np.repeat(np.arange(chunk.num_rows), pc.list_value_length(chunk.column("models")).to_numpy(zero_copy_only=False))
+                    of = chunk.column("models").flatten().to_numpy(zero_copy_only=False)
+                    for m, v in bc.value.items():
+                        mine = chunk.take(pa.array(row[of == m]))
+                        if mine.num_rows:
+                            W, T = v[:size].reshape(n_feat, N_LABELS), v[size:size + 4].reshape(N_LABELS, N_LABELS)
+                            loss, gW, gT = _loss_grad_arrow(W, T, mine, n_feat, pc)
+                            sums[m] += np.concatenate([gW.ravel(), gT.ravel(), [loss]])
+            for m, g in sums.items():
+                idx = np.flatnonzero(g).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), m, np.int32)), pa.array(idx), pa.array(g[idx])],
+                                                 names=["model", "i", "v"])
+
+        total = data.mapInArrow(part, "model int, i bigint, v double").groupBy("model", "i").agg(F.sum("v").alias("v")).toArrow()
+        bc.unpersist()
+        model, at, value = (total.column(c).to_numpy() for c in ("model", "i", "v"))
+        out = {}
+        for m, x in points.items():
+            vec = np.zeros(size + 5)
+            vec[at[model == m]] = value[model == m]
+            out[m] = vec[size + 4] + 0.5 * l2 * float(x @ x), vec[:size + 4] + l2 * x
+        return out
+
+    return fg
+
+
+def train_many(samples: DataFrame, l2: float = 1.0, max_iter: int = CRF_ITERATIONS, tol: float = 1e-5,
+               n_features: int = N_FEATURES, batch: int = 1024, rows_per_partition: int = 1250) -> dict[int, CRFModel]:
+    """A model for every number in ``models`` of ``(words, values, models
+    array<int>)``, all solvers stepping together: a job an iteration whatever the
+    number of models. Features are numbered anew among those present, so the
+    weights sent along are the models' own, bounded by the samples."""
+    spark = samples.sparkSession
+    checkpoint_dir(spark)
+    n = samples.count()
+    data = prepare(samples.select("words", "values", "models"), True, n_features) \
+        .select("fids", "flens", "labels", "models").repartition(max(1, n // rows_per_partition + 1)).checkpoint()
+    present = np.array(sorted(r[0] for r in data.select(F.explode("fids")).distinct().collect()), np.int64)
+    numbers = [r[0] for r in data.select(F.explode("models")).distinct().collect()]
+
+    def renumber(it):
+        import pyarrow as pa
+        for rb in it:
+            old = rb.column("fids")
+            new = pa.ListArray.from_arrays(old.offsets, pa.array(np.searchsorted(present, old.values.to_numpy()).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([new, *rb.columns[1:]], names=rb.schema.names)
+
+    compact = data.mapInArrow(renumber, data.schema).checkpoint()
+    fg = _objective_many(compact, len(present), l2, batch)
+    solvers = {m: lbfgs_steps(np.zeros(len(present) * N_LABELS + 4), max_iter=max_iter, tol=tol) for m in numbers}
+    points, models = {m: next(s) for m, s in solvers.items()}, {}
+    while points:
+        told, going = fg(points), {}
+        for m in points:
+            try:
+                going[m] = solvers[m].send(told[m])
+            except StopIteration as end:
+                W = np.zeros((n_features, N_LABELS))
+                W[present] = end.value[:-4].reshape(-1, N_LABELS)
+                models[m] = CRFModel(W, end.value[-4:].reshape(N_LABELS, N_LABELS), n_features)
+        points = going
+    return models
+
+
 def tag(model: CRFModel, sentences: DataFrame, batch: int = 1024, use_parse: bool = False) -> DataFrame:
     """Adds ``tags array<int>`` (Viterbi) and ``probs array<double>``
     (marginal probability of each chosen label)."""

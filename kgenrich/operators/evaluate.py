@@ -71,17 +71,11 @@ def evaluate(gold_entities: DataFrame, gold_values: DataFrame, predictions: Data
     return scores(c, p), error_table(c)
 
 
-def learning_curve(run, caps, runs: int = 10) -> DataFrame:
-    """Mean precision and recall per training cap over ``runs`` seeds.
-
-    ``run(cap, seed)`` returns the one-row scores of a full evaluation; the
-    loop is over model configurations (each run is itself a Spark job)."""
-    parts = [run(cap, seed).withColumn("cap", F.lit(cap)) for cap in caps for seed in range(runs)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("cap").agg(F.avg("precision").alias("precision"),
-                                F.avg("recall").alias("recall")).orderBy("cap")
+def mean_curve(scored: DataFrame) -> DataFrame:
+    """Mean precision and recall per training cap over the seeds of
+    ``(cap, seed, precision, recall)`` rows."""
+    return scored.groupBy("cap").agg(F.avg("precision").alias("precision"),
+                                     F.avg("recall").alias("recall")).orderBy("cap")
 
 
 def evaluation_sample(pairs: DataFrame, articles: DataFrame, n: int = 100, seed: int = 1) -> DataFrame:

@@ -23,9 +23,9 @@ class TooFewExamples(RuntimeError):
     pass
 
 
-def pair_hash():
-    """A uniform order of pairs that other engines can reproduce."""
-    return F.md5(F.concat_ws("|", F.col("s"), F.col("o")))
+def pair_hash(seed: int | None = None):
+    """A uniform order of pairs that other engines can reproduce; another for every seed."""
+    return F.md5(F.concat_ws("|", F.col("s"), F.col("o"), *([] if seed is None else [F.lit(str(seed))])))
 
 
 def training_pairs(triples: DataFrame, types: DataFrame, spec: RelationSpec,
@@ -91,16 +91,32 @@ def label_sentences(pairs: DataFrame, sentences: DataFrame, spec: RelationSpec,
                     F.size(F.array_intersect(lem, F.col("values"))).alias("n_match"))
 
 
-def best_positives(labelled: DataFrame, cap: int | None = None) -> DataFrame:
+def best_positives(labelled: DataFrame, cap: int | None = None, seed: int | None = None) -> DataFrame:
     """G6 (+G8): per pair the positive sentence with most distinct matching
-    tokens, earliest on a tie. ``(s, o, sent_id, words, values)``."""
+    tokens, earliest on a tie. ``(s, o, sent_id, words, values)``. With a cap the
+    first pairs in the seed's order, so a cap's sample holds those of smaller caps."""
     pos = labelled.where(F.col("kind") == "pos")
     best = pos.groupBy("s", "o").agg(F.max_by(
         F.struct("sent_id", "words", "values"),
         F.struct(F.col("n_match"), -F.col("sent_id"))).alias("b"))
     out = best.select("s", "o", "b.sent_id", "b.words", "b.values")
     if cap is not None:                                      # G8
-        out = first_rows(out, pair_hash(), cap, ["s", "o", "sent_id"])
+        out = first_rows(out, pair_hash(seed), cap, ["s", "o", "sent_id"])
+    return out
+
+
+def nested_samples(positives: DataFrame, caps: list[int], seeds: list[int]) -> DataFrame:
+    """The samples of a learning curve, ``(cap, seed)`` and the columns of
+    ``positives``: per seed the first ``cap`` pairs in the seed's order. The
+    largest cap's rows are selected first, so only they are ranked."""
+    out = None
+    for seed in seeds:
+        top = first_rows(positives, pair_hash(seed), max(caps), ["s", "o", "sent_id"])
+        w = Window.partitionBy(F.lit(seed)).orderBy(pair_hash(seed), F.xxhash64("s", "o", "sent_id"))
+        one = top.withColumn("rank", F.row_number().over(w)) \
+            .withColumn("cap", F.explode(F.filter(F.array(*[F.lit(c) for c in caps]), lambda c: c >= F.col("rank")))) \
+            .select("cap", F.lit(seed).alias("seed"), *positives.columns)
+        out = one if out is None else out.unionByName(one)
     return out
 
 

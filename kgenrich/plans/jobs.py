@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import CRF_ITERATIONS, RelationSpec
+from ..config import CRF_ITERATIONS, LEARNING_CURVE_CAPS, LEARNING_CURVE_RUNS, RelationSpec
 from ..operators import catalog as cat
 from ..operators import classify, crf, evaluate as ev, extract, supervise as sup, text
 from ..session import checkpoint_dir
@@ -78,24 +78,60 @@ def demo_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(t, ty, catalog, sents, ge, gv)
 
 
-def train_models(c: Corpus, spec: RelationSpec, cap: int | None = None, leak_guard: bool = True,
-                 crf_iter: int = CRF_ITERATIONS, seed: int = 7) -> Models:
-    """Training side of P1/P2: pairs -> labels -> SVM + CRF."""
+def labelled_pairs(c: Corpus, spec: RelationSpec, leak_guard: bool = True) -> DataFrame:
+    """Known pairs with their labelled sentences."""
     pairs = sup.training_pairs(c.triples, c.types, spec)
     if leak_guard and c.gold_entities is not None:
         pairs = sup.drop_gold(pairs, c.gold_entities.where(F.col("p") == spec.p))
-    labelled = sup.label_sentences(pairs, c.sentences, spec, c.stop_words) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    pos = sup.best_positives(labelled, cap).persist(StorageLevel.MEMORY_AND_DISK)
+    return sup.label_sentences(pairs, c.sentences, spec, c.stop_words)
+
+
+def train_models(c: Corpus, spec: RelationSpec, cap: int | None = None, leak_guard: bool = True,
+                 crf_iter: int = CRF_ITERATIONS, seed: int = 7) -> Models:
+    """Training side of P1/P2: pairs -> labels -> SVM + CRF. ``seed`` draws the
+    capped positives and the negatives."""
+    labelled = labelled_pairs(c, spec, leak_guard).persist(StorageLevel.MEMORY_AND_DISK)
+    pos = sup.best_positives(labelled, cap, seed).persist(StorageLevel.MEMORY_AND_DISK)
     n_pos = sup.check_enough(pos)
-    neg = sup.undersample(sup.negatives(labelled), n_pos, seed)
-    vocab = sup.vocabulary(pos, sup.vocabulary_threshold(cap), c.stop_words)
-    clf = classify.train(pos, neg, vocab, stop_words=c.stop_words)
+    clf = fit_classifier(c, pos, sup.negatives(labelled), n_pos, cap, seed)
     ext = crf.train(pos, max_iter=crf_iter)
     labelled.unpersist()
     return Models(clf, ext, pos, n_pos)
 
 
+def fit_classifier(c: Corpus, pos: DataFrame, neg: DataFrame, n_pos: int, cap: int | None, seed: int):
+    """As many negatives as positives, the vocabulary, the sentence classifier."""
+    vocab = sup.vocabulary(pos, sup.vocabulary_threshold(cap), c.stop_words)
+    return classify.train(pos, sup.undersample(neg, n_pos, seed), vocab, stop_words=c.stop_words)
+
+
+def learning_curve(c: Corpus, spec: RelationSpec, caps=None, seeds=None, crf_iter: int = CRF_ITERATIONS) -> DataFrame:
+    """Scores of every (cap, seed): ``(cap, seed, p, tp, fp, fn, precision,
+    recall, f_measure)``; ``ev.mean_curve`` averages them. Sentences are labelled
+    once; a seed's samples are nested; all extractors are fitted together, one
+    pass over the union of the samples an iteration. A cap beyond the pairs there
+    are uses them all; a sample that is too small raises ``TooFewExamples``."""
+    caps, seeds = list(caps or LEARNING_CURVE_CAPS), list(range(LEARNING_CURVE_RUNS) if seeds is None else seeds)
+    checkpoint_dir(c.sentences.sparkSession)
+    labelled = labelled_pairs(c, spec).checkpoint()
+    samples = sup.nested_samples(sup.best_positives(labelled), caps, seeds).checkpoint()
+    number = {(cap, seed): i for i, (cap, seed) in enumerate((cap, seed) for cap in caps for seed in seeds)}
+    of = F.create_map(*[F.lit(x) for (cap, seed), i in number.items() for x in (f"{cap} {seed}", i)])
+    # a sentence once, with the models it trains
+    shared = samples.groupBy("s", "o", "sent_id").agg(F.first("words").alias("words"), F.first("values").alias("values"),
+                                                      F.collect_set(F.element_at(of, F.concat_ws(" ", "cap", "seed"))).alias("models"))
+    extractors = crf.train_many(shared, max_iter=crf_iter)
+    out = None
+    for (cap, seed), i in number.items():
+        pos = samples.where((F.col("cap") == cap) & (F.col("seed") == seed)).drop("cap", "seed")
+        n_pos = sup.check_enough(pos, min(10, cap - 1))
+        clf = fit_classifier(c, pos, sup.negatives(labelled), n_pos, cap, seed)
+        s, _, _ = evaluate_relation(c, spec, Models(clf, extractors[i], pos, n_pos))
+        s = s.select(F.lit(cap).alias("cap"), F.lit(seed).alias("seed"), *s.columns)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
 def extract_values(c: Corpus, spec: RelationSpec, m: Models, entities: DataFrame) -> DataFrame:
     """I15 over candidate entities: ``(entity, value)``."""
     names = entities.select(F.col(entities.columns[0]).alias("title")).distinct()
@@ -119,9 +155,10 @@ def enrich(c: Corpus, spec: RelationSpec, m: Models | None = None, out: str | No
     return lines
 
 
-def evaluate_relation(c: Corpus, spec: RelationSpec, m: Models | None = None, cap: int | None = None):
+def evaluate_relation(c: Corpus, spec: RelationSpec, m: Models | None = None, cap: int | None = None,
+                      seed: int = 7):
     """Evaluate on the gold entities -> ``(scores, error table, values)``."""
-    m = m or train_models(c, spec, cap=cap)
+    m = m or train_models(c, spec, cap=cap, seed=seed)
     ents = c.gold_entities.where(F.col("p") == spec.p).select("entity")
     values = extract_values(c, spec, m, ents)
     s, table = ev.evaluate(c.gold_entities, c.gold_values, values, spec.p)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import PREDOMINANT_SHARE, TRAINING_LIMIT, WIDE_TYPES
+from ..config import LEARNING_CURVE_CAPS, PREDOMINANT_SHARE, TRAINING_LIMIT, WIDE_TYPES
 from ..functions import iri
 from ..functions import markup as mk
 from ..functions import tags as tg
@@ -515,6 +515,22 @@ def g9(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+_CURVE_SEEDS = [0, 1, 2]
+
+
+@register("j6_learning_samples", with_kg(f"""with {labelled_ctes()},
+seeds as (select unnest({_CURVE_SEEDS}) as seed), caps as (select unnest({LEARNING_CURVE_CAPS}) as cap),
+r as (select p, seed, s, o, sent_id, row_number() over (partition by p, seed
+  order by md5(concat_ws('|', s, o, cast(seed as varchar)))) as rank from kg_pos, seeds)
+select p, cast(cap as int) as cap, cast(seed as int) as seed, s, o, cast(sent_id as int) as sent_id from r join caps on rank <= cap"""))
+def j6(spark, sf):
+    _, _, _, lab = _labelled(spark, sf)
+    checkpoint_dir(spark)
+    pos = _positives(lab).checkpoint()      # the selection reads it several times
+    parts = [sup.nested_samples(pos.where(F.col("p") == p), LEARNING_CURVE_CAPS, _CURVE_SEEDS) for p in _PLANTED]
+    return parts[0].unionByName(parts[1]).select("p", "cap", "seed", "s", "o", F.col("sent_id").cast("int").alias("sent_id"))
+
+
 def _stop_sql():
     from ..sources.stopwords import default_stop_words
     return sql_list(default_stop_words())

@@ -129,3 +129,16 @@ def test_tagging_with_given_weights_is_exact(spark):
         for t, p in enumerate(r.probs):
             mass = np.logaddexp.reduce([s for ys, s in paths.items() if ys[t] == r.tags[t]])
             assert np.isclose(p, np.exp(mass - total))
+
+
+def test_models_fitted_together_equal_models_fitted_alone(spark):
+    """Nested samples as the learning curve makes them: every sentence once, with its models."""
+    rows = [([("in", "in", "ign", ""), (f"Town{i % 7}", f"Town{i % 7}", "ign", ""), (f"x{i % 3}", "x", "ign", "")],
+             [f"Town{i % 7}"], [m for m, cap in enumerate((5, 20, 40)) if i < cap]) for i in range(40)]
+    W = "words array<struct<segment:string,lemma:string,tag:string,parse:string>>, values array<string>"
+    df = spark.createDataFrame(rows, f"{W}, models array<int>")
+    many = crf.train_many(df.repartition(3), max_iter=25, tol=1e-9, n_features=1 << 10, rows_per_partition=15)
+    assert sorted(many) == [0, 1, 2]
+    for m, cap in enumerate((5, 20, 40)):
+        alone = crf.train(spark.createDataFrame([r[:2] for r in rows[:cap]], W), max_iter=25, tol=1e-9, n_features=1 << 10)
+        assert np.allclose(many[m].W, alone.W, atol=1e-3) and np.allclose(many[m].T, alone.T, atol=1e-3)

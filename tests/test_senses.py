@@ -38,7 +38,6 @@ def test_closure_of_cycles_shortcuts_and_bad_rows(spark):
 
 
 def test_learning_curve_means(spark):
-    def run(cap, seed):
-        return spark.createDataFrame([(cap / 100.0, seed / 10.0)], "precision double, recall double")
-    r = J.learning_curve(run, [10, 25], runs=2).collect()
+    rows = [(cap, seed, cap / 100.0, seed / 10.0) for cap in (25, 10) for seed in range(2)]
+    r = J.mean_curve(spark.createDataFrame(rows, "cap int, seed int, precision double, recall double")).collect()
     assert [(x.cap, x.precision, x.recall) for x in r] == [(10, 0.1, 0.05), (25, 0.25, 0.05)]
