@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import checkpoint_dir
+from ..session import stage_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WS_WORD = r"[^\x20\x09-\x0D]+"
@@ -18,8 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
-    back: the lineage is cut and the rows survive lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    back: the lineage is cut and the rows survive lost executors. Inside a
+    ``session.stage_run`` the table goes when the run ends."""
+    path = f"{stage_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
