@@ -8,7 +8,7 @@ from .test_operators import ROWS, SCHEMA, items
 
 def test_registered():
     q = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q
 
