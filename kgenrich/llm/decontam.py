@@ -11,18 +11,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ascii_lower, broadcast_if, materialise
+from .common import LOWER, UPPER, broadcast_if, materialise
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What stands between words: every ASCII character but digits and letters.
+BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 WINDOW = 13
 BROADCAST_TERMS = 1_000_000
 BROADCAST_WINDOWS = 1_000_000
 
 
 def words(text: Column) -> Column:
-    """Words of a text (null: none)."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(f"({WORD})"), 1),
-                      F.array().cast("array<string>"))
+    """Words of a text, A-Z lower-cased (null: none). One pass turns what stands
+    between words into blanks, which is a third of the work of matching words."""
+    plain = F.trim(F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN)))
+    return F.when(plain != "", F.split(plain, " +")).otherwise(F.array().cast("array<string>"))
 
 
 def test_windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
