@@ -18,6 +18,7 @@ BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61)
 WINDOW = 13
 BROADCAST_TERMS = 1_000_000
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_DOCS = 1_000_000      # keys of 8 bytes
 
 
 def words(text: Column) -> Column:
@@ -79,7 +80,10 @@ def exact_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     rest = ranked.where("r > 3").select("w", "off", "term")
     asked = hits.where("len > 3").join(broadcast_if(rest, BROADCAST_WINDOWS), "w") \
         .select("row_key", "w", "start", "len", (F.col("start") + F.col("off")).alias("pos"), "term")
-    met = asked.join(index.where("term <> ''").select("row_key", "pos", "term").distinct(), ["row_key", "pos", "term"]) \
+    # few documents are left to ask: only their postings are moved
+    docs = broadcast_if(hits.where("len > 3").select("row_key").distinct(), BROADCAST_DOCS)
+    there = index.where("term <> ''").select("row_key", "pos", "term").join(docs, "row_key", "left_semi").distinct()
+    met = asked.join(there, ["row_key", "pos", "term"]) \
         .groupBy("row_key", "start", "len", "w").agg(F.count("*").alias("k")).where("k = len - 3").drop("k")
     return hits.where("len <= 3").select("row_key", "start", "len", "w").union(met.select("row_key", "start", "len", "w"))
 
