@@ -301,6 +301,34 @@ def e15(spark, sf):
     return _docs(spark, sf).select("doc_id", mk.fix_spacing(F.col("text")).alias("text"))
 
 
+def _without_links(df: DataFrame) -> DataFrame:
+    """The link steps as projections of their own, as the cleaner runs them."""
+    df = df.withColumn("links", F.array().cast("array<struct<title:string,text:string>>"))
+    for step in mk.link_steps():
+        t, links = step(F.col("text"), F.col("links"))
+        df = df.select("title", t.alias("text"), links.alias("links"))
+    return df.select("title", "text")
+
+
+# Steps on texts that hold their markup, against texts written without it.
+_NOISE_STEPS = {"e7_placeholders": mk.placeholders, "e11_web_links": mk.drop_http_links, "e12_bold_italic": mk.bold_italic,
+                "e14_code_points": mk.numeric_entities, "e15_loose_spacing": mk.fix_spacing}
+
+
+def _register_noise(name: str, text: str, plain: str) -> None:
+    @register(name, f"select {kg.CUST} as title, {plain} as text from customer")
+    def query(spark, sf):
+        c = spark.read.parquet(f"{sf}/customer.parquet")
+        c = c.select(F.expr(kg.CUST).alias("title"), F.expr(text).alias("text"))
+        if name == "e10_malformed_links":
+            return _without_links(c)
+        return c.select("title", _NOISE_STEPS[name](F.col("text")).alias("text"))
+
+
+for _noise in kg.MARKUP_NOISE:
+    _register_noise(*_noise)
+
+
 _KEEP_LINE = (
     "list_filter(list_transform(string_split(text, chr(10)), "
     "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda l: l <> '' "
@@ -641,6 +669,45 @@ def j3(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@register("j5_error_table", with_kg(f"""with {_DECODE_SQL},
+gold as (select p, s as entity, vals from kg_pairs where s in (select s from kg_pos where kg_pos.p = kg_pairs.p)),
+odd as (select p, entity, case when ascii(right(entity, 1)) % 4 = 0 then 'wrong' else value end as value from best
+  where ascii(right(entity, 1)) % 4 <> 1),
+j as (select coalesce(g.p, b.p) as p, coalesce(g.entity, b.entity) as entity, g.vals, b.value from gold g full outer join odd b
+      on g.p = b.p and g.entity = b.entity)
+select p, entity, coalesce(array_to_string(vals, ', '), '-') as gold, coalesce(value, '-') as extracted,
+  case when value is null then 'FN' when coalesce(list_contains(vals, value), false) then '' else 'FP/FN' end as error from j"""))
+def j5(spark, sf):
+    """The decoded values, of which some are spoilt and some left out, against the pairs."""
+    dec, pos = _decoded(spark, sf)
+    last = F.ascii(F.right("entity", F.lit(1))) % 4
+    dec = dec.where(last != 1).withColumn("value", F.when(last == 0, "wrong").otherwise(F.col("value")))
+    out = []
+    for p in _PLANTED:
+        gold = pos.where(F.col("p") == p).select(F.col("s").alias("entity"), F.col("values"))
+        c = ev.classify_errors(gold, dec.where(F.col("p") == p).select("entity", "value"))
+        out.append(ev.error_table(c).select(F.lit(p).alias("p"), "entity", "gold", "extracted", "error"))
+    return out[0].unionByName(out[1])
+
+
+@register("a3_a4_requested_articles", with_kg(f"""with {sentences_ctes()},
+names as (select distinct replace(c_name, '#', '_') as title from customer where c_custkey % 4 = 0
+  union select 'Nobody_' || c_nationkey from customer)
+select n.title, cast(coalesce(s.sent_id, -1) as int) as sent_id, coalesce(array_to_string(s.lemmas, ' '), '') as lemmas
+from names n left join kg_sent s on s.title = n.title and s.sent_id < 2"""))
+def a3(spark, sf):
+    """The first two sentences of requested articles, and the names without an article."""
+    _, _, _, sents = _corpus_sentences(spark, sf)
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    names = c.where("c_custkey % 4 = 0").select(F.expr(kg.CUST).alias("name")) \
+        .union(c.select(F.concat(F.lit("Nobody_"), "c_nationkey")))
+    _, missing = dump.requested(kg.articles(spark, sf), names)
+    got = tx.get_articles(sents, names, sentence_limit=2)
+    return got.select("title", F.col("sent_id").cast("int").alias("sent_id"),
+                      F.array_join(F.transform("words", lambda w: w["lemma"]), " ").alias("lemmas")) \
+        .unionByName(missing.select("title", F.lit(-1).alias("sent_id"), F.lit("").alias("lemmas")))
+
+
 # --- A, B: sources and sinks (write to the stage folder, read back) ------------------
 
 

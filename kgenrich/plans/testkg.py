@@ -179,6 +179,32 @@ def senses(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.expr(c).alias(n) for c, n in zip(cols, ("lemma", "pos", "rank", "synset"))]).distinct()
 
 
+# Markup that the articles do not hold (E7, E10-E12, E14, E15), one text a customer:
+# (step, text with the markup, text without it, from the same columns).
+_K, _Q = "cast(c_custkey as string)", "chr(39)"
+MARKUP_NOISE = [
+    ("e7_placeholders",
+     f"'x <math>a' || {_K} || '</math> and <code>b' || {_K} || '</code> then <math>a' || {_K} || '</math>, <math>c</math> ' || {SEG}",
+     f"'x formula_1 and codice_1 then formula_1, formula_3 ' || {SEG}"),
+    ("e10_malformed_links",
+     f"'From [Town|the town]] of ' || {SEG} || ' to [[' || {HOME} || '] and [[ on ]] ' || {_K}",
+     f"'From the town of ' || {SEG} || ' to ' || {HOME} || ' and on ' || {_K}"),
+    ("e11_web_links",
+     f"'See [http://' || {SEG} || '.org/' || {_K} || ' a label]the page[] of [HTTPS://x y] ' || {HOME}",
+     f"'See the page of  ' || {HOME}"),
+    ("e12_bold_italic",
+     f"'l' || {_Q} || {_Q} || {_Q} || {_Q} || {HOME} || {_Q} || {_Q} || {_Q} || ' or ' || {_Q} || {_Q} || {_Q} || 'bold' || {_Q} || {_Q} || {_Q}"
+     f" || ' and ' || {_Q} || {_Q} || {SEG} || {_Q} || {_Q}",
+     f"'l' || {_Q} || {HOME} || ' or bold and &quot;' || {SEG} || '&quot;'"),
+    ("e14_code_points",
+     f"'a&#' || cast(65 + c_custkey % 26 as string) || ';b&#66000;c&#281;' || {_K}",
+     f"'a' || chr(cast(65 + c_custkey % 26 as int)) || 'bcę' || {_K}"),
+    ("e15_loose_spacing",
+     f"'one' || chr(9) || 'two  ' || {SEG} || ' ..... four , five ( ' || {_K} || ' ) « ' || {HOME} || ' » eight ; nine :'",
+     f"'one two ' || {SEG} || '... four, five (' || {_K} || ') «' || {HOME} || '» eight; nine:'"),
+]
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
     names = names or TABLES
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
