@@ -126,7 +126,8 @@ def train(positives: DataFrame, negatives: DataFrame, vocab_df: DataFrame,
         oof.select("margin", F.lit(0.0).alias("y"), (1.0 - target).alias("w")))
     platt = VectorAssembler(inputCols=["margin"], outputCol="m").transform(platt)
     lr = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0,
-                            standardization=False, maxIter=50).fit(platt)
+                            standardization=False, maxIter=50) \
+        .fit(platt.coalesce(2 * n // ROWS_PER_PARTITION + 1))       # its partitions follow its size, too
     a, b = float(lr.coefficients[0]), float(lr.intercept)
     oof.unpersist()
     if not (math.isfinite(a) and math.isfinite(b)):
