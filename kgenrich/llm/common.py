@@ -16,11 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, name: str = "stage", folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: the lineage is cut and the rows survive lost executors. Inside a
-    ``session.stage_run`` the table goes when the run ends."""
-    path = f"{stage_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+    ``session.stage_run`` the table goes when the run ends; ``folder`` is that of
+    an outer run, for tables that are needed longer."""
+    path = f"{folder or stage_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

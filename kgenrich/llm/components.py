@@ -28,3 +28,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "comp")
         if not new.where("moved").limit(1).count():
             return labels
+
+
+def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(v, comp)`` of earlier links and further ``links(a, b)`` -> the labels
+    of all links. Only the components that are joined are worked on."""
+    def of(end: str) -> DataFrame:
+        return labels.select(F.col("v").alias(end), F.col("comp").alias(f"c{end}"))
+
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left") \
+        .select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    ends = materialise(ends, "cc-ends")
+    low = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    fresh = ends.where("a = ca").select("a").union(ends.where("b = cb").select("b")).distinct() \
+        .select(F.col("a").alias("v"), F.col("a").alias("comp"))
+    every = labels.union(fresh.join(labels, "v", "left_anti"))
+    named = every.join(low.select(F.col("v").alias("comp"), F.col("comp").alias("low")), "comp", "left")
+    return materialise(named.select("v", F.coalesce("low", "comp").alias("comp")), "cc")

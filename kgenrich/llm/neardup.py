@@ -4,13 +4,20 @@ Each document's shingle set is embedded into MinHash values. Independent trees
 branch the documents: a node picks some of the minwise positions at random
 (seeded by its own path) and sends every document down by its value there, so
 documents follow the paths they choose by their own minwise tokens. Nodes with
-few documents are compared exhaustively, larger ones branch again. Because only
-groups are asked for, every node first offers the links to its first document
-(a star), and later comparisons skip pairs already in one group: a document
-first asks for its closest few outside its group, and only what is still open
-after that is compared in full. A large node that is one group but for a few
-documents is not branched: those few are compared with all of it. Links are
-always confirmed on the full sets.
+few documents are compared exhaustively, larger ones branch again.
+
+Because only groups are asked for, pairs inside a group are never asked again:
+
+1. Every node offers the links to one of its documents (a star). In a large node
+   that is the most central one, whose root values are the commonest.
+2. In small nodes, and large ones that are one group but for a bounded rest, every
+   document is compared with all others of the node; over all its nodes it asks
+   for its closest few outside its group.
+3. Documents that had such a partner come back once: finer sketches are made of
+   them, and all pairs still in different groups that pass are confirmed. A pair
+   that meets in several nodes is asked in the first of them.
+
+Links are always confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -20,26 +27,41 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage_folder, stage_run
 from .common import materialise, small_enough
-from .components import connected_components
+from .components import connected_components, merge_components
 from .shingles import mix64, shingles_of, text_slices, words_of
 
 COORDS = 256            # MinHash positions of the sketch, a byte each
 TREES = 8
 ROOT_COORDS = 2         # positions a root picks: 1/similarity, rounded up
 SMALL_NODE = 256        # documents compared exhaustively
-HEADS = 3               # documents that a large group offers its links to, per round
-CLOSEST = 3             # documents outside its group that a document of a small node asks for first
+REST = 2048             # documents outside the largest group that are compared with the whole of a large node
+HEADS = 3               # orders that the heads of nodes are taken from, per round
+CLOSEST = 2             # documents outside its group that a document asks for first
 FEW_IDS = 200_000       # ids (8 bytes each) that may be broadcast to pick the texts of a round
-MAX_DEPTH = 5           # beyond it large nodes are compared block by block
+MAX_DEPTH = 12          # beyond it large nodes are compared block by block
 SLACK = 0.11            # over 4 standard deviations of a COORDS-position estimate
+FINE_COORDS = 1024      # positions of the finer sketch of documents whose coarse one left a doubt
+FINE_SLACK = 0.055      # 4 standard deviations of a FINE_COORDS-position estimate
 SLICE = 1 << 18         # bytes of text sketched at a time: their shingles stay in the CPU's cache
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(1, 2 ** 32, COORDS, dtype=np.uint32) | np.uint32(1)
+_FINE_MUL = np.random.default_rng(7575).integers(1, 2 ** 32, FINE_COORDS, dtype=np.uint32) | np.uint32(1)
 ROOTS = TREES * ROOT_COORDS         # positions of the roots, whole 64-bit values, besides the sketch
 _ROOT_MUL = _rng.integers(1, 2 ** 63, ROOTS, dtype=np.uint64) | np.uint64(1)
 
 
+def _minwise(u: np.ndarray, at: np.ndarray, mul: np.ndarray) -> np.ndarray:
+    """A byte of the minimum of every position, of the sets that begin at ``at`` in ``u``."""
+    half = (u >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(at), len(mul)), np.uint8)
+    for k in range(len(mul)):
+        low = np.minimum.reduceat(half * mul[k], at).astype(np.uint64)
+        out[:, k] = mix64(low + np.uint64(k)).astype(np.uint8)
+    return out
+
+
 def _sketch(shingle_words: int):
     def run(batches):
         for batch in batches:
@@ -54,10 +76,7 @@ def _sketch(shingle_words: int):
                 if len(full):
                     u = np.concatenate([sets[i] for i in full])
                     at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
-                    half = (u >> np.uint64(32)).astype(np.uint32)
-                    for k in range(COORDS):
-                        low = np.minimum.reduceat(half * _MUL[k], at).astype(np.uint64)
-                        sig[full, k] = mix64(low + np.uint64(k)).astype(np.uint8)
+                    sig[full] = _minwise(u, at, _MUL)
                     for k in range(ROOTS):
                         root[full, k] = mix64(np.minimum.reduceat(u * _ROOT_MUL[k], at) + np.uint64(k))
                     a[full] = np.add.reduceat(u, at)
@@ -81,6 +100,19 @@ def _sketch(shingle_words: int):
     return run
 
 
+def _fine(shingle_words: int):
+    """``(cid, text)`` of texts with words -> ``(cid, sig)``, the finer sketch."""
+    def run(batches):
+        for batch in batches:
+            sigs = []
+            for _, texts in text_slices(batch, limit=SLICE):
+                sets = [shingles_of(w, shingle_words) for w in words_of(texts)]
+                at = np.cumsum([0] + [len(s) for s in sets])[:-1]
+                sigs += [row.tobytes() for row in _minwise(np.concatenate(sets), at, _FINE_MUL)]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sigs, pa.binary())], names=["cid", "sig"])
+    return run
+
+
 def _linked(similarity: float, shingle_words: int):
     """Pairs with both whole texts -> the pairs whose sets' Jaccard reaches the threshold.
 
@@ -107,8 +139,8 @@ def _linked(similarity: float, shingle_words: int):
 
 
 def _sketches(column: list) -> np.ndarray:
-    """Sketches (bytes) as the rows of a matrix."""
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, COORDS)
+    """Sketches (bytes of one length) as the rows of a matrix."""
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
 def _near(ra: list, rb: list) -> np.ndarray:
@@ -121,6 +153,8 @@ def _close(least: int):
     """Pairs with both sketches -> the pairs that agree in ``least`` positions."""
     def run(batches):
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             x, y = (_sketches(batch.column(c).to_pylist()) for c in ("x", "y"))
             ok = pa.array(np.count_nonzero(x == y, axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
@@ -139,32 +173,55 @@ def _node_members(least: int):
     return run
 
 
-def _node_pairs(least: int, closest: int | None = None):
-    """Comparison inside small nodes (or block pairs): sketch pairs that are
-    close enough and not yet in one group; with ``closest``, only so many of
-    every document, the closest first."""
+def _apart(rows, other):
+    """Both sides of a meeting (one node, or a part of it with another part) and
+    their equal positions, -1 inside a group."""
+    two = other is not None and len(other) > 0
+    ra, rb = list(rows), (list(other) if two else list(rows))
+    ca, cb = (np.array([r["comp"] for r in x], np.int64) for x in (ra, rb))
+    near = _near(ra, rb)
+    near[ca[:, None] == cb[None, :]] = -1
+    return two, ra, rb, near
+
+
+def _node_asks(least: int, closest: int):
+    """Meetings -> ``(node, a, b, near)``: the closest few of every document of the
+    first side, and ``b = a`` for those of the second side that are close to any."""
     def run(batches):
         for pdf in batches:
-            for rows, other in zip(pdf["rows"], pdf["other"]):
-                two = other is not None and len(other) > 0
-                ra, rb = list(rows), (list(other) if two else list(rows))
+            for node, rows, other in zip(pdf["node"], pdf["rows"], pdf["other"]):
+                two, ra, rb, near = _apart(rows, other)
                 ia, ib = (np.array([r["cid"] for r in x], np.int64) for x in (ra, rb))
-                ca, cb = (np.array([r["comp"] for r in x], np.int64) for x in (ra, rb))
-                near = _near(ra, rb)
-                near[ca[:, None] == cb[None, :]] = -1
-                if closest is None or closest >= len(ib):
-                    i, j = np.nonzero(near >= least)
-                else:
-                    top = np.argpartition(-near, closest - 1, axis=1)[:, :closest]
-                    i, k = np.nonzero(np.take_along_axis(near, top, 1) >= least)
-                    j = top[i, k]
-                x, y = ia[i], ib[j]
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+                few = min(closest, len(ib))
+                top = np.argpartition(-near, few - 1, axis=1)[:, :few]
+                value = np.take_along_axis(near, top, 1)
+                i, k = np.nonzero(value >= least)
+                j = np.flatnonzero((near >= least).any(0)) if two else np.empty(0, np.int64)
+                yield pd.DataFrame({"node": np.int64(node), "a": np.concatenate([ia[i], ib[j]]),
+                                    "b": np.concatenate([ib[top[i, k]], ib[j]]),
+                                    "near": np.concatenate([value[i, k], near[:, j].max(0)]).astype(np.int64)})
+    return run
+
+
+def _node_pairs(least: int):
+    """Meetings -> all pairs of different groups that agree in ``least`` positions,
+    asked in the first of the nodes (``own``) that both are in."""
+    def run(batches):
+        for pdf in batches:
+            for node, rows, other in zip(pdf["node"], pdf["rows"], pdf["other"]):
+                _, ra, rb, near = _apart(rows, other)
+                own = [set(r["own"]) for r in rb]
+                found = set()
+                for i, j in np.argwhere(near >= least):
+                    if next(x for x in ra[i]["own"] if x in own[j]) == node:
+                        x, y = ra[i]["cid"], rb[j]["cid"]
+                        found.add((min(x, y), max(x, y)))
+                yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
     return run
 
 
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
-    """``(node, cid, sig)`` -> the rows of the child nodes. A node picks 1/s
+    """``(node, cid, comp, sig)`` -> the rows of the child nodes. A node picks 1/s
     positions on average, by a hash of its path."""
     more = int((1 / similarity - 1) * 1000)
     picks = F.when(F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(1000)) < more, 2).otherwise(1)
@@ -173,22 +230,24 @@ def _children(rows: DataFrame, similarity: float) -> DataFrame:
         coord = F.pmod(F.xxhash64("node", j), F.lit(COORDS)).cast("int")
         return F.xxhash64("node", j, F.substring("sig", coord + 1, F.lit(1)))
 
-    return rows.select("cid", F.transform(F.sequence(F.lit(1), picks), child).alias("nodes")) \
-        .select("cid", F.explode("nodes").alias("node")).distinct()
+    return rows.select("cid", "comp", F.transform(F.sequence(F.lit(1), picks), child).alias("nodes")) \
+        .select("cid", "comp", F.explode("nodes").alias("node")).distinct()
 
 
 def _roots(classes: DataFrame) -> DataFrame:
     """The children of every tree's root."""
-    return classes.select("cid", F.explode("roots").alias("node"))
+    return classes.select("cid", F.col("cid").alias("comp"), F.explode("roots").alias("node"))
 
 
 def _with_size(rows: DataFrame, depth: int) -> DataFrame:
-    """Rows of nodes with two documents or more, with the node's size and its head:
-    the first document in one of HEADS orders, which differ by depth, so that a
-    large group is tried against several of its documents. Of small nodes with the same documents one is kept: a group of
-    copies meets in most trees, and comparing it once is enough."""
+    """Rows of nodes with two documents or more, with the node's size and its head
+    and the head's group: the first document in one of HEADS orders, which differ
+    by depth, so that a large group is tried against several of its documents. Of
+    small nodes with the same documents one is kept: a group of copies meets in
+    most trees, and comparing it once is enough."""
     order = F.pmod("node", F.lit(HEADS)) + HEADS * depth
-    n = rows.groupBy("node").agg(F.count("*").alias("n"), F.min_by("cid", F.xxhash64("cid", order)).alias("head"), F.bit_xor(F.xxhash64("cid")).alias("x"),
+    head = F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", order))
+    n = rows.groupBy("node").agg(F.count("*").alias("n"), head.alias("head"), F.bit_xor(F.xxhash64("cid")).alias("x"),
                                  F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("n > 1")
     same = F.when(F.col("n") > SMALL_NODE, F.col("node"))
     n = n.withColumn("same", same).groupBy("n", "x", "y", "same").agg(F.min(F.struct("node", "head")).alias("k")) \
@@ -197,13 +256,63 @@ def _with_size(rows: DataFrame, depth: int) -> DataFrame:
     return rows.join(materialise(n.select("node", "n", "head"), "nd-sizes"), "node")
 
 
-def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float = 0.75,
-                         shingle_words: int = 5) -> DataFrame:
-    """Confirmed links ``(a, b)`` between classes, enough to connect every group.
+def _star(nodes: DataFrame) -> DataFrame:
+    """The pairs of every node's head with the documents of other groups."""
+    apart = nodes.where("comp <> head.comp")
+    return apart.select(F.least("head.cid", "cid").alias("a"), F.greatest("head.cid", "cid").alias("b")).distinct()
+
+
+def _central_heads(nodes: DataFrame) -> DataFrame:
+    """The rows of large nodes, with the most central document as the head: the one
+    that most documents share a large node with. The text that a group of
+    near copies was made from differs least from all of them."""
+    large = nodes.where(f"n > {SMALL_NODE}").drop("head")
+    weight = large.groupBy("cid").agg(F.sum("n").alias("weight"))
+    heads = large.join(weight, "cid").groupBy("node") \
+        .agg(F.max_by(F.struct("cid", "comp"), F.struct("weight", F.xxhash64("cid"))).alias("head"))
+    return large.join(materialise(heads, "nd-heads"), "node")
+
+
+def _meetings(nodes: DataFrame, *columns: str) -> DataFrame:
+    """``(node, cid, comp, main, rest, all, ...)`` -> ``(node, rows, other)``: who is
+    compared with whom. A small node is compared within itself. Of a large one with
+    a bounded rest outside its largest group (``main``) the rest meets the whole node
+    in blocks. Otherwise every two blocks meet."""
+    item = F.struct("cid", "comp", *columns)
+    wide = nodes.where(f"all > {SMALL_NODE} and rest > {REST}")
+    led = nodes.where(f"all > {SMALL_NODE} and rest <= {REST}")
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        last = F.expr(f"cast(ceil(all / {size}) as bigint)")
+        return rows.withColumn("blk", F.pmod(F.xxhash64("cid", F.lit(3)), last)) \
+            .groupBy("node", "blk").agg(F.collect_list(item).alias(name), F.first(last).alias("last"))
+
+    small = nodes.where(f"all <= {SMALL_NODE}").groupBy("node").agg(F.collect_list(item).alias("rows"))
+    few = led.where("comp <> main").groupBy("node").agg(F.collect_list(item).alias("rows"))
+    led = few.join(blocks(led, REST, "other"), "node").select("node", "rows", "other")
+    g = blocks(wide, SMALL_NODE, "rows")
+    left = g.withColumn("to", F.explode(F.expr("sequence(blk, last - 1)")))
+    right = g.select("node", F.col("blk").alias("to"), F.col("rows").alias("other"))
+    wide = left.join(right, ["node", "to"]).select("node", "rows", F.when(F.col("blk") != F.col("to"), F.col("other")).alias("other"))
+    return small.withColumn("other", F.lit(None).cast(small.schema["rows"].dataType)).union(led).union(wide)
+
+
+def near_duplicate_groups(classes: DataFrame, docs: DataFrame, similarity: float = 0.75,
+                          shingle_words: int = 5) -> DataFrame:
+    """``(v, comp)``: classes with a link and the smallest class they reach.
 
     ``classes(cid, sig, roots, tkey)``: one row per distinct set, with the key of one
-    row that has it; ``docs(tkey, text)``."""
+    row that has it; ``docs(tkey, text)``. The tables made on the way are deleted."""
+    outer = stage_folder(docs.sparkSession)
+    with stage_run(docs.sparkSession):
+        return materialise(_groups(classes, docs, similarity, shingle_words), "nd-groups", outer)
+
+
+def _groups(classes: DataFrame, docs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    spark = docs.sparkSession
+    folder = stage_folder(spark)
     least = int(np.floor((similarity - SLACK) * COORDS))
+    least_fine = int(np.floor((similarity - FINE_SLACK) * FINE_COORDS))
     sig = classes.select("cid", "sig")
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -211,84 +320,75 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, similarity: float
             .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y")), "b")
         return p.select("a", "b", "x", "y").mapInArrow(_close(least), "a long, b long")
 
-    def star(nodes: DataFrame) -> DataFrame:
-        return nodes.where("cid <> head").select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
-
-    def members(nodes: DataFrame) -> DataFrame:
-        return nodes.groupBy("node").agg(F.collect_list(F.struct("cid", "comp", "sig")).alias("rows"))
-
-    def inside(nodes: DataFrame, closest: int | None = None) -> DataFrame:
-        none = F.lit(None).cast("array<struct<cid:bigint,comp:bigint,sig:binary>>")
-        return members(nodes).select("rows", none.alias("other")).mapInPandas(_node_pairs(least, closest), "a long, b long").distinct()
-
-    def by_blocks(nodes: DataFrame) -> DataFrame:
-        b = nodes.withColumn("blk", F.expr(f"pmod(xxhash64(cid, 3), cast(ceil(n / {SMALL_NODE}) as bigint))"))
-        g = b.groupBy("node", "blk").agg(F.collect_list(F.struct("cid", "comp", "sig")).alias("rows"), F.first("n").alias("n"))
-        left = g.withColumn("to", F.explode(F.expr(f"sequence(blk, cast(ceil(n / {SMALL_NODE}) as bigint) - 1)")))
-        right = g.select("node", F.col("blk").alias("to"), F.col("rows").alias("other"))
-        return left.join(right, ["node", "to"]).select("rows", F.when(F.col("blk") != F.col("to"), F.col("other")).alias("other")) \
-            .mapInPandas(_node_pairs(least), "a long, b long").distinct()
-
-    def outside(nodes: DataFrame) -> DataFrame:
-        """Nodes whose largest group leaves out SMALL_NODE documents at most: those
-        against the whole node, so that a document meets no more than in a small node."""
-        few = members(nodes.where("comp <> main"))
-        b = nodes.withColumn("blk", F.expr(f"pmod(xxhash64(cid, 3), cast(ceil(n / {SMALL_NODE}) as bigint))"))
-        b = b.groupBy("node", "blk").agg(F.collect_list(F.struct("cid", "comp", "sig")).alias("other"))
-        return b.join(few, "node").select("rows", "other").mapInPandas(_node_pairs(least), "a long, b long").distinct()
-
     nodes = materialise(_with_size(_roots(classes), 0), "nd-nodes")
-    first = materialise(close(star(nodes)), "nd-star")
-    lone = nodes.where(f"n between 3 and {SMALL_NODE}").join(sig, "cid").withColumn("comp", F.col("cid"))
+    heads = nodes.where(f"n <= {SMALL_NODE}").unionByName(_central_heads(nodes))
+    first = materialise(close(_star(heads)), "nd-star")
+    lone = nodes.where(f"n between 3 and {SMALL_NODE}").join(sig, "cid") \
+        .groupBy("node").agg(F.collect_list(F.struct("cid", "sig")).alias("rows"))
     # every class that any later comparison can ask for
     asked = first.select(F.col("a").alias("cid")).union(first.select("b")) \
-        .union(members(lone).select("rows").mapInPandas(_node_members(least), "cid long")) \
+        .union(lone.select("rows").mapInPandas(_node_members(least), "cid long")) \
         .union(nodes.where(f"n > {SMALL_NODE}").select("cid")).distinct()
     want = classes.select("cid", "tkey").join(asked, "cid", "left_semi")
     texts = materialise(docs.join(want, "tkey").dropDuplicates(["tkey", "cid"]).select("cid", "text"), "nd-texts")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        if small_enough(ids, FEW_IDS):      # few ids: only their texts are moved
+            return texts.join(F.broadcast(ids), "cid", "left_semi")
+        return texts.join(ids, "cid", "left_semi")
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        t = texts       # few ids: only their texts are moved
-        if small_enough(ids, FEW_IDS):
-            t = texts.join(F.broadcast(ids), "cid", "left_semi")
+        t = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         p = pairs.join(t.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b") \
             .join(t.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
         return p.select("a", "b", "ta", "tb").mapInArrow(_linked(similarity, shingle_words), "a long, b long")
 
+    def closest(asks: DataFrame) -> DataFrame:
+        best = F.slice(F.sort_array(F.collect_set(F.struct("near", "b")), asc=False), 1, CLOSEST)
+        p = asks.where("a <> b").groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
+        return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def in_doubt(rows: DataFrame) -> DataFrame:
+        own = rows.groupBy("cid").agg(F.sort_array(F.collect_list("node")).alias("own"))
+        fine = texts_of(rows.select("cid").distinct()).mapInArrow(_fine(shingle_words), "cid long, sig binary")
+        full = rows.join(materialise(own.join(fine, "cid"), "nd-fine"), "cid")
+        return _meetings(full, "sig", "own").mapInPandas(_node_pairs(least_fine), "a long, b long").distinct()
+
     tried = first
-    links = materialise(confirm(first), "nd-links")
-    nodes = nodes.select("node", "cid", "n", F.lit(False).alias("asked"))
+    comp = connected_components(materialise(confirm(first), "nd-links"))
+    nodes = nodes.where("n > 2").select("node", "cid", F.lit(False).alias("asked"))
     depth = 1
     while True:
-        comp = connected_components(links)
-        named = nodes.join(comp.withColumnRenamed("v", "cid"), "cid", "left") \
-            .select("node", "cid", "n", "asked", F.coalesce("comp", "cid").alias("comp"))
-        named = materialise(named, "nd-named")
-        groups = named.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node") \
-            .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
-        split = materialise(groups.where("top.c < all").select("node", F.col("top.comp").alias("main"),
-                                                               F.expr("all - top.c").alias("rest")), "nd-split")
-        still = materialise(named.join(split, "node").join(sig, "cid"), "nd-open")
-        small, large = still.where(f"n between 3 and {SMALL_NODE}"), still.where(f"n > {SMALL_NODE}")
-        led, large = large.where(f"rest <= {SMALL_NODE}"), large.where(f"rest > {SMALL_NODE}")
-        once, again = small.where("not asked"), small.where("asked")
-        pairs = inside(once, CLOSEST).union(inside(again)).union(outside(led))
-        # small nodes come back once, for what is open after their closest pairs
-        left = once.select("node", "cid", "n", F.lit(True).alias("asked"))
-        if large.limit(1).count():
-            if depth < MAX_DEPTH:
-                below = materialise(_with_size(_children(large, similarity), depth), "nd-nodes")
-                pairs = pairs.union(close(star(below)))
-                left = left.union(below.select("node", "cid", "n", F.lit(False)))
-            else:
-                pairs = pairs.union(by_blocks(large))
-        new = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "nd-pairs")
-        found = materialise(confirm(new), "nd-links")
-        links = links.union(found)
-        nodes = materialise(left, "nd-left")
+        with stage_run(spark):
+            named = nodes.join(comp.withColumnRenamed("v", "cid"), "cid", "left") \
+                .select("node", "cid", "asked", F.coalesce("comp", "cid").alias("comp"))
+            named = materialise(named, "nd-named")
+            groups = named.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node") \
+                .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+            split = materialise(groups.where("top.c < all").select("node", "all", F.col("top.comp").alias("main"),
+                                                                   F.expr("all - top.c").alias("rest")), "nd-split")
+            still = materialise(named.join(split, "node"), "nd-open")
+            again, once = still.where("asked"), still.where("not asked")
+            branch = F.lit(depth < MAX_DEPTH) & (F.col("all") > SMALL_NODE) & (F.col("rest") > REST)
+            asks = _meetings(once.where(~branch).join(sig, "cid"), "sig") \
+                .mapInPandas(_node_asks(least, CLOSEST), "node long, a long, b long, near long")
+            asks = materialise(asks, "nd-asks")
+            pairs = closest(asks)
+            left = asks.select("node", F.col("a").alias("cid")).distinct().withColumn("asked", F.lit(True))
+            if again.limit(1).count():
+                pairs = pairs.union(in_doubt(again))
+            large = once.where(branch)
+            if large.limit(1).count():
+                below = materialise(_with_size(_children(large.join(sig, "cid"), similarity), depth), "nd-nodes")
+                pairs = pairs.union(close(_star(below)))
+                left = left.union(below.where("n > 2").select("node", "cid", F.lit(False)))
+            new = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "nd-pairs", folder)
+            found = materialise(confirm(new), "nd-links", folder)
+            nodes = materialise(left, "nd-left", folder)
+        if found.limit(1).count():
+            comp = merge_components(comp, found)
         if nodes.limit(1).count() == 0:
-            return links
+            return comp
         tried = tried.union(new)
         depth += 1
 
@@ -315,8 +415,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, shingle_words: in
     classes = materialise(made.where("n_shingles > 0").groupBy("cid").agg(
         F.min("doc_id").alias("rep"), F.min("tkey").alias("tkey"), F.first("sig").alias("sig"),
         F.first("roots").alias("roots")), "nd-classes")
-    links = near_duplicate_links(classes, src.select("tkey", "text"), similarity, shingle_words)
-    comp = connected_components(links)
+    comp = near_duplicate_groups(classes, src.select("tkey", "text"), similarity, shingle_words)
     named = classes.select("cid", "rep").join(comp.withColumnRenamed("v", "cid"), "cid", "left") \
         .select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
     low = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
