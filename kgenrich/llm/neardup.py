@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage_folder, stage_run
-from .common import materialise, small_enough
+from .common import broadcast_if, materialise
 from .components import connected_components, merge_components
 from .shingles import mix64, shingles_of, text_slices, words_of
 
@@ -39,7 +39,7 @@ SMALL_NODE = 256        # documents compared exhaustively
 REST = 2048             # documents outside the largest group that are compared with the whole of a large node
 HEADS = 3               # orders that the heads of nodes are taken from, per round
 CLOSEST = 2             # documents outside its group that a document asks for first
-FEW_IDS = 200_000       # ids (8 bytes each) that may be broadcast to pick the texts of a round
+FEW_IDS = 200_000       # ids (with a key 16 bytes each) that may be broadcast to pick texts
 MAX_DEPTH = 12          # beyond it large nodes are compared block by block
 SLACK = 0.11            # over 4 standard deviations of a COORDS-position estimate
 FINE_COORDS = 1024      # positions of the finer sketch of documents whose coarse one left a doubt
@@ -236,30 +236,31 @@ def _children(rows: DataFrame, similarity: float) -> DataFrame:
 
 def _roots(classes: DataFrame) -> DataFrame:
     """The children of every tree's root."""
-    return classes.select("cid", F.col("cid").alias("comp"), F.explode("roots").alias("node"))
+    return classes.select("cid", F.explode("roots").alias("node"))
 
 
 def _with_size(rows: DataFrame, depth: int) -> DataFrame:
-    """Rows of nodes with two documents or more, with the node's size and its head
-    and the head's group: the first document in one of HEADS orders, which differ
-    by depth, so that a large group is tried against several of its documents. Of
-    small nodes with the same documents one is kept: a group of copies meets in
-    most trees, and comparing it once is enough."""
-    order = F.pmod("node", F.lit(HEADS)) + HEADS * depth
-    head = F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", order))
-    n = rows.groupBy("node").agg(F.count("*").alias("n"), head.alias("head"), F.bit_xor(F.xxhash64("cid")).alias("x"),
+    """Rows of nodes with two documents or more, with the node's size, its head and,
+    when groups are known (``comp``), the head's group. The head is the first document
+    in one of HEADS orders, which differ by depth, so that a large group is tried
+    against several of its documents. Of small nodes with the same documents one is
+    kept: a group of copies meets in most trees, and comparing it once is enough."""
+    order = F.xxhash64("cid", F.pmod("node", F.lit(HEADS)) + HEADS * depth)
+    heads = [F.min_by("cid", order).alias("head")]
+    if "comp" in rows.columns:
+        heads.append(F.min_by("comp", order).alias("head_comp"))
+    n = rows.groupBy("node").agg(F.count("*").alias("n"), *heads, F.bit_xor(F.xxhash64("cid")).alias("x"),
                                  F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("n > 1")
     same = F.when(F.col("n") > SMALL_NODE, F.col("node"))
-    n = n.withColumn("same", same).groupBy("n", "x", "y", "same").agg(F.min(F.struct("node", "head")).alias("k")) \
-        .select("n", "k.*")
+    kept = F.struct("node", *n.columns[2:2 + len(heads)])
+    n = n.withColumn("same", same).groupBy("n", "x", "y", "same").agg(F.min(kept).alias("k")).select("n", "k.*")
     # written out, so that the join below gets an exchange of its own, which Spark can split
-    return rows.join(materialise(n.select("node", "n", "head"), "nd-sizes"), "node")
+    return rows.join(materialise(n, "nd-sizes"), "node")
 
 
-def _star(nodes: DataFrame) -> DataFrame:
-    """The pairs of every node's head with the documents of other groups."""
-    apart = nodes.where("comp <> head.comp")
-    return apart.select(F.least("head.cid", "cid").alias("a"), F.greatest("head.cid", "cid").alias("b")).distinct()
+def _star(nodes: DataFrame, apart: str = "cid <> head") -> DataFrame:
+    """The pairs of every node's head with its other documents (``apart``)."""
+    return nodes.where(apart).select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
 
 
 def _central_heads(nodes: DataFrame) -> DataFrame:
@@ -269,7 +270,7 @@ def _central_heads(nodes: DataFrame) -> DataFrame:
     large = nodes.where(f"n > {SMALL_NODE}").drop("head")
     weight = large.groupBy("cid").agg(F.sum("n").alias("weight"))
     heads = large.join(weight, "cid").groupBy("node") \
-        .agg(F.max_by(F.struct("cid", "comp"), F.struct("weight", F.xxhash64("cid"))).alias("head"))
+        .agg(F.max(F.struct("weight", F.xxhash64("cid").alias("tie"), "cid")).alias("top")).select("node", F.col("top.cid").alias("head"))
     return large.join(materialise(heads, "nd-heads"), "node")
 
 
@@ -315,30 +316,29 @@ def _groups(classes: DataFrame, docs: DataFrame, similarity: float, shingle_word
     least_fine = int(np.floor((similarity - FINE_SLACK) * FINE_COORDS))
     sig = classes.select("cid", "sig")
 
-    def close(pairs: DataFrame) -> DataFrame:
+    def close(pairs: DataFrame, sig: DataFrame) -> DataFrame:
         p = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("x")), "a") \
             .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y")), "b")
         return p.select("a", "b", "x", "y").mapInArrow(_close(least), "a long, b long")
 
     nodes = materialise(_with_size(_roots(classes), 0), "nd-nodes")
     heads = nodes.where(f"n <= {SMALL_NODE}").unionByName(_central_heads(nodes))
-    first = materialise(close(_star(heads)), "nd-star")
+    first = materialise(close(_star(heads), sig), "nd-star")
     lone = nodes.where(f"n between 3 and {SMALL_NODE}").join(sig, "cid") \
         .groupBy("node").agg(F.collect_list(F.struct("cid", "sig")).alias("rows"))
     # every class that any later comparison can ask for
     asked = first.select(F.col("a").alias("cid")).union(first.select("b")) \
         .union(lone.select("rows").mapInPandas(_node_members(least), "cid long")) \
         .union(nodes.where(f"n > {SMALL_NODE}").select("cid")).distinct()
-    want = classes.select("cid", "tkey").join(asked, "cid", "left_semi")
-    texts = materialise(docs.join(want, "tkey").dropDuplicates(["tkey", "cid"]).select("cid", "text"), "nd-texts")
+    want = materialise(classes.select("cid", "tkey").join(asked, "cid", "left_semi"), "nd-want")
+    texts = materialise(docs.join(broadcast_if(want, FEW_IDS), "tkey").dropDuplicates(["tkey", "cid"]).select("cid", "text"), "nd-texts")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        if small_enough(ids, FEW_IDS):      # few ids: only their texts are moved
-            return texts.join(F.broadcast(ids), "cid", "left_semi")
-        return texts.join(ids, "cid", "left_semi")
+    def only(table: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows of ``ids``; few ids are broadcast, so that only those rows are moved."""
+        return table.join(broadcast_if(materialise(ids.distinct(), "nd-ids"), FEW_IDS), "cid", "left_semi")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        t = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        t = only(texts, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")))
         p = pairs.join(t.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b") \
             .join(t.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
         return p.select("a", "b", "ta", "tb").mapInArrow(_linked(similarity, shingle_words), "a long, b long")
@@ -350,7 +350,7 @@ def _groups(classes: DataFrame, docs: DataFrame, similarity: float, shingle_word
 
     def in_doubt(rows: DataFrame) -> DataFrame:
         own = rows.groupBy("cid").agg(F.sort_array(F.collect_list("node")).alias("own"))
-        fine = texts_of(rows.select("cid").distinct()).mapInArrow(_fine(shingle_words), "cid long, sig binary")
+        fine = only(texts, rows.select("cid")).mapInArrow(_fine(shingle_words), "cid long, sig binary")
         full = rows.join(materialise(own.join(fine, "cid"), "nd-fine"), "cid")
         return _meetings(full, "sig", "own").mapInPandas(_node_pairs(least_fine), "a long, b long").distinct()
 
@@ -369,8 +369,9 @@ def _groups(classes: DataFrame, docs: DataFrame, similarity: float, shingle_word
                                                                    F.expr("all - top.c").alias("rest")), "nd-split")
             still = materialise(named.join(split, "node"), "nd-open")
             again, once = still.where("asked"), still.where("not asked")
+            open_sig = only(sig, once.select("cid"))
             branch = F.lit(depth < MAX_DEPTH) & (F.col("all") > SMALL_NODE) & (F.col("rest") > REST)
-            asks = _meetings(once.where(~branch).join(sig, "cid"), "sig") \
+            asks = _meetings(once.where(~branch).join(open_sig, "cid"), "sig") \
                 .mapInPandas(_node_asks(least, CLOSEST), "node long, a long, b long, near long")
             asks = materialise(asks, "nd-asks")
             pairs = closest(asks)
@@ -379,8 +380,8 @@ def _groups(classes: DataFrame, docs: DataFrame, similarity: float, shingle_word
                 pairs = pairs.union(in_doubt(again))
             large = once.where(branch)
             if large.limit(1).count():
-                below = materialise(_with_size(_children(large.join(sig, "cid"), similarity), depth), "nd-nodes")
-                pairs = pairs.union(close(_star(below)))
+                below = materialise(_with_size(_children(large.join(open_sig, "cid"), similarity), depth), "nd-nodes")
+                pairs = pairs.union(close(_star(below, "comp <> head_comp"), open_sig))
                 left = left.union(below.where("n > 2").select("node", "cid", F.lit(False)))
             new = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "nd-pairs", folder)
             found = materialise(confirm(new), "nd-links", folder)
