@@ -88,3 +88,17 @@ def test_long_dotted_line_and_unicode_spaces(spark):
     words = spark.range(1).select(F.array().cast(f"array<{tx.WORD}>").alias("w"))
     r = words.select(tx.join_decimal_numerals(F.col("w")).alias("a"), tx.apply_multipliers(F.col("w")).alias("b")).first()
     assert r.a == [] and r.b == []
+
+
+def test_cleaning_is_dealt_out_whatever_the_input_files(spark):
+    n = 2 * T.ARTICLES_PER_PARTITION + 1
+    raw = spark.range(n, numPartitions=1).selectExpr("'t' || id as title", "id as page_id", "'x [[Y|y]] z' as wikitext")
+    clean = T.clean_articles(raw)
+    held = [r[0] for r in clean.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    assert sum(held) == n and len(held) == 3 and max(held) < n / 2
+
+
+def test_numerals_far_apart_and_single_ones_stay(spark):
+    for fn in (T.join_decimal_numerals, T.join_adjacent_numerals, T.apply_multipliers):
+        assert _run(spark, fn, ["rok", "1990", "i", "2001"]) == ["rok", "1990", "i", "2001"]
+        assert _run(spark, fn, []) == []
