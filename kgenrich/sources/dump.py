@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.text import clean_articles
+from ..session import checkpoint_dir
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("title", T.StringType()),
@@ -174,6 +175,8 @@ def plain_corpus(pages: DataFrame, out: str | None = None, max_bytes: int = 1 <<
     clean = clean_articles(plain_pages(pages).select("title", "page_id", "wikitext"))
     recs = doc_records(clean)
     if out:
+        checkpoint_dir(recs.sparkSession)
+        recs = recs.checkpoint()        # cleaned once; the sink reads the records several times
         write_corpus(recs, out, "page_id", max_bytes, compress)
     return recs
 
