@@ -105,3 +105,13 @@ def test_split_scores(spark):
     vals = spark.createDataFrame([("a", "Alfa"), ("c", "Gamma")], "entity string, value string")
     e = K.extractor_scores(vals, gold, kept, "r").first()
     assert (e.tp, e.fp, e.fn) == (1, 0, 1)
+
+
+def test_redirect_rounds_keep_a_size_spark_can_plan_with(spark):
+    """The estimate of a chain of joins is a number with twice the digits every round."""
+    n = 300
+    df = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % n}") for i in range(n)], "name string, canonical string")
+    table = K.resolve_redirects(df)
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size.bit_length() < 200
+    assert {r.canonical for r in table.collect()} == {"n0"}
