@@ -102,3 +102,35 @@ def test_numerals_far_apart_and_single_ones_stay(spark):
     for fn in (T.join_decimal_numerals, T.join_adjacent_numerals, T.apply_multipliers):
         assert _run(spark, fn, ["rok", "1990", "i", "2001"]) == ["rok", "1990", "i", "2001"]
         assert _run(spark, fn, []) == []
+
+
+def _titled(spark):
+    raw = [("A", "The odd town of [[Big_Land|Big Land]] is the odd one of all. It was odd."),
+           ("A", "Odd ODD of the three is a town that we know well here. Is it so."),
+           ("A", "Odd ODD of the three is a town that we know well here. Is it so."),
+           (None, "The town of [[Big_Land|Big Land]] is it, as it was an Odd one."), ("B", None)]
+    return spark.createDataFrame([(t, i, x) for i, (t, x) in enumerate(raw)], "title string, page_id long, wikitext string"), \
+        spark.createDataFrame([("Big_Land", ["Place"])], "name string, types array<string>")
+
+
+def test_preparation_deals_out_articles_not_tokens(spark):
+    raw, catalog = _titled(spark)
+    plan = T.prepare_articles(raw, catalog)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "hashpartitioning(title" in plan
+    assert "hashpartitioning(form" not in plan and "sent_id" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_tags_by_case_are_those_of_the_corpus_lexicon(spark):
+    """Repeated and null titles, forms whose lower-case form occurs or not."""
+    raw, catalog = _titled(spark)
+    clean = T.clean_articles(raw)
+    sents = T.sentences(clean)
+    tagged = T.tag_sentences(sents, T.lexicon_from_corpus(sents), unique_forms=True).join(
+        T.link_dictionary(clean, catalog), "title", "left")
+    want = tagged.select("title", "sent_id", T.correct_lemmas(F.col("words"), F.col("links_map")).alias("words"))
+    for stage in (T.join_decimal_numerals, T.join_adjacent_numerals, T.apply_multipliers):
+        want = want.select("title", "sent_id", stage(F.col("words")).alias("words"))
+    got = T.prepare_articles(raw, catalog)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 3
