@@ -1,20 +1,23 @@
-"""Line dedup over a suffix array of line-ID sequences.
-
-Lines are numbered by a 64-bit id. A class of positions is an interval of the
-suffix array with a common prefix of a least length; runs of such positions are
-the repeated line runs, and all copies but the first are deleted. The length is
-counted in bytes: the prefix takes as many lines, from one up, as reach it, so
-one grouping of prefix hashes finds the classes.
-
-For a least length of several lines the suffix starting at a line is ranked by
-its first line, then by its first 2, 4, ... lines: Spark groups position rank
-pairs ``(rank(i), rank(i + h))`` and gives every distinct pair a new rank, and
-positions whose pair is unique leave.
+"""Line dedup over a suffix array of line-ID sequences, by prefix doubling.
+
+Lines are numbered by a 64-bit id. The suffix starting at a line is ranked by its
+first line, then by its first 2, 4, 8, ... lines: Spark groups the rank pairs
+``(rank(i), rank(i + h))`` and gives every distinct pair a new rank, and positions
+whose pair is unique leave. A class of positions is an interval of the suffix
+array with a common prefix of a least length; a prefix of ``n`` lines, with
+``h < n <= 2 h``, is the pair of the ranks of its first and of its last ``h`` lines.
+Runs of such positions are the repeated line runs, and all copies but the first
+are deleted.
+
+The least length is counted in bytes: the prefix takes as many lines, from one up,
+as reach it. A line has at least one byte, its newline, so ranks are doubled until
+they span that many lines. Lines that lie in no such prefix of several lines are
+ranked by themselves only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialise
 
@@ -22,62 +25,92 @@ MIN_LINES = 1           # a run may be one line
 MIN_BYTES = 12          # bytes of a run, each line with its newline
 
 
-def _runs_local(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
-    """The shortest runs that reach ``min_bytes`` from and up to every line, as
-    ``(doc_id, row_key, pos, n_lines, pair)``: any run that reaches it is covered
-    by those inside it. A line counts its newline, so no such run has more than
-    ``min_bytes`` lines. A shorter text is one run, compared with whole texts only."""
-    lines = F.split(text_col, "\n", -1)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"),
-                    (F.octet_length(text_col) + 1 < min_bytes).alias("whole"), F.col(text_col).rlike(r"\S").alias("inked"),
-                    F.transform(lines, lambda x: F.xxhash64(x)).alias("ids"),
-                    F.transform(lines, lambda x: F.octet_length(x) + 1).alias("sizes"))
+def _run(pos: Column, n: Column) -> Column:
+    return F.struct(pos.alias("pos"), n.alias("n_lines"))
 
+
+def _byte_runs(min_bytes: int) -> Column:
+    """The shortest runs that reach ``min_bytes`` from and up to every line: any
+    run that reaches it is covered by those inside it. A line counts its newline,
+    so no such run has more than ``min_bytes`` lines. A shorter text is one run,
+    compared with whole texts only."""
     def reach(sizes):
         zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"))
         return F.aggregate(sizes, zero, lambda a, x: F.when(a["size"] >= min_bytes, a).otherwise(
             F.struct((a["size"] + x).alias("size"), (a["n"] + 1).alias("n"))))
 
-    def run(pos, n):
-        return F.struct(pos.alias("pos"), n.alias("n_lines"))
-
     def run_from(size, i):
         r = reach(F.slice("sizes", i + 1, min_bytes))
-        return F.when(size >= min_bytes, run(i, F.lit(1))).when(r["size"] >= min_bytes, run(i, r["n"]))
+        return F.when(size >= min_bytes, _run(i, F.lit(1))).when(r["size"] >= min_bytes, _run(i, r["n"]))
 
     def run_to(size, i):            # without those that run_from gives as well
         low = F.greatest(i - min_bytes + 1, F.lit(0))
         r = reach(F.reverse(F.slice("sizes", low + 1, i - low + 1)))
-        return F.when((size < min_bytes) & (r["size"] - size >= min_bytes), run(i - r["n"] + 1, r["n"]))
+        return F.when((size < min_bytes) & (r["size"] - size >= min_bytes), _run(i - r["n"] + 1, r["n"]))
 
-    runs = F.when(F.col("whole"), F.when(F.col("inked"), F.array(run(F.lit(0), F.size("ids"))))) \
+    return F.when(F.col("whole"), F.when(F.col("inked"), F.array(_run(F.lit(0), F.size("ids"))))) \
         .otherwise(F.filter(F.concat(F.transform("sizes", run_from), F.transform("sizes", run_to)), lambda r: r.isNotNull()))
-    return d.select("doc_id", "row_key", "whole", F.explode(F.transform(runs, lambda r: F.struct(
-        r["pos"].alias("pos"), r["n_lines"].alias("n_lines"),
-        F.xxhash64(F.slice("ids", r["pos"] + 1, r["n_lines"])).alias("pair")))).alias("r")) \
-        .select("doc_id", "row_key", "r.pos", "r.n_lines", F.xxhash64("r.pair", "whole").alias("pair"))
-
-
-def _pairs_local(docs: DataFrame, id_col: str, text_col: str, h: int) -> DataFrame:
-    """The first pair rank needs no exchange: both lines are in the same text."""
-    ids = F.transform(F.split(text_col, "\n", -1), lambda x: F.xxhash64(x))
-    n = F.size("ids")
-    pairs = F.when(n >= 2 * h, F.transform(F.sequence(F.lit(1), n - 2 * h + 1),
-                                           lambda i: F.xxhash64(F.slice("ids", i, 2 * h))))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), ids.alias("ids")) \
-        .select("doc_id", "row_key", F.posexplode(pairs).alias("pos", "pair"))
-
-
-def _rerank(pairs: DataFrame) -> DataFrame:
-    """``(doc_id, row_key, pos, pair)`` -> positions whose pair occurs again, with
-    the pair's new rank: the place of its first occurrence in the order of
-    (doc_id, row_key, position). Counts are combined before the exchange, and the
-    classes are written out: the join then has exchanges of its own, of which
-    Spark splits the partition of a line that stands everywhere."""
+
+
+def _line_runs(docs: DataFrame, min_lines: int, min_bytes: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The lines that lie in runs of the least length, ``(doc_id, row_key, pos,
+    line, single, inner)``: whether a line is such a run itself and whether it lies
+    in one of several lines; and those of several lines, ``(doc_id, row_key, pos, n_lines)``."""
+    lines = F.split(text_col, "\n", -1)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"),
+                    (F.octet_length(text_col) + 1 < min_bytes).alias("whole"), F.col(text_col).rlike(r"\S").alias("inked"),
+                    F.transform(lines, lambda x: F.xxhash64(x)).alias("ids"),
+                    F.transform(lines, lambda x: F.octet_length(x) + 1).alias("sizes"))
+    if min_lines < 2:
+        runs = _byte_runs(min_bytes)
+        # the ids of a short text are its own and those of its exact copies
+        ids = F.when(F.col("whole"), F.transform("ids", lambda x: F.xxhash64(x, F.size("ids")))).otherwise(F.col("ids"))
+    else:
+        runs = F.when(F.size("ids") >= min_lines, F.transform(
+            F.sequence(F.lit(0), F.size("ids") - min_lines), lambda i: _run(i, F.lit(min_lines))))
+        ids = F.col("ids")
+    d = d.select("doc_id", "row_key", ids.alias("ids"), runs.alias("runs")).where(F.size("runs") > 0)
+    d = d.select("doc_id", "row_key", "ids", F.filter("runs", lambda r: r["n_lines"] > 1).alias("runs"),
+                 F.transform(F.filter("runs", lambda r: r["n_lines"] == 1), lambda r: r["pos"]).alias("singles"))
+    inner = F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["n_lines"] - 1)))
+    d = d.select("doc_id", "row_key", "ids", "runs", "singles", F.array_distinct(inner).alias("inner"))
+
+    def line(single, inner):
+        return lambda i: F.struct(i.alias("pos"), F.get("ids", i).alias("line"),
+                                  F.lit(single).alias("single"), F.lit(inner).alias("inner"))
+
+    d = d.select("doc_id", "row_key", "runs", F.concat(
+        F.transform(F.array_except("singles", "inner"), line(True, False)),
+        F.transform(F.array_intersect("inner", "singles"), line(True, True)),
+        F.transform(F.array_except("inner", "singles"), line(False, True))).alias("lines"))
+    d = materialise(d, "line-runs")
+    return (d.select("doc_id", "row_key", F.explode("lines").alias("l")).select("doc_id", "row_key", "l.*"),
+            d.select("doc_id", "row_key", F.explode("runs").alias("r")).select("doc_id", "row_key", "r.*"))
+
+
+def _rerank(pairs: DataFrame, *pair: str) -> DataFrame:
+    """The positions whose pair occurs again, with the place of the pair's first
+    occurrence in the order of (doc_id, row_key, position), ``first``, which names
+    its new rank. Counts are combined before the exchange, and the classes are
+    written out: the join then has exchanges of its own, of which Spark splits the
+    partition of a line that stands everywhere."""
     place = F.struct("doc_id", "row_key", "pos")
-    classes = materialise(pairs.groupBy("pair").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-                          .where("n > 1"), "line-classes")
-    return pairs.join(classes.select("pair", "first"), "pair")
+    classes = materialise(pairs.groupBy(*pair).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+                          .where("n > 1").drop("n"), "line-classes")
+    return pairs.join(classes, list(pair))
+
+
+def _rank(ranks: DataFrame, pos: str, name: str) -> DataFrame:
+    return ranks.select("row_key", F.col("pos").alias(pos), F.struct("first.row_key", "first.pos").alias(name)).distinct()
+
+
+def _paired(runs: DataFrame, ranks: DataFrame, h: int) -> DataFrame:
+    """Runs of ``h`` to ``2 h`` lines with the ranks of their first and last ``h``
+    lines; a run with a part that occurs once only leaves."""
+    ends = runs.withColumn("tail", F.col("pos") + F.col("n_lines") - h)
+    return materialise(ends.join(_rank(ranks, "pos", "left"), ["row_key", "pos"])
+                       .join(_rank(ranks, "tail", "right"), ["row_key", "tail"])
+                       .select("doc_id", "row_key", "pos", "n_lines", "left", "right"), "line-pairs")
 
 
 def repeated_starts(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",
@@ -85,18 +118,26 @@ def repeated_starts(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "
     """Suffixes that share a run with another one: ``(doc_id, row_key, pos,
     n_lines, first)``, ``first`` the first place of the class. The run has at
     least ``min_bytes`` bytes, or ``min_lines`` lines when those are two or more."""
-    if min_lines < 2:
-        return _rerank(_runs_local(docs, id_col, text_col, min_bytes))
-    ranks = materialise(_rerank(_pairs_local(docs, id_col, text_col, 1)), "lines")
-    h = 2
-    while h < min_lines:
-        step = min(h, min_lines - h)        # the last step overlaps when the threshold is no power of 2
-        right = ranks.select("row_key", (F.col("pos") - step).alias("pos"), F.col("pair").alias("right")).distinct()
-        pairs = ranks.select("doc_id", "row_key", "pos", "pair").join(right, ["row_key", "pos"]) \
-            .select("doc_id", "row_key", "pos", F.xxhash64("pair", "right").alias("pair"))
-        ranks = materialise(_rerank(pairs), "lines")
-        h += step
-    return ranks.withColumn("n_lines", F.lit(min_lines))
+    lines, runs = _line_runs(docs, min_lines, min_bytes, id_col, text_col)
+    ranks = _rerank(lines, "line")
+    found = ranks.where("single").select("doc_id", "row_key", "pos", F.lit(1).alias("n_lines"), "first")
+    most = min_bytes if min_lines < 2 else min_lines
+    if most > 1:
+        ranks = materialise(ranks.where("inner").select("doc_id", "row_key", "pos", "first"), "lines")
+    h = 1
+    while h < most:
+        due = _paired(runs.where(F.col("n_lines").between(h + 1, 2 * h)), ranks, h)
+        found = found.unionByName(_rerank(due, "n_lines", "left", "right").select(*found.columns))
+        if 2 * h < most:
+            ranks = _doubled(ranks, h)
+        h *= 2
+    return found
+
+
+def _doubled(ranks: DataFrame, h: int) -> DataFrame:
+    """The ranks by the first ``2 h`` lines from those by the first ``h``."""
+    pairs = _paired(ranks.select("doc_id", "row_key", "pos", F.lit(2 * h).alias("n_lines")), ranks, h)
+    return materialise(_rerank(pairs, "left", "right").select("doc_id", "row_key", "pos", "first"), "lines")
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",

@@ -134,6 +134,25 @@ def test_line_dedup_short_runs(spark):
     assert got == want and any(want.values())
 
 
+def test_line_dedup_doubles_ranks(spark, monkeypatch):
+    """The registered call ranks suffixes by 1, 2, 4 and 8 lines; a run of several
+    lines is found by the ranks of its two ends."""
+    steps = []
+    doubled = linededup._doubled
+    monkeypatch.setattr(linededup, "_doubled", lambda ranks, h: steps.append(h) or doubled(ranks, h))
+    run = "\n".join("abcdef")                # 12 bytes in six lines
+    rows = [(1, f"one text\n{run}\nits end"), (2, f"two texts\n{run}\nan end"), (3, f"three\n{run[:-1]}x\nno end"), (4, "\n" * 13 + "z"),
+            (5, "\n" * 12 + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    starts = linededup.repeated_starts(docs)
+    got = {(r.doc_id, r.pos, r.n_lines, r.first.doc_id) for r in starts.collect()}
+    assert {(1, 1, 6, 1), (2, 1, 6, 1)} <= got and not any(d == 3 for d, *_ in got)
+    assert {(4, 0, 12, 4), (4, 1, 12, 4), (5, 0, 12, 4)} <= got
+    assert steps == [1, 2, 4]
+    got = {r.doc_id: (r.n_removed, r.n_runs, r.text) for r in linededup.line_dedup(docs, with_text=True).collect()}
+    assert got[2] == (6, 1, "two texts\nan end") and got[3] == (0, 0, rows[2][1])
+
+
 def shingles(t):
     w = WORD.findall(t.translate(AZ))
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
