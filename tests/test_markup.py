@@ -75,3 +75,19 @@ def test_clean_articles_leave_no_markup(spark):
     assert len(out) == pages.count()
     for r in out:
         assert "[[" not in r.text and "{{" not in r.text and "<!--" not in r.text
+
+
+def test_subexpressions_run_once(spark):
+    """Inside a lambda every occurrence is evaluated again: a link's parts are
+    split once each, and a tag's patterns are in the plan once for all tags."""
+    assert str(M.parse_wikilink(F.col("v"))).count("split(") == 4
+    for drop, n in ((M.drop_garbage_tags, 1), (M.drop_wrapper_tags, 2), (M.drop_single_tags, 2)):
+        assert str(drop(F.col("v"))).count("regexp_replace(") == n
+
+
+def test_tags_that_other_tags_leave(spark):
+    """A tag that only stands there once another one is gone counts as before."""
+    assert one(spark, M.drop_wrapper_tags(F.col("v")), "<<b>i>x</<b>I >, <<i>b>y") == "x, <b>y"
+    assert one(spark, M.drop_garbage_tags(F.col("v")), "a<re<gallery></gallery>f>gone</ REF>b") == "a<ref>gone</ REF>b"
+    assert one(spark, M.drop_garbage_tags(F.col("v")), "a<tab<ref>z</ref>le>gone</ TABLE>b") == "ab"
+    assert one(spark, M.drop_single_tags(F.col("v")), "a<BR / ><\\hr>b</ li x>c<brr>") == "abc<brr>"
