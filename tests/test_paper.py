@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from kgenrich.config import RelationSpec
@@ -20,6 +22,25 @@ def test_join_names_longest_first(spark):
     assert [w.segment for w in K.join_names(none, cat).first().words] == ["x", "y"]
 
 
+def test_name_hits_of_a_long_sentence_take_time_in_proportion(spark):
+    n = 20000
+    words = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(
+        F.concat(F.lit("w"), i.cast("string")).alias("segment"), F.lit("x").alias("lemma"), F.lit("ign").alias("tag"), F.lit("").alias("parse")))
+    s = spark.range(1).select(F.col("id").cast("string").alias("title"), F.lit(0).alias("sent_id"), words.alias("words")).localCheckpoint()
+    cat = spark.createDataFrame([("w7_w8",), ("w7_w8_w9",), (f"w{n - 1}_w{n}",), (f"w{n - 1}_w{n}_w{n + 1}",), ("w1_w3",)], "name string")
+    begun = time.monotonic()
+    got = sorted((r.i, r.k) for r in K.name_hits(s, cat).collect())
+    assert got == [(6, 3), (n - 2, 2)]
+    assert time.monotonic() - begun < 12        # the segments taken again at every position: several times as long
+
+
+def test_name_hits_skip_null_segments(spark):
+    s = spark.createDataFrame([("a", 0, [("x", "", "", ""), (None, "", "", ""), ("y", "", "", ""), ("z", "", "", "")]), ("b", 0, None), ("c", 0, [])],
+                              f"title string, sent_id int, words {W}")
+    cat = spark.createDataFrame([("x_y",), ("y_z",), (None,)], "name string")
+    assert [(r.title, r.i, r.k) for r in K.name_hits(s, cat).collect()] == [("a", 2, 2)]
+
+
 def test_redirects_and_canonical(spark):
     pages = spark.createDataFrame(
         [("USA", 7, "#REDIRECT [[Stany Zjednoczone]]"), ("X", 8, "text"), ("U S", 3, "#redirect [[Early]]"),
