@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from kgenrich.operators import text as T
@@ -104,6 +106,30 @@ def test_numerals_far_apart_and_single_ones_stay(spark):
         assert _run(spark, fn, []) == []
 
 
+def test_a_long_sentence_without_joined_numerals_is_not_rebuilt(spark):
+    """Rebuilding appends word by word, whose time grows with the square of the words."""
+    n = 100000
+    lemma = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i % 10 == 0, i.cast("string")).otherwise("a"))
+    df = spark.range(1).select(F.transform(lemma, lambda x: F.struct(
+        x.alias("segment"), x.alias("lemma"), F.lit("ign").alias("tag"), F.lit("").alias("parse"))).alias("w")).localCheckpoint()
+    begun = time.monotonic()
+    for fn in (T.join_decimal_numerals, T.join_adjacent_numerals):
+        assert df.select((fn(F.col("w")) == F.col("w")).alias("same")).first().same
+    assert time.monotonic() - begun < 8
+
+
+def test_numerals_meet_over_separators_only(spark):
+    dec, adj = T.join_decimal_numerals, T.join_adjacent_numerals
+    assert _run(spark, dec, ["a1", ",", "5", "3", "", "5"]) == ["a1", ",", "5", "3,5"]
+    assert _run(spark, dec, ["3", ".,", "5"]) == ["3,5"]
+    assert _run(spark, dec, ["3", ";", "5"]) == ["3", ";", "5"]
+    assert _run(spark, dec, ["3", None, "5", ",", "6"]) == ["3", None, "5,6"]
+    assert _run(spark, dec, [".5", ".", "+6e2"]) == [".5+6e2"]
+    assert _run(spark, adj, ["1", None, "2"]) == ["1", None, "2"]
+    assert _run(spark, adj, ["x2", "3", "4,5", "y"]) == ["x2", "34,5", "y"]
+    assert _run(spark, adj, ["1", "", "2"]) == ["1", "", "2"]
+
+
 def _titled(spark):
     raw = [("A", "The odd town of [[Big_Land|Big Land]] is the odd one of all. It was odd."),
            ("A", "Odd ODD of the three is a town that we know well here. Is it so."),
